@@ -11,8 +11,11 @@ Python object is made per word.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -126,7 +129,21 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     m = len(words) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(m, np.uint64)
-    for k in range(n):
-        total += mix(words[k : k + m] ^ _ODD[k % 16]) * _ODD[(k * 7 + 3) % 16]
+    total = words[:m] * _ODD[0]
+    for k in range(1, n):
+        total += words[k : k + m] * _ODD[k % 16] if k < 16 else mix(words[k : k + m] + np.uint64(k))
     return mix(total)
+
+
+def in_steps(batch: pa.RecordBatch, column: int, most: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most `rows` rows and, unless a single row is larger, `most` bytes of the
+    column: whatever the batch size, memory follows the largest text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    a = total = 0
+    for i, size in enumerate(sizes):
+        if i > a and (total + size > most or i - a >= rows):
+            yield batch.slice(a, i - a)
+            a, total = i, 0
+        total += size
+    if len(sizes) > a:
+        yield batch.slice(a)
