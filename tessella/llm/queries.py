@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, secrets
+from . import bpe, language, linededup, media, mixing, passages, quality, secrets
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_language_id": language.op2_language_id,
     "op3_line_dedup": linededup.op3_line_dedup,
+    "op5_quality_rules": quality.op5_quality_rules,
+    "op6_media_columns": media.op6_media_columns,
+    "op7_quality_classifier": passages.op7_quality_classifier,
+    "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 
