@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, linededup, media, mixing, passages, quality, secrets
+from . import bpe, language, linededup, media, mixing, passages, quality, sanitise, secrets
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_media_columns": media.op6_media_columns,
     "op7_quality_classifier": passages.op7_quality_classifier,
+    "op8_pii": sanitise.op8_pii,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_secret_scan": secrets.op10_secret_scan,
 }

@@ -77,10 +77,10 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw, off, null
 
 
-def spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(raw: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first): byte spans of all words, and for each row the index of its first word
-    (with the total at the end).  A row's end also ends a word."""
-    solid = ~SPACE[raw]
+    (with the total at the end).  Bytes marked in `between` part words, and so does a row's end."""
+    solid = ~between[raw]
     start = solid.copy()
     start[1:] &= ~solid[:-1]
     cut = off[1:-1]
