@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, language, linededup, media, mixing, passages, quality, sanitise, secrets
+from . import bpe, language, linededup, media, mixing, ngram_join, passages, quality, sanitise, secrets
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_language_id": language.op2_language_id,
     "op3_line_dedup": linededup.op3_line_dedup,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_media_columns": media.op6_media_columns,
     "op7_quality_classifier": passages.op7_quality_classifier,
