@@ -100,8 +100,8 @@ def mix_sources(
     rows are documents of their own; an empty table gives an empty result.  Further columns of docs do not
     enter, whatever their names; those in `carry` are kept with the row.
     """
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carry)
-    sized = materialize(sized, "mix-sizes")
+    measured = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carry)
+    sized = materialize(measured.drop(*carry), "mix-sizes")
     sources = target_shares(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     sources = sources.withColumn("_all", F.lit(0)).withColumn("_seats", F.floor(F.col("mix_words2") / (2 * block_words)).cast("long"))
     sources = sainte_lague(sources, "_all", "source_no", "target", "_seats", "source_quota")
@@ -109,11 +109,13 @@ def mix_sources(
     sources = materialize(sources.select("source", "source_no", "source_size", "target", "source_quota", shards_of.alias("n_shards")), "mix-sources")
 
     named = bounded(sources.withColumnRenamed("source", "_source"))
-    dealt = sized.join(named, sized["source"].eqNullSafe(named["_source"])).drop("_source", "source")
-    dealt = dealt.withColumn("_order", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    dealt = dealt.withColumn("shard", F.conv(F.substring("_order", 25, 8), 16, 10).cast("long") % F.col("n_shards"))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
-    shards = dealt.groupBy("source_no", "shard", "source_quota").agg(F.sum("size").alias("shard_size"))
+    def deal(rows: DataFrame) -> DataFrame:
+        dealt = rows.withColumn("_order", order).join(named, rows["source"].eqNullSafe(named["_source"])).drop("_source", "source")
+        return dealt.withColumn("shard", F.conv(F.substring("_order", 25, 8), 16, 10).cast("long") % F.col("n_shards"))
+
+    shards = deal(sized).groupBy("source_no", "shard", "source_quota").agg(F.sum("size").alias("shard_size"))
     shards = sainte_lague(shards, "source_no", "shard", "shard_size", "source_quota", "_asked")
     shards = shards.withColumn("blocks", F.ceil(F.col("shard_size") / block_words).cast("long"))
     shards = shards.withColumn("quota", F.least("_asked", F.col("blocks") * CAP))
@@ -122,7 +124,7 @@ def mix_sources(
     shards = materialize(shards.select("source_no", "shard", "blocks", "quota", "offset"), "mix-shards")
 
     line = W.partitionBy("source_no", "shard").orderBy("_order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0)))
+    placed = deal(measured if carry else sized).withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0)))
     placed = placed.join(bounded(shards), ["source_no", "shard"])
     once = _below(F.col("start") + F.col("size"), block_words) - _below(F.col("start"), block_words)
     whole = F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks")).cast("long")).otherwise(F.lit(0)).cast("long")

@@ -194,6 +194,20 @@ def score_passages(docs: DataFrame, model: AttentionModel | None, *, passages: b
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double" + ", attention array<float>" * passages)
 
 
+def keep_good(docs: DataFrame, model: AttentionModel | None, *, at: float = PREDICT_AT) -> DataFrame:
+    """The rows of docs whose text scores `at` or more, whole and with all their columns."""
+    if model is None:
+        return docs
+    text = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for part in tc.in_steps(batch, text, STEP_BYTES, STEP_ROWS):
+                yield part.filter(pa.array(model.forward(*encode_passages(part.column(text)))["p"] >= at))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
