@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from .textcore import in_steps
 
 #: Distinct pre-tokens a worker remembers; those with ids of more than CACHE_BYTES are not remembered.
-CACHE_SIZE = 600_000
+CACHE_SIZE = 250_000
 CACHE_BYTES = 64
 #: Bytes of text encoded together, and the most rows.
-BATCH_BYTES, BATCH_ROWS = 16_000_000, 10_000
+BATCH_BYTES, BATCH_ROWS = 5_000_000, 10_000
 
 #: Pre-tokens above this many bytes are merged one by one, the others of a batch together.
 LONG_BYTES = 128
@@ -296,6 +296,23 @@ def decode_documents(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFram
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, ids binary, decoded binary")
 
 
+def recode_documents(docs: DataFrame, ranks: bytes, pattern: str, *, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids, decoded) and the columns in carry: encode_documents and decode_documents in one pass of
+    one worker."""
+
+    def run(batches):
+        codec = _codec(ranks, pattern)
+        for batch in batches:
+            for part in in_steps(batch, 1, BATCH_BYTES, BATCH_ROWS):
+                ids = codec.encode_batch([t or "" for t in part.column(1).to_pylist()])
+                decoded = pa.array([codec.decode(v) for v in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), decoded, *part.columns[2:]], names=["doc_id", "ids", "decoded", *carry])
+
+    kind = lambda c: docs.schema[c].dataType.simpleString()
+    more = "".join(f", {c} {kind(c)}" for c in carry)
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, f"doc_id {kind('doc_id')}, ids binary, decoded binary{more}")
+
+
 def default_vocabulary() -> tuple[bytes, str]:
     import public_tokenizers
 
@@ -311,4 +328,4 @@ def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
     ranks, pattern = default_vocabulary()
-    return digest(decode_documents(encode_documents(read(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
+    return digest(recode_documents(read(spark, sf_dir, "documents"), ranks, pattern))
