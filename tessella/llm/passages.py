@@ -74,7 +74,9 @@ def encode_passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         n_words / PASSAGE,
         np.bincount(of_word, (_CLASS[raw[end - 1]] > 1), minlength=total) / n_words,
     ]
-    return np.hstack([4 * classes, 8 * pairs, np.stack(more, axis=1)]).astype(np.float32), start
+    x = np.hstack([4 * classes, 8 * pairs, np.stack(more, axis=1)]).astype(np.float32)
+    x[start[:-1][count == 0]] = 0
+    return x, start
 
 
 class AttentionModel:
