@@ -3,12 +3,12 @@ import tempfile
 from pathlib import Path
 
 import pytest
+from compare import SF
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

@@ -1,6 +1,5 @@
 import pytest
-from compare import same_rows
-from conftest import SF
+from compare import SF, same_rows
 
 from tessella.plans.catalog import ORACLES, QUERIES
 
