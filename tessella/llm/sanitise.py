@@ -149,23 +149,35 @@ def find_entities(docs: DataFrame, window: int) -> DataFrame:
 def count_terms(docs: DataFrame, candidates: np.ndarray | None) -> DataFrame:
     """(hash, d): in how many rows of docs each term stands; of the sorted candidates only, if given."""
 
+    def rows_with(part: pa.RecordBatch) -> np.ndarray:
+        """The term of each (row, term) of the slice, once."""
+        raw, off, _ = tc.column_bytes(part.column(0))
+        begin, end, first = tc.spans(tc.LOWER[raw], off, _BETWEEN)
+        h = tc.span_hashes(tc.LOWER[raw], begin, end).view(np.int64)
+        row = np.repeat(np.arange(part.num_rows), np.diff(first))
+        if candidates is not None:
+            at = np.minimum(np.searchsorted(candidates, h), len(candidates) - 1)
+            hit = candidates[at] == h
+            h, row = at[hit], row[hit]
+        order = np.lexsort((row, h))
+        h, row = h[order], row[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        return h[new]
+
+    def out(term: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], names=["hash", "n"])
+
     def run(batches):
+        total = None if candidates is None else np.zeros(len(candidates), np.int64)
         for batch in batches:
             for part in tc.in_steps(batch, 0, STEP_BYTES, STEP_ROWS):
-                raw, off, _ = tc.column_bytes(part.column(0))
-                begin, end, first = tc.spans(tc.LOWER[raw], off, _BETWEEN)
-                h = tc.span_hashes(tc.LOWER[raw], begin, end).view(np.int64)
-                row = np.repeat(np.arange(part.num_rows), np.diff(first))
-                if candidates is not None:
-                    at = np.minimum(np.searchsorted(candidates, h), len(candidates) - 1)
-                    hit = candidates[at] == h
-                    h, row = h[hit], row[hit]
-                order = np.lexsort((row, h))
-                h, row = h[order], row[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                term, n = np.unique(h[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], names=["hash", "n"])
+                if total is None:
+                    yield out(*np.unique(rows_with(part), return_counts=True))
+                else:
+                    total += np.bincount(rows_with(part), minlength=len(total))
+        if total is not None:
+            yield out(candidates[total > 0], total[total > 0])
 
     return docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("d"))
 
@@ -179,8 +191,14 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, *, support: int, general
     pairs = near.select("doc_id", "_row", "x.entity", "x.term", "x.hash").distinct()
     pairs = pairs.join(copies.withColumnsRenamed({"doc_id": "_d", "_row": "_r"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")))
     both = pairs.groupBy("entity", "term", "hash").agg(F.sum("copies").alias("d_both")).where(F.col("d_both") >= support)
-    both = materialize(both, "pii-pairs")
     entities = pairs.select("entity", "doc_id", "_row", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("d_entity"))
+    # a term's documents are at least those where it stands by any entity, which bounds the disclosure: pairs
+    # that can't reach the threshold need no corpus count
+    least = pairs.select("hash", "doc_id", "_row", "copies").distinct().groupBy("hash").agg(F.sum("copies").alias("d_least"))
+    bound = F.log2(F.col("d_both") * F.lit(float(total)) / (F.col("d_entity") * F.col("d_least"))) / F.log2(F.lit(float(total)) / F.col("d_entity"))
+    both = both.join(entities, "entity").join(least, "hash")
+    both = both.where((F.col("d_entity") < total) & (F.when(F.col("d_entity") < total, bound) >= generalise_at - 1e-6)).drop("d_least")
+    both = materialize(both, "pii-pairs")
     terms = both.select("hash").distinct()
     if terms.limit(MAX_CANDIDATES + 1).count() <= MAX_CANDIDATES:
         chosen = np.sort(np.asarray(terms.toArrow().column("hash"), np.int64))
@@ -189,7 +207,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, *, support: int, general
         counts = count_terms(docs, chosen)
     else:
         counts = count_terms(docs, None)
-    both = both.join(entities, "entity").join(counts, "hash")
+    both = both.join(counts, "hash")
     pmi = F.log2(F.col("d_both") * F.lit(float(total)) / (F.col("d_entity") * F.col("d")))
     ic = F.log2(F.lit(float(total)) / F.col("d_entity"))
     both = both.withColumn("disclosure", F.round(F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)), 9))
@@ -216,14 +234,14 @@ def sanitise(docs: DataFrame, *, window: int = WINDOW, support: int = SUPPORT, g
 def masked(docs: DataFrame, found: DataFrame, *, remove_at: float = REMOVE_AT) -> DataFrame:
     """docs with text sanitised by the spans of sanitise(): base spans become their kind in brackets, terms
     their general kind ([number] or [word]), and terms that reach remove_at go."""
-    one = found.dropDuplicates(["doc_id", "_row"]).withColumnsRenamed({"doc_id": "_d", "_row": "_r"})
+    one = found.dropDuplicates(["doc_id", "_row"]).select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("base").alias("_base"), F.col("terms").alias("_terms"))
     d = docs.withColumn("_key", row_key(F.col("text")))
     d = d.join(one, d["doc_id"].eqNullSafe(one["_d"]) & (d["_key"] == one["_r"]), "left")
     kinds = F.array(*(F.lit(f"[{k}]") for k in KINDS))
-    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(kinds, s["kind"] + 1).alias("put")))
+    base = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(kinds, s["kind"] + 1).alias("put")))
     word = lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
     put = lambda s: F.when(s["disclosure"] >= remove_at, F.lit("")).when(word(s).rlike("^[0-9]+$"), F.lit("[number]")).otherwise(F.lit("[word]"))
-    terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), put(s).alias("put")))
+    terms = F.transform("_terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), put(s).alias("put")))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:  # a span that begins inside an earlier one is part of it
@@ -231,7 +249,7 @@ def masked(docs: DataFrame, found: DataFrame, *, remove_at: float = REMOVE_AT) -
         return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), part.alias("out")))
 
     end = F.aggregate(F.array_sort(F.concat(base, terms)), zero, step)
-    d = d.withColumn("_end", F.when(F.size("base") > 0, end))
+    d = d.withColumn("_end", F.when(F.size("_base") > 0, end))
     new = F.when(F.col("_end").isNull(), F.col("text")).otherwise(F.concat(F.col("_end.out"), F.expr("substring(text, _end.at + 1)")))
     return d.select(*(new.alias(c) if c == "text" else F.col(c) for c in docs.columns))
 
