@@ -141,3 +141,21 @@ def rejection_notices(rejected: DataFrame, reasons: tuple[str, ...] = ("extensio
     first = F.element_at("_n", 1)["name"]
     place = F.array_position(F.array(*map(F.lit, reasons)), F.col("reason"))
     return r.select("session", place.alias("place"), "reason", F.when(F.size("_n") == 1, first).otherwise(F.concat(first, F.lit(" +"), (F.size("_n") - 1).cast("string"))).alias("target"))
+
+
+_BLOCKS = "array<struct<block_content:string,block_bbox:array<double>,block_label:string,block_id:int,block_order:int>>"
+_SPOTS = "struct<rec_texts:array<string>,rec_polys:array<array<array<double>>>>"
+_RESULT = f"struct<page_index:int,width:int,height:int,parsing_res_list:{_BLOCKS},spotting_res:{_SPOTS}>"
+
+
+def ocr_page(payload: Column, default_page: Column) -> Column:
+    """Struct (page_index, width, height, regions) of an OCR result in JSON, plain or under `res`: spotted
+    regions, or where there are none the blocks; a missing page number is the default."""
+    data = F.coalesce(F.from_json(payload, f"struct<res:{_RESULT}>")["res"], F.from_json(payload, _RESULT))
+    spots = data["spotting_res"]
+    both = "array<struct<text:string,bbox:struct<x1:double,y1:double,x2:double,y2:double>,label:string,block_id:int,block_order:int>>"
+    found = F.when(spots.isNotNull(), spotted_regions(F.coalesce(spots["rec_texts"], F.array().cast("array<string>")), F.coalesce(spots["rec_polys"], F.array().cast("array<array<array<double>>>"))))
+    spotted = F.transform(found, lambda r: F.struct(r["text"].alias("text"), r["bbox"].alias("bbox"), F.lit("spotting").alias("label"), r["block_id"].alias("block_id"), F.lit(None).cast("int").alias("block_order"))).cast(both)
+    blocks = parsed_regions(F.coalesce(data["parsing_res_list"], F.array().cast(_BLOCKS))).cast(both)
+    regions = F.when(F.coalesce(F.size(spotted), F.lit(-1)) > 0, spotted).otherwise(blocks)
+    return F.struct(F.coalesce(data["page_index"], default_page).alias("page_index"), F.coalesce(data["width"], F.lit(0)).alias("width"), F.coalesce(data["height"], F.lit(0)).alias("height"), regions.alias("regions"))
