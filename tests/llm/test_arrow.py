@@ -265,10 +265,11 @@ def near_copies(n):
     return rows
 
 
-@pytest.mark.parametrize("n, percent, block", [(3, 90, 4), (5, 80, 384)])
-def test_ngram_components(make, n, percent, block):
+@pytest.mark.parametrize("n, percent, block, small", [(3, 90, 4, 64), (3, 90, 384, 4), (5, 80, 384, 64)])
+def test_ngram_components(make, n, percent, block, small):
+    """Blocks of a few rows, sets with too few parts, and the pipeline's parameters."""
     rows = near_copies(250)
-    got = ngram_join.ngram_components(make(rows), n=n, percent=percent, block=block)
+    got = ngram_join.ngram_components(make(rows), n=n, percent=percent, block=block, small=small)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == brute_components(rows, n, percent)
 
 
@@ -285,6 +286,24 @@ def test_drop_near_duplicates(make, odd, empty):
     assert ngram_join.drop_near_duplicates(odd).count() == odd.count() - 1
 
 
+def test_linked_sets_share_a_column():
+    r, classes = np.random.RandomState(1), np.zeros(ngram_join.SKETCH, np.uint8)
+    for percent in (90, 80):
+        shift, links = ngram_join.part_shift(percent), 0
+        for _ in range(600):
+            u = np.unique(r.randint(0, 1 << 62, int(np.exp(r.uniform(1.7, 7)))).astype(np.uint64))
+            change = r.randint(0, max(2, int(len(u) * (1 - percent / 100) * 1.1)))
+            less = r.randint(0, change + 1)
+            v = np.delete(u, r.permutation(len(u))[:less])
+            v = np.unique(np.concatenate([v, r.randint(0, 1 << 62, change - less).astype(np.uint64)]))
+            both = len(np.intersect1d(u, v))
+            if both and 100 * both >= percent * (len(u) + len(v) - both):
+                (a, few), (b, more) = (ngram_join.columns_of(s, percent, shift, classes) for s in (u, v))
+                links += 1
+                assert few or more or len(np.intersect1d(a, b))
+        assert links > 400
+
+
 def test_bitmaps_bound_the_difference():
     r = np.random.RandomState(2)
     for _ in range(50):
