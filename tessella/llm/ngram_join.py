@@ -5,14 +5,18 @@ result is exact, and no step makes a row for each pair:
 
 1. Documents with equal sets (by 128 bits of hash) are one class; only classes are compared.  A class goes
    by 64 of these bits from then on: among 10**9 classes, two share them with a probability of 3 %.
-2. A linked pair shares an n-gram among the first |s| - ceil(T |s| / 100) + 1 of either set in a common
-   order.  The order puts n-grams that many documents have last (by a count sketch of fixed size over the
-   whole corpus), so these columns of the incidence are rarely used.
-3. Columns are gathered by their leading class (the smallest by hash among a column's classes), so that
-   columns with the same documents become one block, and blocks are split by set size and row number into
-   products of at most BLOCK x BLOCK rows.  A product's pairs are discarded by the size-derived bound:
-   the overlap can't reach its minimum if parity bitmaps of the two sets differ in more bits than their
-   symmetric difference may have members.  A product returns a spanning forest of the pairs that are left.
+2. A linked pair of sets, the smaller of size n, differs in at most k = n (100 - T) / T members.  Members are
+   dealt to parts by hash, a few to a part, so at most k parts differ: of the first k + 1 parts of either set
+   that aren't empty, one is equal.  Equal parts are the columns of the incidence.  As a part has several
+   n-grams, texts that share single n-grams by chance share no column.  Small sets, and all below a
+   similarity of about 0.85, have the first |s| - ceil(T |s| / 100) + 1 single n-grams as columns, in an order
+   that puts those last that many sets have (by a count sketch of fixed size).  A set with fewer than k + 1
+   parts that aren't empty (about one in 10**5) is joined by single n-grams with all others.
+3. Columns are gathered by their leading class (the smallest of a column's classes), so that columns with
+   the same documents become one block, and blocks are split by set size and row number into products of
+   at most BLOCK x BLOCK rows.  A product's pairs are discarded by the size-derived bound: the overlap
+   can't reach its minimum if parity bitmaps of the two sets differ in more bits than their symmetric
+   difference may have members.  A product returns a spanning forest of the pairs that are left.
 4. The forests' components hold every link.  Their sets (and no others) are built again and multiplied in
    blocks, exactly; each product returns a spanning forest of its links.  Components of these are the result.
 """
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import materialize, read, row_key
+from .common import bounded, materialize, read, row_key
 from .components import components
 
 #: Counters of the sketch (fixed, whatever the corpus), in slices that are summed on their own.
@@ -35,6 +39,11 @@ SKETCH, SLICES, FAN_IN = 1 << 20, 32, 64
 #: Rows of a block; a product has at most BLOCK rows on either side.
 BLOCK = 384
 STEP_BYTES, STEP_ROWS = 6_000_000, 4096
+#: Sets below this size have single n-grams as columns.
+SMALL = 64
+#: n-grams of sets without enough parts that travel with a task, and classes in clusters that are broadcast (32
+#: bytes each) to find their texts; beyond that all single n-grams are joined, and the texts are shuffled.
+MAX_WANTED = 1_000_000
 
 
 def least_overlap(a, b, percent: int):
@@ -82,14 +91,15 @@ def _sum_counts(parts: DataFrame, n_parts: int) -> np.ndarray:
     return out.ravel()
 
 
-def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
-    """A class for each counter of the sketch: 0 up to twice the mean count, then one more for each doubling."""
+def frequency_classes(docs: DataFrame, n: int, every: bool) -> np.ndarray:
+    """A class for each counter of a sketch of the small texts' n-grams (or every text's): 0 up to twice the mean count, then one more for each doubling."""
 
     def run(batches):
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for part in tc.in_steps(batch, 1, STEP_BYTES, STEP_ROWS):
-                h, _ = shingles(part.column(1), n)
+                h, first = shingles(part.column(1), n)
+                h = h[np.repeat(every | (np.diff(first) < 2 * SMALL), np.diff(first))]
                 total += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
                 at = part.column(0)[0].as_py()
         if total.any():
@@ -115,31 +125,101 @@ def bitmap(members: np.ndarray) -> bytes:
     return np.packbits((np.bincount(cell, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def incidence(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """(doc_id, _row, n, k1, k2, prefix, bits) of each row: size, 128-bit hash, prefix and bitmap of its set."""
+def differing(n: int, percent: int) -> int:
+    """How many members two linked sets, the smaller of size n or less, may differ in."""
+    return n * (100 - percent) // percent
+
+
+def part_shift(percent: int) -> int | None:
+    """A set of n is dealt to 2 ** (floor(log2 n) - shift) parts: the largest shift that leaves enough parts
+    filled; None if that leaves parts of one or two members, which tell no more than single ones."""
+    share, found = 1.05 * (100 - percent) / percent, None
+    for shift in range(1, 4):
+        most = 2.0 ** (shift + 1)  # members a part, at most
+        if (1 - np.exp(-most)) / most >= share:
+            found = shift
+    return found
+
+
+def singles(s: np.ndarray, percent: int, classes: np.ndarray | None) -> np.ndarray:
+    """The first |s| - ceil(T |s| / 100) + 1 members in the common order: linked sets share one of them."""
+    most = len(s) + percent * len(s) // -100 + 1
+    if classes is not None:
+        level = classes[(s >> np.uint64(44)).astype(np.int64)]
+        if level.any():
+            return s[np.argsort(level, kind="stable")[:most]]
+    return s[:most]
+
+
+def columns_of(s: np.ndarray, percent: int, shift: int | None, classes: np.ndarray, small: int = SMALL) -> tuple[np.ndarray, bool]:
+    """(columns, short): hashes of the first filled parts of a sorted set, for each number of parts under which
+    it may meet a partner (its own as the smaller, its partner's as the larger); short if there are too few."""
+    n = len(s)
+    if shift is None or n < small:
+        return singles(s, percent, classes), False
+    least = -(-percent * n // 100)
+    out, short = [], False
+    where = tc.mix(s ^ np.uint64(0xA0761D6478BD642F))
+    value = tc.mix(s + np.uint64(0xE7037ED1A0B428DB))
+    for level in range(n.bit_length() - 1, max(least, small).bit_length() - 2, -1):
+        most = differing(min(n, (2 << level) - 1), percent) + 1
+        part = where >> np.uint64(64 - (level - shift)) if level > shift else np.zeros(n, np.uint64)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        short |= len(begin) < most
+        total = np.add.reduceat(value[order], begin)[:most]
+        out.append(tc.mix(total ^ tc.mix(part[begin[:most]] + np.uint64(level << 48))))
+    if least < small:
+        out.append(singles(s, percent, classes))
+    return np.concatenate(out), short
+
+
+def incidence(docs: DataFrame, n: int, percent: int, classes: np.ndarray, small: int) -> DataFrame:
+    """(doc_id, _row, n, k1, k2, grams, short, bits) of each row: size, 128-bit hash, columns and bitmap of its set."""
+    shift = part_shift(percent)
 
     def run(batches):
         for batch in batches:
             for part in tc.in_steps(batch, 1, STEP_BYTES, STEP_ROWS):
                 h, first = shingles(part.column(1), n)
-                size, k1, k2, prefix, bits = [], [], [], [], []
+                size, k1, k2, grams, short, bits = [], [], [], [], [], []
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
                     s = np.unique(h[a:b])
                     size.append(len(s))
-                    if not len(s):
-                        k1.append(0), k2.append(0), prefix.append(s.view(np.int64)), bits.append(b"")
-                        continue
-                    k1.append(int(np.add.reduce(tc.mix(s ^ np.uint64(0x9E3779B97F4A7C15))).view(np.int64)))
-                    k2.append(int(np.add.reduce(tc.mix(s + np.uint64(0x2545F4914F6CDD1D))).view(np.int64)))
-                    most = len(s) + percent * len(s) // -100 + 1
-                    level = classes[(s >> np.uint64(44)).astype(np.int64)]
-                    prefix.append((s[:most] if not level.any() else s[np.argsort(level, kind="stable")[:most]]).view(np.int64))
-                    bits.append(bitmap(s))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]), pa.int32()), pa.array(np.concatenate(prefix) if prefix else [], pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), lists, pa.array(bits, pa.binary())], names=["doc_id", "_row", "n", "k1", "k2", "prefix", "bits"])
+                    k1.append(int(np.add.reduce(tc.mix(s ^ np.uint64(0x9E3779B97F4A7C15))).view(np.int64)) if len(s) else 0)
+                    k2.append(int(np.add.reduce(tc.mix(s + np.uint64(0x2545F4914F6CDD1D))).view(np.int64)) if len(s) else 0)
+                    found, few = columns_of(s, percent, shift, classes, small) if len(s) else (s, False)
+                    grams.append(found.view(np.int64))
+                    short.append(few)
+                    bits.append(bitmap(s) if len(s) else b"")
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in grams])]), pa.int32()), pa.array(np.concatenate(grams) if grams else [], pa.int64()))
+                columns = [part.column(0), part.column(2), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), lists, pa.array(short, pa.bool_()), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_row", "n", "k1", "k2", "grams", "short", "bits"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", row_key(F.col("text"))).mapInArrow(run, f"doc_id {id_type}, _row long, n long, k1 long, k2 long, prefix array<long>, bits binary")
+    return docs.select("doc_id", "text", row_key(F.col("text"))).mapInArrow(run, f"doc_id {id_type}, _row long, n long, k1 long, k2 long, grams array<long>, short boolean, bits binary")
+
+
+def single_cells(docs: DataFrame, n: int, percent: int, wanted: np.ndarray | None) -> DataFrame:
+    """(k1, gram): single-member columns of each row's set, of the sorted wanted ones only, if given."""
+
+    def run(batches):
+        for batch in batches:
+            for part in tc.in_steps(batch, 0, STEP_BYTES, STEP_ROWS):
+                h, first = shingles(part.column(0), n)
+                keys, grams = [], []
+                for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+                    s = np.unique(h[a:b])
+                    if len(s):
+                        g = singles(s, percent, None).view(np.int64)
+                        if wanted is not None:
+                            g = g[np.isin(g, wanted)]
+                        keys += [int(np.add.reduce(tc.mix(s ^ np.uint64(0x9E3779B97F4A7C15))).view(np.int64))] * len(g)
+                        grams.append(g)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(grams) if grams else [], pa.int64())], names=["k1", "gram"])
+
+    return docs.select("text").mapInArrow(run, "k1 long, gram long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -292,7 +372,13 @@ def _run_products(dealt: DataFrame, value: str, pairs_of) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def ngram_components(docs: DataFrame, *, n: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
+def _blocks(cells: DataFrame) -> DataFrame:
+    """(grp, node, n) from (node, n, gram): the rows of each column that has several, by the leading row."""
+    columns = cells.groupBy("gram").agg(F.min("node").alias("grp"), F.max("node").alias("_last")).where("grp < _last").select("gram", "grp")
+    return cells.join(columns, "gram").select("grp", "node", "n").distinct()
+
+
+def ngram_components(docs: DataFrame, *, n: int = 3, percent: int = 90, block: int = BLOCK, small: int = SMALL) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text): the size of its set of n-word
     shingles and the smallest doc_id that links lead to, itself included.
 
@@ -302,24 +388,33 @@ def ngram_components(docs: DataFrame, *, n: int = 3, percent: int = 90, block: i
     columns do not enter.
     """
     docs = docs.select("doc_id", "text")
-    classes = frequency_classes(docs, n)
-    rows = materialize(incidence(docs, n, percent, classes), "ngram-rows")
+    classes = frequency_classes(docs, n, part_shift(percent) is None)
+    rows = materialize(incidence(docs, n, percent, classes, small), "ngram-rows")
     full = rows.where("n > 0")
-    sets = full.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row")).alias("at"), F.first(F.struct("n", "prefix", "bits")).alias("x"))
-    sets = sets.withColumn("first_id", F.col("at.doc_id")).select("k1", "k2", "at", F.col("k1").alias("node"), "first_id", "x.n", "x.prefix", "x.bits")
+    sets = full.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row")).alias("at"), F.first(F.struct("n", "grams", "short", "bits")).alias("x"))
+    sets = sets.withColumn("first_id", F.col("at.doc_id")).select("k1", "k2", "at", F.col("k1").alias("node"), "first_id", "x.n", "x.grams", "x.short", "x.bits")
     sets = materialize(sets, "ngram-sets")
 
-    cells = sets.select("node", "n", F.explode("prefix").alias("gram"))
-    columns = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("lead")).where("c > 1")
-    blocks = cells.join(columns.select("gram", F.col("lead.node").alias("grp")), "gram").select("grp", "node", "n").distinct()
+    cells = sets.select("node", "n", F.explode("grams").alias("gram"))
+    blocks = _blocks(cells)
+    few = sets.where("short")
+    if few.limit(1).count():
+        chosen = docs.withColumn("_row", row_key(F.col("text"))).join(few.select(F.col("at.doc_id").alias("_id"), F.col("at._row").alias("_at")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_at")))
+        grams = materialize(single_cells(chosen, n, percent, None).select("gram").distinct(), "ngram-few")
+        if grams.limit(MAX_WANTED + 1).count() <= MAX_WANTED:
+            more = single_cells(docs, n, percent, np.sort(np.asarray(grams.toArrow().column("gram"), np.int64)))
+        else:
+            more = single_cells(docs, n, percent, None).join(grams, "gram", "left_semi")
+        more = more.distinct().join(sets.select("k1", "node", "n"), "k1").select("node", "n", "gram")
+        blocks = blocks.unionByName(_blocks(more)).distinct()
     blocks = materialize(blocks, "ngram-blocks")
     dealt = _products(blocks, block, percent).join(sets.select("node", "bits"), "node")
     near = _run_products(dealt, "bits", lambda n, side, bits: possible_pairs(n, side, bits.to_pylist(), percent))
     clusters = materialize(components(near).withColumnsRenamed({"root": "grp"}), "ngram-clusters")
 
     chosen = materialize(sets.join(clusters, "node").select("k1", "node", "grp", "n", F.col("at.doc_id").alias("_id"), F.col("at._row").alias("_at")), "ngram-chosen")
-    keyed = docs.withColumn("_row", row_key(F.col("text")))
-    texts = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["_id"]) & (F.col("_row") == F.col("_at"))).select("node", "text", "k1")
+    keyed, wanted = docs.withColumn("_row", row_key(F.col("text"))), bounded(chosen.select("node", "k1", "_id", "_at"), MAX_WANTED)
+    texts = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["_id"]) & (F.col("_row") == F.col("_at"))).select("node", "text", "k1")
     full_sets = materialize(_sets_of(texts, n), "ngram-full")
     dealt = _products(chosen.select("grp", "node", "n"), block, percent).join(full_sets, "node")
 
