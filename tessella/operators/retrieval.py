@@ -1,11 +1,14 @@
 """Dense, lexical and fused retrieval over passages.
 
 A top-k is Spark's ordered take for one query and a ranking window per query for many; scores are
-expressions in the JVM.  Ties always end at the id, so results are stable.
+expressions in the JVM, but for many-query cosine search, which is products of blocks.  Ties always end at the id, so results are stable.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +19,8 @@ TOP_K, MIN_SCORE, POOL, FUSION, SAME = 12, 0.15, 50, 60, 120
 K1, B = 1.5, 0.75
 #: Query-side rows up to which the query side is broadcast.
 SMALL = 100_000
+#: Vectors in a block of many-query search; a product of two blocks is the largest piece of work.
+BLOCK = 1024
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -48,16 +53,59 @@ def dense_topk(passages: DataFrame, query: list[float], *, key: str = "vec_id",
     return top if min_score is None else top.where(F.col("similarity") >= min_score)
 
 
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (id, v) as blocks of at most `size` vectors of one length: (dim, ids, raw), ids ascending and raw the
+    doubles in row order.  Vectors that are null, hold a null or have no length have no similarity and are left out."""
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column(0)))
+            dims = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == dim))
+                for at in range(0, part.num_rows, size):
+                    one = part.slice(at, size)
+                    ids = pa.ListArray.from_arrays(pa.array([0, one.num_rows], pa.int32()), one.column(0))
+                    raw = one.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), ids, pa.array([raw], pa.binary())], names=["dim", "ids", "raw"])
+
+    v = F.transform("v", lambda x: x.cast("double"))
+    held = rows.where(F.col("id").isNotNull() & ~F.exists("v", lambda x: x.isNull()) & (norm(F.col("v")) > 0)).select("id", v.alias("v"))
+    return held.mapInArrow(run, f"dim int, ids array<{rows.schema['id'].dataType.simpleString()}>, raw binary")
+
+
 def batch_topk(passages: DataFrame, queries: DataFrame, *, key: str = "vec_id", k: int = TOP_K) -> DataFrame:
-    """(query_id, key, similarity, rank) of the k closest passages for each of a stated, small set of queries
-    (query_id, q): every passage is scored against all of them in one pass.  Each task first keeps its own k
-    best per query, so what is shuffled is k rows per query and task."""
-    held = F.broadcast(queries) if queries.limit(SMALL + 1).count() <= SMALL else queries
-    scored = passages.join(held, F.lit(True)).select("query_id", key, F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("similarity")).where("similarity is not null")
-    best = lambda w: F.row_number().over(w.orderBy(F.col("similarity").desc(), key))
-    local = scored.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(64)))
-    local = local.withColumn("_r", best(W.partitionBy("query_id", "_part"))).where(F.col("_r") <= k)
-    return local.withColumn("rank", best(W.partitionBy("query_id"))).where(F.col("rank") <= k).select("query_id", key, "similarity", "rank")
+    """(query_id, key, similarity, rank) of the k closest passages for each of many queries (query_id, q).  Both
+    sides are packed into blocks of bounded size; a product of two blocks gives the similarities of their pairs and
+    leaves k rows per query, so pairs are never rows of a table."""
+    asked = queries.select(F.col("query_id").alias("id"), F.col("q").alias("v"))
+    n = asked.count()
+    asked = _packed(asked.repartition(max(1, -(-n // BLOCK))), BLOCK).withColumnsRenamed({"ids": "query_ids", "raw": "query_raw"})
+    held = _packed(passages.select(F.col(key).alias("id"), F.col("embedding").alias("v")), BLOCK)
+    # joined on true: on the length, all blocks would go to one task
+    asked = asked.withColumnRenamed("dim", "query_dim")
+    pairs = held.join(F.broadcast(asked) if n <= SMALL else asked, F.lit(True))
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dim = batch.column("dim")[r].as_py()
+                if dim != batch.column("query_dim")[r].as_py():
+                    continue
+                ids, query_ids = batch.column("ids")[r].values, batch.column("query_ids")[r].values
+                e = np.frombuffer(batch.column("raw")[r].as_buffer(), "<f8").reshape(-1, dim)
+                q = np.frombuffer(batch.column("query_raw")[r].as_buffer(), "<f8").reshape(-1, dim)
+                long = lambda x: np.sqrt((x * x).sum(1))
+                s = np.round(q @ e.T / np.outer(long(q), long(e)), 6)
+                # ids ascend, so a stable order of falling similarities ends ties at the id; NaN is above all
+                best = np.argsort(-np.where(np.isnan(s), np.inf, s), axis=1, kind="stable")[:, :k]
+                at = np.repeat(np.arange(len(q)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(at)), ids.take(pa.array(best.ravel())), pa.array(s[at, best.ravel()])], names=["query_id", key, "similarity"])
+
+    kinds = queries.schema["query_id"].dataType.simpleString(), passages.schema[key].dataType.simpleString()
+    scored = pairs.mapInArrow(run, f"query_id {kinds[0]}, {key} {kinds[1]}, similarity double")
+    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc(), key))
+    return scored.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", key, "similarity", "rank")
 
 
 def bm25(passages: DataFrame, queries: DataFrame, *, key: str, k: int, text: str = "text", tokens) -> DataFrame:

@@ -119,7 +119,7 @@ _BATCH_TOP = f"""SELECT query_id, vec_id, similarity, row_number() OVER (PARTITI
 @query(_BATCH_TOP)
 def batch_cosine_topk(spark, d):
     e = _t(spark, d, "embeddings")
-    queries = e.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return retrieval.batch_topk(e, queries).withColumn("rank", F.col("rank").cast("long"))
 
 
