@@ -2,13 +2,15 @@
 
 Base spans are emails, addresses, cards and phones by pattern.  Words beside such an entity may give it
 away even when it is masked: a term t discloses entity e by PMI(e; t) / IC(e), estimated from the corpus
-as log2(d(e,t) N / (d(e) d(t))) / log2(N / d(e)), where d counts documents, and d(e,t) those in which t
-stands within `window` terms of e.  A term that reaches `generalise_at` is generalised (its kind stands in
-its place), one that reaches `remove_at` is removed.
-
-Entities and their neighbours are found in one pass and written as a small table; only the terms that stand
-by the same entity in at least `support` documents need a corpus count, which is a second pass that sums
-per Arrow slice before anything is shuffled.
+as log2(d(e,t) N / (d(e) d(t))) / log2(N / d(e)), where d counts documents, and d(e,t) those that hold both.
+Terms that stand within `window` terms of e somewhere are tried.  A term that reaches `generalise_at` is
+generalised (its kind stands in its place), one that reaches `remove_at` is removed, wherever it stands in any
+document.  A pair needs `support` documents with both; an entity of fewer documents than that has its estimate
+smoothed by PRIOR documents that hold t and say nothing about e.
+
+Entities, their neighbours and the terms of documents with entities are found in one pass and written as a
+table; terms that may disclose need a corpus count, which is a second pass that sums per Arrow slice before
+anything is shuffled.  A third pass finds the disclosing terms in whole texts.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .common import bounded, materialize, read, row_key
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 6
 SUPPORT = 2
+#: Documents that hold a term and say nothing about the entity, added where an entity has less than SUPPORT.
+PRIOR = 1.0
 GENERALISE_AT, REMOVE_AT = 0.8, 0.95
 #: Candidate terms that travel with the task for counting (8 bytes each); beyond that all terms are counted.
 MAX_CANDIDATES = 1_000_000
@@ -115,8 +119,22 @@ def _hash_terms(terms: list[str]) -> np.ndarray:
     return tc.span_hashes(raw, off[:-1], off[1:]).view(np.int64)
 
 
+def term_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, start, end) of every term of the texts, in order; start and end in code points of the row."""
+    raw, off, _ = tc.column_bytes(texts)
+    low = tc.LOWER[raw]
+    begin, end, first = tc.spans(low, off, _BETWEEN)
+    h = tc.span_hashes(low, begin, end).view(np.int64)
+    row = np.repeat(np.arange(len(texts)), np.diff(first))
+    points = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((raw & 0xC0) != 0x80, out=points[1:])
+    at = points[off[:-1]][row]
+    return row, h, points[begin] - at, points[end] - at
+
+
 def find_entities(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, _row, base, near): base spans of each row, and the terms beside them."""
+    """(doc_id, _row, base, near, held): base spans of each row, the terms beside them, and the hashes of all
+    terms of a row that has neighbours."""
 
     def run(batches):
         for batch in batches:
@@ -132,18 +150,28 @@ def find_entities(docs: DataFrame, window: int) -> DataFrame:
                     text = part.column(2)[i].as_py()
                     base[i] = spans = base_spans(text, bool(some[i]))
                     near[i] = neighbours(text, spans, window) if spans else []
+                held = [[]] * part.num_rows
+                if mine := [i for i, n in enumerate(near) if n]:
+                    row, h, _, _ = term_spans(part.column(2).take(pa.array(mine)))
+                    order = np.lexsort((h, row))
+                    row, h = row[order], h[order]
+                    new = np.ones(len(h), bool)
+                    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                    for i, x in zip(mine, np.split(h[new], np.searchsorted(row[new], np.arange(1, len(mine))))):
+                        held[i] = x
                 hashes = iter(_hash_terms([t for n in near for _, t, _, _ in n]).tolist())
                 columns = [
                     part.column(0),
                     part.column(1),
                     pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in base], pa.list_(_FOUND)),
                     pa.array([[{"entity": x, "term": t, "hash": next(hashes), "start": a, "end": b} for x, t, a, b in n] for n in near], pa.list_(_NEAR)),
+                    pa.array(held, pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_row", "base", "near"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_row", "base", "near", "held"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     kept = docs.select("doc_id", row_key(F.col("text")).alias("_row"), "text")
-    return kept.mapInArrow(run, f"doc_id {id_type}, _row long, base array<struct<kind:int,start:int,end:int>>, near array<struct<entity:string,term:string,hash:long,start:int,end:int>>")
+    return kept.mapInArrow(run, f"doc_id {id_type}, _row long, base array<struct<kind:int,start:int,end:int>>, near array<struct<entity:string,term:string,hash:long,start:int,end:int>>, held array<long>")
 
 
 def count_terms(docs: DataFrame, candidates: np.ndarray | None) -> DataFrame:
@@ -187,48 +215,89 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, *, support: int, general
     total = docs.count()
     near = found.where(F.size("near") > 0).select("doc_id", "_row", F.explode("near").alias("x"))
     # a row is a document: rows that repeat an id and text count once each
-    copies = found.where(F.size("base") > 0).groupBy("doc_id", "_row").agg(F.count(F.lit(1)).alias("copies"))
+    copies = found.where(F.size("base") > 0).groupBy("doc_id", "_row").agg(F.count(F.lit(1)).alias("copies"), F.first("held").alias("held"))
+    copies = materialize(copies, "pii-copies")
     pairs = near.select("doc_id", "_row", "x.entity", "x.term", "x.hash").distinct()
-    pairs = pairs.join(copies.withColumnsRenamed({"doc_id": "_d", "_row": "_r"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")))
-    both = pairs.groupBy("entity", "term", "hash").agg(F.sum("copies").alias("d_both")).where(F.col("d_both") >= support)
-    entities = pairs.select("entity", "doc_id", "_row", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("d_entity"))
-    # a term's documents are at least those where it stands by any entity, which bounds the disclosure: pairs
-    # that can't reach the threshold need no corpus count
+    pairs = pairs.join(copies.drop("held").withColumnsRenamed({"doc_id": "_d", "_row": "_r"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")))
+    pairs = materialize(pairs.select("doc_id", "_row", "entity", "term", "hash", "copies"), "pii-near")
+    of = pairs.select("entity", "doc_id", "_row", "copies").distinct()
+    entities = of.groupBy("entity").agg(F.sum("copies").alias("d_entity"))
+    # a term's documents are at least those where it stands by any entity, and those with both at most the
+    # entity's, which bounds the disclosure: pairs that can't reach the threshold need no counts
     least = pairs.select("hash", "doc_id", "_row", "copies").distinct().groupBy("hash").agg(F.sum("copies").alias("d_least"))
-    bound = F.log2(F.col("d_both") * F.lit(float(total)) / (F.col("d_entity") * F.col("d_least"))) / F.log2(F.lit(float(total)) / F.col("d_entity"))
-    both = both.join(entities, "entity").join(least, "hash")
-    both = both.where((F.col("d_entity") < total) & (F.when(F.col("d_entity") < total, bound) >= generalise_at - 1e-6)).drop("d_least")
+    both = pairs.select("entity", "term", "hash").distinct().join(entities, "entity").join(least, "hash")
+
+    def disclosure(d_both: Column, d: Column) -> Column:
+        prior = F.when(F.col("d_entity") < support, F.lit(PRIOR)).otherwise(F.lit(0.0))
+        pmi = F.log2((d_both + prior * F.col("d_entity") / float(total)) * F.lit(float(total)) / (F.col("d_entity") * (d + prior)))
+        return F.when(F.col("d_entity") < total, pmi / F.log2(F.lit(float(total)) / F.col("d_entity"))).otherwise(F.lit(0.0))
+
+    most = F.least(F.col("d_entity"), F.col("d_least"))
+    both = both.where(disclosure(most, F.col("d_least")) >= generalise_at - 1e-6).select("entity", "term", "hash", "d_entity")
+    both = materialize(both, "pii-near-bound")
+    # documents with both: a document's terms that may disclose, by each of its entities
+    may = bounded(both.select("hash").distinct())
+    holds = copies.select("doc_id", "_row", "copies", F.explode("held").alias("hash")).join(may, "hash")
+    least = holds.groupBy("hash").agg(F.sum("copies").alias("d_held"))  # all documents with entities: a closer bound
+    holds = holds.drop("copies").withColumnsRenamed({"doc_id": "_d", "_row": "_r"})
+    met = of.join(holds, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r"))).select("entity", "hash", "copies")
+    met = met.join(bounded(both.select("entity", "hash").distinct()), ["entity", "hash"]).groupBy("entity", "hash").agg(F.sum("copies").alias("d_both"))
+    both = both.join(met, ["entity", "hash"]).where((F.col("d_both") >= support) | (F.col("d_entity") < support)).join(least, "hash")
+    both = both.where(disclosure(F.col("d_both"), F.col("d_held")) >= generalise_at - 1e-6).drop("d_held")
     both = materialize(both, "pii-pairs")
     terms = both.select("hash").distinct()
     if terms.limit(MAX_CANDIDATES + 1).count() <= MAX_CANDIDATES:
         chosen = np.sort(np.asarray(terms.toArrow().column("hash"), np.int64))
         if not len(chosen):
-            return both.select("entity", "term", F.lit(0.0).alias("disclosure"))
+            return both.select("entity", "term", "hash", F.lit(0.0).alias("disclosure"))
         counts = count_terms(docs, chosen)
     else:
         counts = count_terms(docs, None)
     both = both.join(counts, "hash")
-    pmi = F.log2(F.col("d_both") * F.lit(float(total)) / (F.col("d_entity") * F.col("d")))
-    ic = F.log2(F.lit(float(total)) / F.col("d_entity"))
-    both = both.withColumn("disclosure", F.round(F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)), 9))
-    return both.where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure")
+    both = both.withColumn("disclosure", F.round(disclosure(F.col("d_both"), F.col("d")), 9))
+    return both.where(F.col("disclosure") >= generalise_at).select("entity", "term", "hash", "disclosure")
+
+
+def find_terms(docs: DataFrame, strong: DataFrame) -> DataFrame:
+    """(doc_id, _row, start, end, disclosure) of each place of a disclosing term in docs, once for rows that
+    repeat an id and text.  Beyond MAX_CANDIDATES all places are joined with the terms."""
+    strong = strong.groupBy("hash").agg(F.max("disclosure").alias("disclosure"))
+    few = strong.limit(MAX_CANDIDATES + 1).count() <= MAX_CANDIDATES
+    chosen = np.sort(np.asarray(strong.select("hash").toArrow().column("hash"), np.int64)) if few else None
+
+    def run(batches):
+        for batch in batches:
+            for part in tc.in_steps(batch, 2, STEP_BYTES, STEP_ROWS):
+                row, h, start, end = term_spans(part.column(2))
+                if chosen is not None:
+                    hit = chosen[np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)] == h if len(chosen) else np.zeros(len(h), bool)
+                    row, h, start, end = row[hit], h[hit], start[hit], end[hit]
+                at = pa.array(row)
+                places = [pa.array(h), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *places], names=["doc_id", "_row", "hash", "start", "end"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    kept = docs.select("doc_id", row_key(F.col("text")).alias("_row"), "text")
+    places = kept.mapInArrow(run, f"doc_id {id_type}, _row long, hash long, start int, end int")
+    return places.join(bounded(strong), "hash").select("doc_id", "_row", "start", "end", "disclosure").distinct()
 
 
 def sanitise(docs: DataFrame, *, window: int = WINDOW, support: int = SUPPORT, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """(doc_id, _row, base, terms) for each row of docs: base spans (kind, start, end), and spans of
-    disclosing terms with their disclosure.
+    disclosing terms with their disclosure; a term that touches a base span is part of it.
 
     A null text counts as empty and has no spans.  A row is a document in all counts, repeated rows too;
     they get equal results.  Columns other than doc_id and text do not enter.
     """
     docs = docs.select("doc_id", "text")
     found = materialize(find_entities(docs, window), "pii-found")
-    strong = bounded(materialize(disclosing_terms(docs, found, support=support, generalise_at=generalise_at), "pii-terms"))
-    near = found.where(F.size("near") > 0).select("doc_id", "_row", F.explode("near").alias("x")).select("doc_id", "_row", "x.*").dropDuplicates(["doc_id", "_row", "entity", "start"])
-    hit = near.join(strong, ["entity", "term"]).groupBy("doc_id", "_row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    strong = materialize(disclosing_terms(docs, found, support=support, generalise_at=generalise_at), "pii-terms")
+    hit = find_terms(docs, strong)
     hit = hit.groupBy(F.col("doc_id").alias("_d"), F.col("_row").alias("_r")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
     out = found.join(hit, found["doc_id"].eqNullSafe(hit["_d"]) & (found["_row"] == hit["_r"]), "left")
-    return out.select("doc_id", "_row", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,disclosure:double>>")).alias("terms"))
+    terms = F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,disclosure:double>>"))
+    free = F.filter(terms, lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return out.select("doc_id", "_row", "base", free.alias("terms"))
 
 
 def masked(docs: DataFrame, found: DataFrame, *, remove_at: float = REMOVE_AT) -> DataFrame:
@@ -249,7 +318,7 @@ def masked(docs: DataFrame, found: DataFrame, *, remove_at: float = REMOVE_AT) -
         return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), part.alias("out")))
 
     end = F.aggregate(F.array_sort(F.concat(base, terms)), zero, step)
-    d = d.withColumn("_end", F.when(F.size("_base") > 0, end))
+    d = d.withColumn("_end", F.when(F.size("_base") + F.size("_terms") > 0, end))
     new = F.when(F.col("_end").isNull(), F.col("text")).otherwise(F.concat(F.col("_end.out"), F.expr("substring(text, _end.at + 1)")))
     return d.select(*(new.alias(c) if c == "text" else F.col(c) for c in docs.columns))
 
