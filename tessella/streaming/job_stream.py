@@ -64,13 +64,20 @@ def once_per_key(events: DataFrame, key: list[str], within: str = "30 days") ->
 
 
 def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what its source holds now and return the table of its output rows."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over what its source holds now and return its output rows, which each batch writes to
+    Parquet beside the checkpoint, a folder of its own that a repeated batch overwrites."""
+    spark, path = stream.sparkSession, f"{checkpoint}-rows"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/none")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(put).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
 
 
 def write_latest(stream: DataFrame, path: str, checkpoint: str):
