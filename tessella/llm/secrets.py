@@ -27,9 +27,10 @@ MIN_LENGTH = {"assign": 12, "access": 18, "hex": 16}
 #: Weak parts: kind, role, a quick test, pattern.
 WEAK = (
     ("weak_access", "access", r"A[KS]IA[A-Z0-9]{8}", r"\bA[KS]IA[A-Z0-9]{8,}"),
-    ("weak_user", "access", r"(?i)access_?key|client_?id|username", r"""(?i:access_?key(?:_?id)?|client_?id|username)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}"""),
-    ("weak_assign", "secret", r"(?i)password|passwd|secret|token|api_?key", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""),
-    ("weak_blob", "secret", r"[A-Za-z0-9+/]{40}", r"(?<![A-Za-z0-9+/=])(?=[a-z+/]*[A-Z0-9])(?=[^0-9]{0,39}[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"),
+    ("weak_user", "access", r"(?i)access_?key|client_?id|username", r"""(?i:(?<!secret_)(?<!secret)access_?key(?:_?id)?|client_?id|username)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}"""),
+    ("weak_assign", "secret", r"(?i)password|passwd|secret|token|api_?key", r"""(?i:password|passwd|secret(?:_?(?:access_?)?key)?|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""),
+    # 40 characters, or 32 and more of mixed case; "=" may stand before it, and pads it if no more follows
+    ("weak_blob", "secret", r"[A-Za-z0-9+/]{32}", r"(?<![A-Za-z0-9+/])(?:(?=[a-z+/]*[A-Z0-9])(?=[^0-9]{0,39}[0-9])[A-Za-z0-9+/]{40}|(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{32,}+={0,2}+)(?![A-Za-z0-9+/=])"),
     ("weak_endpoint", "endpoint", r"://|(?i)endpoint", r"""(?i:endpoint["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,}|[a-z][a-z0-9+]{1,15}://[A-Za-z0-9.-]+(?::[0-9]+)?)"""),
 )
 KINDS = ("assign", "access", "hex", *(w[0] for w in WEAK))
