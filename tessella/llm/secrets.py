@@ -2,9 +2,10 @@
 
 Three patterns find secrets on their own.  A credential often comes in parts, though: an access
 identifier, a secret and an endpoint, each too weak to report alone.  Weak parts are reported when a
-part of another role begins within `scope` characters of them in the same document.  That interval join
-runs on (document, bin): parts are summed up to the first and last position per role and bin of `scope`
-characters, so a weak part looks at three bins and no pairs are made, however many parts a document has.
+part of another role lies within `scope` characters of them in the same document, from the end of one to the
+start of the other.  That interval join runs on (document, bin): parts enter every bin of `scope` characters
+that they cover and are summed up to the least start and greatest end per role and bin, so a weak part looks at
+the bins within its reach and no pairs are made, however many parts a document has.
 
 Spark has no function that gives the places of all matches; they follow from the lengths of the matches
 and of the text between them (split by the same pattern).
@@ -94,12 +95,15 @@ def scan_secrets(docs: DataFrame, *, scope: int = SCOPE) -> DataFrame:
     roles = F.array(*(F.lit(ROLE_OF_BASE.get(k) or WEAK[i - 3][1]) for i, k in enumerate(KINDS)))
     some = d.where(F.size("_weak") > 0).dropDuplicates(["doc_id", "_row"])
     parts = some.select("doc_id", "_row", F.explode(F.concat("base", "_weak")).alias("s"))
-    parts = parts.withColumn("role", F.element_at(roles, F.col("s.kind") + 1)).withColumn("bin", F.floor(F.col("s.start") / scope).cast("long"))
-    reach = parts.groupBy("doc_id", "_row", "bin", "role").agg(F.min("s.start").alias("low"), F.max("s.start").alias("high"))
+    parts = parts.withColumn("role", F.element_at(roles, F.col("s.kind") + 1))
+    bins = lambda first, last: F.explode(F.sequence(F.floor(first / scope), F.floor(last / scope))).alias("bin")
+    start, end = F.col("s.start"), F.col("s.end")
+    reach = parts.select("doc_id", "_row", "role", "s", bins(start, end - 1)).groupBy("doc_id", "_row", "bin", "role").agg(F.min("s.start").alias("low"), F.max("s.end").alias("high"))
     reach = reach.withColumnsRenamed({"role": "other"})
-    asks = parts.where(F.col("s.kind") >= 3).select("doc_id", "_row", "s", "role", F.col("bin").alias("own"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    asks = parts.where(F.col("s.kind") >= 3).select("doc_id", "_row", "s", "role", bins(start - scope - 1, end + scope))
     same = asks["doc_id"].eqNullSafe(reach["doc_id"]) & (asks["_row"] == reach["_row"]) & (asks["bin"] == reach["bin"])
-    near = (reach["low"] <= F.col("s.start") + scope) & (reach["high"] >= F.col("s.start") - scope)
+    # only the bins at the two ends of the reach hold parts beyond it, and each on one side
+    near = (reach["low"] <= end + scope) & (reach["high"] >= start - scope)
     linked = asks.join(reach, same & (asks["role"] != reach["other"]) & near, "left_semi")
     linked = linked.groupBy(F.col("doc_id").alias("_d"), F.col("_row").alias("_r")).agg(F.collect_set("s").alias("linked"))
     out = d.join(linked, d["doc_id"].eqNullSafe(linked["_d"]) & (d["_row"] == linked["_r"]), "left")

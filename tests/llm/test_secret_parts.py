@@ -16,3 +16,12 @@ def test_secret_of_an_unspaced_pair(make):
     assert ("weak_assign", f"SECRET_ACCESS_KEY={secret}") in got[1]
     assert got[2] == {("weak_blob", "aB3" * 11)} and got[3] == {("weak_blob", "aB3d" * 16)} and got[4] == {("weak_blob", "aB3" * 11 + "=")}
     assert got[5] == got[6] == set()
+
+
+def test_parts_link_by_the_gap_between_them(make):
+    long = "password=" + "x" * 700
+    rows = [(1, f"{long} client_id=abcd", "s"), (2, f"client_id=abcd {long}", "s"), (3, f"{long}{' ' * 200}client_id=abcd", "s"), (4, f"{long}{' ' * 201}client_id=abcd", "s")]
+    rows += [(5, f"client_id=abcd{' ' * 200}{long}", "s"), (6, f"client_id=abcd{' ' * 201}{long}", "s")]
+    got = linked(make, rows)
+    user = ("weak_user", "client_id=abcd")
+    assert all((user in got[d]) == (d not in (4, 6)) for d, _, _ in rows)
