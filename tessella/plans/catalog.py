@@ -112,7 +112,7 @@ def l2_normalize(spark, d):
     return _t(spark, d, "embeddings").select("vec_id", F.transform(retrieval.normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
 
 
-_BATCH = f"""SELECT q.vec_id AS query_id, e.vec_id, {_SIM} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id < 8"""
+_BATCH = f"""SELECT q.vec_id AS query_id, e.vec_id, {_SIM} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0"""
 _BATCH_TOP = f"""SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM ({_BATCH}) WHERE similarity IS NOT NULL QUALIFY rank <= 12"""
 
 
@@ -390,14 +390,14 @@ def progress_curve(spark, d):
 # Reports
 
 
-@query(f"SELECT user_id, CASE WHEN bool_or({_SEVERITY} = 'HIGH') THEN 'HIGH' WHEN bool_or({_SEVERITY} = 'MEDIUM') THEN 'MEDIUM' ELSE 'LOW' END AS level FROM events WHERE event_id % 20 = 3 GROUP BY user_id")
+@query(f"SELECT user_id, CASE WHEN bool_or({_SEVERITY} = 'HIGH') THEN 'HIGH' WHEN bool_or({_SEVERITY} = 'MEDIUM') THEN 'MEDIUM' ELSE 'LOW' END AS level FROM events GROUP BY user_id")
 def risk_level_rollup(spark, d):
     e = _t(spark, d, "events")
     return e.groupBy("user_id").agg(F.max(scalars.severity_rank(_severity())).alias("r")).select("user_id", scalars.risk_level(F.col("r")).alias("level"))
 
 
 @query("""SELECT user_id, score::INT AS score, CASE WHEN score >= 80 THEN 'safe' WHEN score >= 60 THEN 'caution' ELSE 'risk' END AS label, (100 - score)::INT AS risk_percent FROM (
-  SELECT user_id, greatest(20, 100 - 25 * count(*) FILTER (event_type = 'error') - 12 * count(*) FILTER (event_type = 'purchase') - 4 * count(*) FILTER (event_type = 'signup')) AS score FROM events WHERE event_id % 20 = 3 GROUP BY 1)""")
+  SELECT user_id, greatest(20, 100 - 25 * count(*) FILTER (event_type = 'error') - 12 * count(*) FILTER (event_type = 'purchase') - 4 * count(*) FILTER (event_type = 'signup')) AS score FROM events GROUP BY 1)""")
 def safety_score(spark, d):
     e = _t(spark, d, "events")
     n = [F.count_if(F.col("event_type") == k).cast("int") for k in ("error", "purchase", "signup")]
