@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: A word, by the engine's own regular expressions: anything but the six ASCII whitespace characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: A side with at most this many (narrow) rows may be broadcast.
-BROADCAST_ROWS = 200_000
+#: A side may be broadcast up to so many rows, and so many bytes of its texts.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,12 +18,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder of the
-    context; a temporary folder is made only where neither is set, as in local tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder of the context."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.sparkContext.setCheckpointDir(at)
+        raise ValueError("set spark.checkpoint.dir (or the context's checkpoint folder) to a folder that driver and executors share")
     return at.rstrip("/")
 
 
@@ -34,13 +31,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held._at = path
+    return held
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows; beyond that df as it is, so that the
-    join shuffles (and AQE splits its skewed partitions)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def release(*tables: DataFrame) -> None:
+    """Empty tables that materialize() has written and nothing reads any more."""
+    for t in tables:
+        t.sparkSession.createDataFrame([], t.schema).write.mode("overwrite").parquet(t._at)
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows and its texts `size` bytes; beyond that df as it
+    is, so that the join shuffles (and AQE splits its skewed partitions)."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    each = F.lit(0).cast("long")
+    for t in texts:
+        each = each + t
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(each)).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
 
 
 def n_words(text: Column) -> Column:
@@ -50,3 +60,11 @@ def n_words(text: Column) -> Column:
 def row_key(text: Column) -> Column:
     """With doc_id, tells rows apart; equal rows share it and get equal results."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
+def own_name(name: str, taken: list[str]) -> str:
+    """A column name of an operator, with underscores after it until no column of the caller has it."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name

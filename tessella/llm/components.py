@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Every step is an aggregation (partial before the shuffle) and a join on node ids; the edge table is
-written to the shared folder after each round.  Nothing is collected but two numbers a round.
+written to the shared folder after each round, and the round's before emptied.  Nothing is collected but two numbers a round.
 """
 
 from __future__ import annotations
@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b: long): root is the smallest node it is connected with.
     Self-loops, repeated edges and either direction are fine; no edges give no rows."""
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialize(e, "edges")
+    held = e = materialize(e, "edges")
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,7 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         star = e.join(low, "u")
         e = star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(e, "edges")
+        last, e = held, materialize(e, "edges")
+        held = e
+        release(last)
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

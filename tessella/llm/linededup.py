@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, read, row_key
+from .common import bounded, materialize, own_name, read, row_key
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -22,8 +22,6 @@ MIN_SITES = 10
 LG_K = 10
 #: Estimates within so many standard errors of the threshold are counted exactly.
 NEAR = 5.0
-#: If more of a document than this would go, it is a copy rather than a page with boilerplate, and stays.
-MAX_SHARE = 0.5
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -35,12 +33,14 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def boilerplate_lines(docs: DataFrame, *, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> tuple[DataFrame, DataFrame]:
     """(lines, occurrences): the hashes of boilerplate lines with the place of their first occurrence (by
-    doc_id, then line number), and the occurrences of all lines that occur min_sites times."""
+    doc_id, then line number; null if no row with an id has the line), and the occurrences of all lines
+    that occur min_sites times."""
     lines = _lines(docs)
     often = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites)
     often = materialize(often.select("h1", "h2"), "lines-often")
     seen = materialize(lines.join(bounded(often), ["h1", "h2"]), "lines-seen")
-    spread = seen.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", lg_k).alias("_sketch"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    place = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "pos"))
+    spread = seen.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", lg_k).alias("_sketch"), F.min(place).alias("first"))
     spread = materialize(spread.select("h1", "h2", "first", F.hll_sketch_estimate("_sketch").alias("estimate")), "lines-spread")
     error = NEAR * 1.04 / 2 ** (lg_k / 2)
     low, high = min_sites * (1 - error), min_sites * (1 + error) + 1
@@ -52,59 +52,71 @@ def boilerplate_lines(docs: DataFrame, *, min_sites: int = MIN_SITES, lg_k: int
     return materialize(found, "lines-found"), seen
 
 
-def dedup_lines(docs: DataFrame, *, min_sites: int = MIN_SITES, lg_k: int = LG_K, max_share: float = MAX_SHARE) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """docs with boilerplate lines taken out of text, and n_lines, n_boilerplate (lines that are
-    boilerplate and not its first occurrence) and n_removed.
+    boilerplate and not its first occurrence), n_removed and whole_copy.
 
     A line counts by its text without surrounding spaces; blank lines are kept and never counted.  The
-    first occurrence of each boilerplate line in the corpus stays.  If more than max_share of a
-    document's characters would go, nothing is taken from it (whole copies are for near-duplicate
-    detection).  A null text stays null with no lines, an empty one has one blank line; a null source is
-    one site; rows that repeat a doc_id and text are treated alike.  Other columns are passed on.
+    first occurrence of each boilerplate line in the corpus stays, where rows with a null doc_id hold none.
+    Boilerplate goes whatever its share of a text.  Only a text of which no line but blank ones would be
+    left is no page with boilerplate but a copy of a page, of which whole-document deduplication has to
+    leave one: it stays as it is, with whole_copy true and n_removed 0.
+
+    A null text stays null with no lines, an empty one has one blank line; a null source is one site; rows
+    that repeat a doc_id and text are treated alike.  Other columns are passed on, whatever their names; if
+    one has the name of a figure, the figure's gets an underscore after it.
     """
     found, seen = boilerplate_lines(docs, min_sites=min_sites, lg_k=lg_k)
     at = seen.join(bounded(found), ["h1", "h2"])
-    at = at.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")) | F.col("doc_id").isNull())
-    drop = at.groupBy(F.col("doc_id").alias("_doc"), F.col("_row").alias("_key")).agg(F.collect_set("pos").alias("_drop"))
-    d = docs.withColumn("_row_key", row_key(F.col("text")))
-    d = d.join(drop, d["doc_id"].eqNullSafe(drop["_doc"]) & (F.col("_row_key") == F.col("_key")), "left")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
-    d = d.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept))
-    small = F.length("_kept") < F.length("text") * (1 - max_share)
-    cut = F.col("_drop").isNotNull() & ~small
-    flagged = F.coalesce(F.size("_drop"), F.lit(0))
-    out = {c: F.col(c) for c in docs.columns} | {"text": F.when(cut, F.col("_kept")).otherwise(F.col("text"))}
+    first = F.coalesce((F.col("doc_id") == F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")), F.lit(False))
+    drop = at.where(~first).groupBy(F.col("doc_id").alias("_doc"), F.col("_row").alias("_key")).agg(F.collect_set("pos").alias("_drop"))
+    # a row of the caller travels as one value, its text as lines
+    rest = [c for c in docs.columns if c != "text"]
+    d = docs.select(F.struct(*rest).alias("_rest"), F.split("text", "\n").alias("_lines"), row_key(F.col("text")).alias("_row_key"))
+    d = d.join(drop, F.col("_rest.doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row_key") == F.col("_key")), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
+    d = d.withColumn("_kept", F.when(F.col("_drop").isNotNull(), F.transform(stay, lambda i: F.get(F.col("_lines"), i))))
+    copy = F.col("_drop").isNotNull() & ~F.exists("_kept", lambda x: F.trim(x) != "")
+    cut = F.col("_drop").isNotNull() & ~copy
+    text = F.when(cut, F.array_join("_kept", "\n")).otherwise(F.array_join("_lines", "\n"))
+    flagged = F.coalesce(F.when(F.col("_drop").isNotNull(), F.size("_drop")), F.lit(0)).cast("long")
+    out = {c: text if c == "text" else F.col("_rest")[c] for c in docs.columns}
     if "n_chars" in out:
-        out["n_chars"] = F.when(cut, F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    out["n_lines"] = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    out["n_boilerplate"] = F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(flagged).cast("long")
-    out["n_removed"] = F.when(cut, flagged).otherwise(F.lit(0)).cast("long")
+        out["n_chars"] = F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    figures = {
+        "n_lines": F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long"),
+        "n_boilerplate": flagged,
+        "n_removed": F.when(cut, flagged).otherwise(F.lit(0)).cast("long"),
+        "whole_copy": copy,
+    }
+    for name, value in figures.items():
+        out[own_name(name, docs.columns)] = value
     return d.select(*(v.alias(c) for c, v in out.items()))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document after line dedup over its sources; see dedup_lines() for nulls, blanks and repeats."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return dedup_lines(docs).select("doc_id", "source", "n_lines", "n_boilerplate", "n_removed", "text")
+    return dedup_lines(docs).select("doc_id", "source", "n_lines", "n_boilerplate", "n_removed", "whole_copy", "text")
 
 
 ORACLE = f"""
 WITH cells AS (
   SELECT doc_id, text, coalesce('s' || source, '-') AS site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents
 ), spread AS (
-  SELECT trim(line) AS line, min((doc_id, pos)) AS f FROM cells WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT site) >= {MIN_SITES}
+  SELECT trim(line) AS line, min((doc_id, pos)) FILTER (doc_id IS NOT NULL) AS f FROM cells WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT site) >= {MIN_SITES}
 ), flagged AS (
-  SELECT c.doc_id, c.text, c.pos FROM cells c JOIN spread s ON trim(c.line) = s.line WHERE c.doc_id IS NULL OR (c.doc_id, c.pos) <> s.f GROUP BY ALL
+  SELECT c.doc_id, c.text, c.pos FROM cells c JOIN spread s ON trim(c.line) = s.line WHERE c.doc_id IS NULL OR s.f IS NULL OR (c.doc_id, c.pos) <> s.f GROUP BY ALL
 ), dropped AS (
   SELECT doc_id, text, list(pos) AS p FROM flagged GROUP BY ALL
 ), cut AS (
-  SELECT d.doc_id, d.source, d.text, p, CASE WHEN p IS NOT NULL THEN
-    array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(p, i - 1)), chr(10)) END AS kept
+  SELECT d.doc_id, d.source, d.text, p, CASE WHEN p IS NOT NULL THEN list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(p, i - 1)) END AS kept
   FROM documents d LEFT JOIN dropped x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.text IS NOT DISTINCT FROM x.text
+), told AS (
+  SELECT *, p IS NOT NULL AND len(list_filter(kept, lambda x: trim(x) <> '')) = 0 AS whole_copy FROM cut
 )
-SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines,
-  coalesce(len(p), 0)::BIGINT AS n_boilerplate,
-  CASE WHEN p IS NOT NULL AND length(kept) >= length(text) * {1 - MAX_SHARE} THEN len(p) ELSE 0 END::BIGINT AS n_removed,
-  CASE WHEN p IS NOT NULL AND length(kept) >= length(text) * {1 - MAX_SHARE} THEN kept ELSE text END AS text
-FROM cut
+SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(len(p), 0)::BIGINT AS n_boilerplate,
+  CASE WHEN p IS NOT NULL AND NOT whole_copy THEN len(p) ELSE 0 END::BIGINT AS n_removed, whole_copy,
+  CASE WHEN p IS NOT NULL AND NOT whole_copy THEN array_to_string(kept, chr(10)) ELSE text END AS text
+FROM told
 """

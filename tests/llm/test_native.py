@@ -72,9 +72,9 @@ def brute_dedup(rows, least):
     out = []
     for d, t, s in rows:
         lines = t.split("\n") if t is not None else []
-        drop = [i for i, x in enumerate(lines) if len(sites.get(x.strip(" "), ())) >= least and first.get(x.strip(" ")) != (d, i)]
-        kept = "\n".join(x for i, x in enumerate(lines) if i not in drop)
-        out.append((d, kept if drop and len(kept) >= len(t) / 2 else t))
+        drop = [i for i, x in enumerate(lines) if len(sites.get(x.strip(" "), ())) >= least and (d is None or first.get(x.strip(" ")) != (d, i))]
+        kept = [x for i, x in enumerate(lines) if i not in drop]
+        out.append((d, "\n".join(kept) if drop and any(x.strip(" ") for x in kept) else t))
     return sorted(out, key=repr)
 
 
@@ -84,7 +84,29 @@ def test_line_dedup(make):
     got = linededup.dedup_lines(make(rows), min_sites=5)
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == brute_dedup(rows, 5)
     by = {r.doc_id: r for r in got.collect()}
-    assert by[0].n_removed == 0 and by[1].n_removed == 1 and by[2].n_removed == 2 and by[100].n_removed == by[103].n_removed == 0
+    assert by[0].n_removed == 0 and by[1].n_removed == 1 and by[2].n_removed == 2 and by[3].text == "x3" and by[100].n_removed == by[103].n_removed == 0
+    assert {d for d, r in by.items() if r.whole_copy} == set(range(101, 107)) and by[103].n_boilerplate == 2
+
+
+def test_line_dedup_null_ids_and_clashing_columns(spark):
+    rows = [(None, "common\nof no id", "s0")] + [(i, f"common\nown {i}", f"s{i}") for i in range(1, 8)]
+    rows += [(None, f"only without ids\nown {i}", f"s{i}") for i in range(5)] + [(4, "common\nown 4", "s4")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clash = ("_drop", "_kept", "_lines", "_rest", "_doc", "_key", "_row_key", "n_lines", "N_Removed", "whole_copy", "first", "h1", "pos", "n_chars")
+    got = linededup.dedup_lines(df.withColumns({c: F.lit(7).cast("long") for c in clash}), min_sites=3)
+    assert got.columns == [*df.columns, *clash, "n_lines_", "n_boilerplate", "n_removed_", "whole_copy_"]
+    out = got.collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=repr) == brute_dedup(rows, 3)
+    assert {r.text for r in out if r.doc_id == 1} == {"common\nown 1"} and {r["_kept"] for r in out} == {7} and {r.n_chars for r in out} <= {4, 5, 6, 7, 8}
+
+
+def test_line_dedup_of_a_very_long_text_is_linear(make):
+    import time
+
+    rows = [(i, "\n".join(f"{x % 2 and 'shared' or 'own' + str(i)} {x}" for x in range(30000)), f"s{i}") for i in range(5)]
+    began = time.time()
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(make(rows), min_sites=5).collect()}
+    assert got == {0: 0, 1: 15000, 2: 15000, 3: 15000, 4: 15000} and time.time() - began < 60
 
 
 def test_line_dedup_odd(odd, empty):
