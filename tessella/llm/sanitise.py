@@ -3,22 +3,26 @@
 Base spans are emails, addresses, cards and phones by pattern.  Words beside such an entity may give it
 away even when it is masked: a term t discloses entity e by PMI(e; t) / IC(e), estimated from the corpus
 as log2(d(e,t) N / (d(e) d(t))) / log2(N / d(e)), where d counts documents, and d(e,t) those that hold both.
-Terms that stand within `window` terms of e somewhere are tried.  A term that reaches `generalise_at` is
+d(e) counts all documents that hold e, whatever stands beside it.  Terms that stand within `window` terms of e somewhere are tried.  A term that reaches `generalise_at` is
 generalised (its kind stands in its place), one that reaches `remove_at` is removed, wherever it stands in any
 document.  A pair needs `support` documents with both; an entity of fewer documents than that has its estimate
 smoothed by PRIOR documents that hold t and say nothing about e.
 
 Entities, their neighbours and the terms of documents with entities are found in one pass and written as a
-table; terms that may disclose need a corpus count, which is a second pass that sums per Arrow slice before
-anything is shuffled.  A third pass finds the disclosing terms in whole texts.
+table of places and hashes: entities by a keyed hash whose key only the running job has, so no personal data
+stays on storage.  Terms that may disclose need a corpus count, which is a second pass that sums per Arrow slice
+before anything is shuffled.  A third pass finds the disclosing terms in whole texts and sanitises these.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,35 +92,38 @@ def _ascii_lower(s: str) -> str:
     return s.encode().translate(tc.LOWER.tobytes()).decode()
 
 
-def neighbours(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of terms of 3 or more characters up to `window` terms before and after
-    each entity, none of which touches an entity."""
-    taken = sorted((a, b) for _, a, b in spans)
-    out = []
-    for kind, a, b in spans:
-        entity = f"{KINDS[kind]}:{_ascii_lower(text[a:b])}"
-        low = max(0, a - 24 * window)  # a stretch around the entity that is long enough, unless terms are
-        while low and len(_TERM.findall(text, low, a)) <= window:
-            low = max(0, low - 24 * window - (a - low))
-        before = [m.span() for m in _TERM.finditer(text, low, a)][-window:]
-        after = []
-        for m in _TERM.finditer(text, b):
-            after.append(m.span())
-            if len(after) == window:
-                break
-        for s, e in before + after:
-            if e - s >= 3 and not any(x < e and s < y for x, y in taken):
-                out.append((entity, _ascii_lower(text[s:e]), s, e))
-    return out
+def touching(spans: list[tuple[int, int, int]], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each of the stretches start to end overlaps one of the spans (kind, start, end)."""
+    if not spans:
+        return np.zeros(len(start), bool)
+    at = np.array(sorted((a, b) for _, a, b in spans))
+    reach = np.maximum.accumulate(at[:, 1])  # the furthest end of the spans up to each
+    before = np.searchsorted(at[:, 0], end, "left")
+    return (before > 0) & (reach[np.maximum(before, 1) - 1] > start)
+
+
+def neighbours(spans: list[tuple[int, int, int]], start: np.ndarray, end: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(span number, term number) of the terms (start to end, in order) of 3 or more characters up to `window`
+    terms before and after each span, none of which touches a span."""
+    a, b = (np.array([s[k] for s in spans], np.int64) for k in (1, 2))
+    near = np.concatenate([np.searchsorted(end, a, "right")[:, None] - 1 - np.arange(window), np.searchsorted(start, b, "left")[:, None] + np.arange(window)], axis=1)
+    span, term = np.repeat(np.arange(len(spans)), 2 * window), near.ravel()
+    inside = (term >= 0) & (term < len(start))
+    span, term = span[inside], term[inside]
+    fit = (end - start >= 3) & ~touching(spans, start, end)
+    return span[fit[term]], term[fit[term]]
 
 
 _FOUND = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-_NEAR = pa.struct([("entity", pa.string()), ("term", pa.string()), ("hash", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
-def _hash_terms(terms: list[str]) -> np.ndarray:
-    raw, off, _ = tc.column_bytes(pa.array(terms, pa.string()))
-    return tc.span_hashes(raw, off[:-1], off[1:]).view(np.int64)
+def _lists(sizes: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
+def _span_lists(spans: list[list[tuple[int, int, int]]]) -> pa.Array:
+    flat = np.array([x for s in spans for x in s], np.int32).reshape(-1, 3)
+    return _lists([len(s) for s in spans], pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], fields=list(_FOUND)))
 
 
 def term_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -132,46 +139,59 @@ def term_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return row, h, points[begin] - at, points[end] - at
 
 
+def base_of(texts: pa.Array) -> list[list[tuple[int, int, int]]]:
+    """Base spans of each text; texts without a digit or an @ are not made Python strings."""
+    raw, off, _ = tc.column_bytes(texts)
+    digits = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((raw >= 48) & (raw <= 57), out=digits[1:])
+    some = digits[off[1:]] > digits[off[:-1]]
+    at = np.flatnonzero(raw == 64)
+    some_at = np.searchsorted(at, off[1:]) > np.searchsorted(at, off[:-1])
+    base = [[]] * len(texts)
+    for i in np.flatnonzero(some | some_at).tolist():
+        base[i] = base_spans(texts[i].as_py(), bool(some[i]))
+    return base
+
+
 def find_entities(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, _row, base, near, held): base spans of each row, the terms beside them, and the hashes of all
-    terms of a row that has neighbours."""
+    """(doc_id, _row, entities, near, held) of each row with a base span: its distinct entities, the pairs of an
+    entity and (the hash of) a term beside it, and the hashes of all its terms."""
+    salt = os.urandom(16)
 
     def run(batches):
         for batch in batches:
             for part in tc.in_steps(batch, 2, STEP_BYTES, STEP_ROWS):
-                raw, off, _ = tc.column_bytes(part.column(2))
-                digits = np.zeros(len(raw) + 1, np.int32)
-                np.cumsum((raw >= 48) & (raw <= 57), out=digits[1:])
-                some = digits[off[1:]] > digits[off[:-1]]
-                at = np.flatnonzero(raw == 64)
-                some_at = np.searchsorted(at, off[1:]) > np.searchsorted(at, off[:-1])
-                base, near = [[]] * part.num_rows, [[]] * part.num_rows
-                for i in np.flatnonzero(some | some_at).tolist():
-                    text = part.column(2)[i].as_py()
-                    base[i] = spans = base_spans(text, bool(some[i]))
-                    near[i] = neighbours(text, spans, window) if spans else []
-                held = [[]] * part.num_rows
-                if mine := [i for i, n in enumerate(near) if n]:
-                    row, h, _, _ = term_spans(part.column(2).take(pa.array(mine)))
-                    order = np.lexsort((h, row))
-                    row, h = row[order], h[order]
-                    new = np.ones(len(h), bool)
-                    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                    for i, x in zip(mine, np.split(h[new], np.searchsorted(row[new], np.arange(1, len(mine))))):
-                        held[i] = x
-                hashes = iter(_hash_terms([t for n in near for _, t, _, _ in n]).tolist())
+                texts, base = part.column(2), base_of(part.column(2))
+                mine = [i for i, s in enumerate(base) if s]
+                row, h, start, end = term_spans(texts.take(pa.array(mine, pa.int64())))
+                cut = np.searchsorted(row, np.arange(len(mine) + 1))
+                entities, near_entity, near_hash, held = [], [], [], []
+                for k, i in enumerate(mine):
+                    text, (a, b) = texts[i].as_py(), cut[k : k + 2]
+                    names = [hashlib.blake2b(f"{KINDS[kind]}:{_ascii_lower(text[x:y])}".encode(), digest_size=16, key=salt).digest() for kind, x, y in base[i]]
+                    known = {n: j for j, n in enumerate(dict.fromkeys(names))}
+                    span, term = neighbours(base[i], start[a:b], end[a:b], window)
+                    number = np.array([known[n] for n in names])
+                    pairs = np.unique(np.stack([number[span], h[a:b][term]]), axis=1)
+                    every = list(known)
+                    entities.append(every)
+                    near_entity.append([every[j] for j in pairs[0].tolist()])
+                    near_hash.append(pairs[1])
+                    held.append(np.unique(h[a:b]))
+                longs = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
+                names = pa.array([n for e in near_entity for n in e], pa.binary())
                 columns = [
-                    part.column(0),
-                    part.column(1),
-                    pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in base], pa.list_(_FOUND)),
-                    pa.array([[{"entity": x, "term": t, "hash": next(hashes), "start": a, "end": b} for x, t, a, b in n] for n in near], pa.list_(_NEAR)),
-                    pa.array(held, pa.list_(pa.int64())),
+                    part.column(0).take(pa.array(mine, pa.int64())),
+                    part.column(1).take(pa.array(mine, pa.int64())),
+                    pa.array(entities, pa.list_(pa.binary())),
+                    _lists([len(e) for e in near_entity], pa.StructArray.from_arrays([names, longs(near_hash)], names=["entity", "hash"])),
+                    _lists([len(x) for x in held], longs(held)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_row", "base", "near", "held"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_row", "entities", "near", "held"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     kept = docs.select("doc_id", row_key(F.col("text")).alias("_row"), "text")
-    return kept.mapInArrow(run, f"doc_id {id_type}, _row long, base array<struct<kind:int,start:int,end:int>>, near array<struct<entity:string,term:string,hash:long,start:int,end:int>>, held array<long>")
+    return kept.mapInArrow(run, f"doc_id {id_type}, _row long, entities array<binary>, near array<struct<entity:binary,hash:long>>, held array<long>")
 
 
 def count_terms(docs: DataFrame, candidates: np.ndarray | None) -> DataFrame:
@@ -211,21 +231,17 @@ def count_terms(docs: DataFrame, candidates: np.ndarray | None) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, *, support: int, generalise_at: float) -> DataFrame:
-    """(entity, term, disclosure) of terms whose disclosure of the entity reaches generalise_at."""
+    """(hash, disclosure) of terms whose disclosure of some entity reaches generalise_at, by the most that it is."""
     total = docs.count()
-    near = found.where(F.size("near") > 0).select("doc_id", "_row", F.explode("near").alias("x"))
     # a row is a document: rows that repeat an id and text count once each
-    copies = found.where(F.size("base") > 0).groupBy("doc_id", "_row").agg(F.count(F.lit(1)).alias("copies"), F.first("held").alias("held"))
+    copies = found.groupBy("doc_id", "_row").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("entities", "near", "held")))
     copies = materialize(copies, "pii-copies")
-    pairs = near.select("doc_id", "_row", "x.entity", "x.term", "x.hash").distinct()
-    pairs = pairs.join(copies.drop("held").withColumnsRenamed({"doc_id": "_d", "_row": "_r"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")))
-    pairs = materialize(pairs.select("doc_id", "_row", "entity", "term", "hash", "copies"), "pii-near")
-    of = pairs.select("entity", "doc_id", "_row", "copies").distinct()
+    of = copies.select("doc_id", "_row", "copies", F.explode("entities").alias("entity"))
     entities = of.groupBy("entity").agg(F.sum("copies").alias("d_entity"))
     # a term's documents are at least those where it stands by any entity, and those with both at most the
     # entity's, which bounds the disclosure: pairs that can't reach the threshold need no counts
-    least = pairs.select("hash", "doc_id", "_row", "copies").distinct().groupBy("hash").agg(F.sum("copies").alias("d_least"))
-    both = pairs.select("entity", "term", "hash").distinct().join(entities, "entity").join(least, "hash")
+    least = copies.select("copies", F.explode(F.array_distinct("near.hash")).alias("hash")).groupBy("hash").agg(F.sum("copies").alias("d_least"))
+    both = copies.select(F.explode("near").alias("x")).select("x.entity", "x.hash").distinct().join(entities, "entity").join(least, "hash")
 
     def disclosure(d_both: Column, d: Column) -> Column:
         prior = F.when(F.col("d_entity") < support, F.lit(PRIOR)).otherwise(F.lit(0.0))
@@ -233,15 +249,15 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, *, support: int, general
         return F.when(F.col("d_entity") < total, pmi / F.log2(F.lit(float(total)) / F.col("d_entity"))).otherwise(F.lit(0.0))
 
     most = F.least(F.col("d_entity"), F.col("d_least"))
-    both = both.where(disclosure(most, F.col("d_least")) >= generalise_at - 1e-6).select("entity", "term", "hash", "d_entity")
+    both = both.where(disclosure(most, F.col("d_least")) >= generalise_at - 1e-6).select("entity", "hash", "d_entity")
     both = materialize(both, "pii-near-bound")
-    # documents with both: a document's terms that may disclose, by each of its entities
-    may = bounded(both.select("hash").distinct())
-    holds = copies.select("doc_id", "_row", "copies", F.explode("held").alias("hash")).join(may, "hash")
+    # documents with both: a document's terms that may disclose, with those entities that they may disclose and it holds
+    holds = copies.select("doc_id", "_row", "copies", F.explode("held").alias("hash")).join(bounded(both.select("hash").distinct()), "hash")
     least = holds.groupBy("hash").agg(F.sum("copies").alias("d_held"))  # all documents with entities: a closer bound
-    holds = holds.drop("copies").withColumnsRenamed({"doc_id": "_d", "_row": "_r"})
-    met = of.join(holds, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r"))).select("entity", "hash", "copies")
-    met = met.join(bounded(both.select("entity", "hash").distinct()), ["entity", "hash"]).groupBy("entity", "hash").agg(F.sum("copies").alias("d_both"))
+    has = of.select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("entity").alias("_e"))
+    met = holds.join(bounded(both.select("entity", "hash")), "hash")
+    met = met.join(has, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")) & (F.col("entity") == F.col("_e")), "left_semi")
+    met = met.groupBy("entity", "hash").agg(F.sum("copies").alias("d_both"))
     both = both.join(met, ["entity", "hash"]).where((F.col("d_both") >= support) | (F.col("d_entity") < support)).join(least, "hash")
     both = both.where(disclosure(F.col("d_both"), F.col("d_held")) >= generalise_at - 1e-6).drop("d_held")
     both = materialize(both, "pii-pairs")
@@ -249,78 +265,115 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, *, support: int, general
     if terms.limit(MAX_CANDIDATES + 1).count() <= MAX_CANDIDATES:
         chosen = np.sort(np.asarray(terms.toArrow().column("hash"), np.int64))
         if not len(chosen):
-            return both.select("entity", "term", "hash", F.lit(0.0).alias("disclosure"))
+            return both.select("hash", F.lit(0.0).alias("disclosure"))
         counts = count_terms(docs, chosen)
     else:
         counts = count_terms(docs, None)
     both = both.join(counts, "hash")
     both = both.withColumn("disclosure", F.round(disclosure(F.col("d_both"), F.col("d")), 9))
-    return both.where(F.col("disclosure") >= generalise_at).select("entity", "term", "hash", "disclosure")
-
-
-def find_terms(docs: DataFrame, strong: DataFrame) -> DataFrame:
-    """(doc_id, _row, start, end, disclosure) of each place of a disclosing term in docs, once for rows that
-    repeat an id and text.  Beyond MAX_CANDIDATES all places are joined with the terms."""
-    strong = strong.groupBy("hash").agg(F.max("disclosure").alias("disclosure"))
-    few = strong.limit(MAX_CANDIDATES + 1).count() <= MAX_CANDIDATES
-    chosen = np.sort(np.asarray(strong.select("hash").toArrow().column("hash"), np.int64)) if few else None
-
-    def run(batches):
+    return both.where(F.col("disclosure") >= generalise_at).groupBy("hash").agg(F.max("disclosure").alias("disclosure"))
+
+
+def sanitised(text: str, base: list[tuple[int, int, int]], terms: list[tuple[int, int, float]], remove_at: float) -> str:
+    """The text with base spans as their kind in brackets, and terms as their general kind ([number] or [word]) or,
+    from remove_at on, taken out; a span that begins inside an earlier one is part of it."""
+    put = [(a, b, f"[{KINDS[k]}]") for k, a, b in base]
+    put += [(a, b, "" if d >= remove_at else "[number]" if text[a:b].isdigit() and text[a:b].isascii() else "[word]") for a, b, d in terms]
+    out, at = [], 0
+    for a, b, new in sorted(put):
+        if a >= at:
+            out += [text[at:a], new]
+            at = b
+    return "".join(out) + text[at:]
+
+
+_OUT = "base array<struct<kind:int,start:int,end:int>>, terms array<struct<start:int,end:int,disclosure:double>>, sanitised string"
+_TERMS = [pa.field("start", pa.int32()), pa.field("end", pa.int32()), pa.field("disclosure", pa.float64())]
+
+
+def _finish(texts: pa.Array, row: np.ndarray, start: np.ndarray, end: np.ndarray, disclosure: np.ndarray, remove_at: float) -> list[pa.Array]:
+    """base, terms and sanitised of texts, from the places of disclosing terms in order of row and start."""
+    base, new = base_of(texts), texts.cast(pa.string())
+    cut = np.searchsorted(row, np.arange(len(texts) + 1))
+    free, changed = np.ones(len(row), bool), {}
+    for i in [i for i, s in enumerate(base) if s or cut[i + 1] > cut[i]]:
+        mine = slice(cut[i], cut[i + 1])
+        free[mine] = ~touching(base[i], start[mine], end[mine])
+        at = np.flatnonzero(free[mine]) + cut[i]
+        changed[i] = sanitised(texts[i].as_py(), base[i], list(zip(start[at].tolist(), end[at].tolist(), disclosure[at].tolist())), remove_at)
+    if changed:
+        put = np.zeros(len(texts), bool)
+        put[list(changed)] = True
+        new = pc.replace_with_mask(new, pa.array(put), pa.array([changed[i] for i in sorted(changed)], pa.string()))
+    sizes = np.bincount(row[free], minlength=len(texts))
+    terms = pa.StructArray.from_arrays([pa.array(start[free].astype(np.int32)), pa.array(end[free].astype(np.int32)), pa.array(disclosure[free].astype(np.float64))], fields=_TERMS)
+    return [_span_lists(base), _lists(sizes.tolist(), terms), new]
+
+
+def apply_terms(docs: DataFrame, strong: DataFrame, remove_at: float) -> DataFrame:
+    """(doc_id, _row, base, terms, sanitised) of each row, from the disclosing terms (hash, disclosure).  Beyond
+    MAX_CANDIDATES of these, places of all terms are joined with them, and what is found with the texts."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    kept = docs.select("doc_id", row_key(F.col("text")).alias("_row"), "text")
+    if strong.limit(MAX_CANDIDATES + 1).count() <= MAX_CANDIDATES:
+        table = strong.toArrow().sort_by("hash")
+        chosen, weight = np.asarray(table.column("hash"), np.int64), np.asarray(table.column("disclosure"), np.float64)
+
+        def run(batches):
+            for batch in batches:
+                for part in tc.in_steps(batch, 2, STEP_BYTES, STEP_ROWS):
+                    row, h, start, end = term_spans(part.column(2))
+                    at = np.minimum(np.searchsorted(chosen, h), max(len(chosen) - 1, 0))
+                    hit = np.flatnonzero(chosen[at] == h) if len(chosen) else np.zeros(0, np.int64)
+                    found = _finish(part.column(2), row[hit], start[hit], end[hit], weight[at[hit]] if len(chosen) else np.zeros(0), remove_at)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *found], names=["doc_id", "_row", "base", "terms", "sanitised"])
+
+        return kept.mapInArrow(run, f"doc_id {id_type}, _row long, {_OUT}")
+
+    def places(batches):
         for batch in batches:
             for part in tc.in_steps(batch, 2, STEP_BYTES, STEP_ROWS):
                 row, h, start, end = term_spans(part.column(2))
-                if chosen is not None:
-                    hit = chosen[np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)] == h if len(chosen) else np.zeros(len(h), bool)
-                    row, h, start, end = row[hit], h[hit], start[hit], end[hit]
                 at = pa.array(row)
-                places = [pa.array(h), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *places], names=["doc_id", "_row", "hash", "start", "end"])
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    kept = docs.select("doc_id", row_key(F.col("text")).alias("_row"), "text")
-    places = kept.mapInArrow(run, f"doc_id {id_type}, _row long, hash long, start int, end int")
-    return places.join(bounded(strong), "hash").select("doc_id", "_row", "start", "end", "disclosure").distinct()
-
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(h), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "_row", "hash", "start", "end"])
 
-def sanitise(docs: DataFrame, *, window: int = WINDOW, support: int = SUPPORT, generalise_at: float = GENERALISE_AT) -> DataFrame:
-    """(doc_id, _row, base, terms) for each row of docs: base spans (kind, start, end), and spans of
-    disclosing terms with their disclosure; a term that touches a base span is part of it.
-
-    A null text counts as empty and has no spans.  A row is a document in all counts, repeated rows too;
-    they get equal results.  Columns other than doc_id and text do not enter.
+    def finish(batches):
+        for batch in batches:
+            for part in tc.in_steps(batch, 2, STEP_BYTES, STEP_ROWS):
+                hits = part.column(3)
+                row = np.repeat(np.arange(part.num_rows), np.asarray(pc.fill_null(pc.list_value_length(hits), 0)))
+                flat = hits.flatten()
+                found = _finish(part.column(2), row, *(np.asarray(flat.field(k)) for k in range(3)), remove_at)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *found], names=["doc_id", "_row", "base", "terms", "sanitised"])
+
+    every = kept.mapInArrow(places, f"doc_id {id_type}, _row long, hash long, start int, end int")
+    hit = every.join(strong, "hash").select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), "start", "end", "disclosure").distinct()
+    hit = hit.groupBy("_d", "_r").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("_hits"))
+    joined = kept.join(hit, kept["doc_id"].eqNullSafe(hit["_d"]) & (kept["_row"] == hit["_r"]), "left").select("doc_id", "_row", "text", "_hits")
+    return joined.mapInArrow(finish, f"doc_id {id_type}, _row long, {_OUT}")
+
+
+def sanitise(docs: DataFrame, *, window: int = WINDOW, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+    """(doc_id, _row, base, terms, sanitised) for each row of docs: base spans (kind, start, end), spans of
+    disclosing terms with their disclosure (a term that touches a base span is part of it), and the text
+    with base spans masked, terms generalised and, from remove_at on, removed.
+
+    A null text counts as empty, has no spans and stays null.  A row is a document in all counts, repeated
+    rows too; they get equal results.  Columns other than doc_id and text do not enter.
     """
     docs = docs.select("doc_id", "text")
     found = materialize(find_entities(docs, window), "pii-found")
     strong = materialize(disclosing_terms(docs, found, support=support, generalise_at=generalise_at), "pii-terms")
-    hit = find_terms(docs, strong)
-    hit = hit.groupBy(F.col("doc_id").alias("_d"), F.col("_row").alias("_r")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
-    out = found.join(hit, found["doc_id"].eqNullSafe(hit["_d"]) & (found["_row"] == hit["_r"]), "left")
-    terms = F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,disclosure:double>>"))
-    free = F.filter(terms, lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return out.select("doc_id", "_row", "base", free.alias("terms"))
-
-
-def masked(docs: DataFrame, found: DataFrame, *, remove_at: float = REMOVE_AT) -> DataFrame:
-    """docs with text sanitised by the spans of sanitise(): base spans become their kind in brackets, terms
-    their general kind ([number] or [word]), and terms that reach remove_at go."""
-    one = found.dropDuplicates(["doc_id", "_row"]).select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("base").alias("_base"), F.col("terms").alias("_terms"))
-    d = docs.withColumn("_key", row_key(F.col("text")))
-    d = d.join(one, d["doc_id"].eqNullSafe(one["_d"]) & (d["_key"] == one["_r"]), "left")
-    kinds = F.array(*(F.lit(f"[{k}]") for k in KINDS))
-    base = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(kinds, s["kind"] + 1).alias("put")))
-    word = lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
-    put = lambda s: F.when(s["disclosure"] >= remove_at, F.lit("")).when(word(s).rlike("^[0-9]+$"), F.lit("[number]")).otherwise(F.lit("[word]"))
-    terms = F.transform("_terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), put(s).alias("put")))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:  # a span that begins inside an earlier one is part of it
-        part = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), s["put"])
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), part.alias("out")))
-
-    end = F.aggregate(F.array_sort(F.concat(base, terms)), zero, step)
-    d = d.withColumn("_end", F.when(F.size("_base") + F.size("_terms") > 0, end))
-    new = F.when(F.col("_end").isNull(), F.col("text")).otherwise(F.concat(F.col("_end.out"), F.expr("substring(text, _end.at + 1)")))
-    return d.select(*(new.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    return apply_terms(docs, strong, remove_at)
+
+
+def masked(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with the text that sanitise() made of each; other columns stay, whatever their names, and so do
+    nulls and repeated rows."""
+    one = found.dropDuplicates(["doc_id", "_row"]).select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("sanitised").alias("_new"))
+    d = docs.select(F.struct(*docs.columns).alias("_own"), row_key(F.col("text")).alias("_key"))
+    d = d.join(one, F.col("_own.doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_r")), "left")
+    return d.select(*(F.col("_new").alias(c) if c == "text" else F.col("_own")[c].alias(c) for c in docs.columns))
 
 
 def _joined(spans: Column) -> Column:
@@ -329,7 +382,18 @@ def _joined(spans: Column) -> Column:
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
+    """Every document's base and method spans, how many terms are generalised and removed, and the sanitised
+    text's hash; see sanitise() for nulls, empties and repeats."""
     found = sanitise(read(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     terms = F.transform("terms", lambda s: F.struct(F.lit(4).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", terms)).alias("spans"))
+    gone = F.size(F.filter("terms", lambda s: s["disclosure"] >= REMOVE_AT)).cast("long")
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
+        _joined(F.concat("base", terms)).alias("spans"),
+        (F.size("terms") - gone).alias("n_generalised"),
+        gone.alias("n_removed"),
+        F.sha2(F.coalesce("sanitised", F.lit("")), 256).alias("sanitised_sha256"),
+    )
