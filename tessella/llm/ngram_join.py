@@ -3,8 +3,7 @@
 Two documents link when their shingle sets overlap enough (100 i >= T u, of intersection and union).  The
 result is exact, and no step makes a row for each pair:
 
-1. Documents with equal sets (by 128 bits of hash) are one class; only classes are compared.  A class goes
-   by 64 of these bits from then on: among 10**9 classes, two share them with a probability of 3 %.
+1. Documents with equal sets (by 128 bits of hash) are one class; only classes are compared.
 2. A linked pair of sets, the smaller of size n, differs in at most k = n (100 - T) / T members.  Members are
    dealt to parts by hash, a few to a part, so at most k parts differ: of the first k + 1 parts of either set
    that aren't empty, one is equal.  Equal parts are the columns of the incidence.  As a part has several
@@ -13,12 +12,18 @@ result is exact, and no step makes a row for each pair:
    that puts those last that many sets have (by a count sketch of fixed size).  A set with fewer than k + 1
    parts that aren't empty (about one in 10**5) is joined by single n-grams with all others.
 3. Columns are gathered by their leading class (the smallest of a column's classes), so that columns with
-   the same documents become one block, and blocks are split by set size and row number into products of
-   at most BLOCK x BLOCK rows.  A product's pairs are discarded by the size-derived bound: the overlap
-   can't reach its minimum if parity bitmaps of the two sets differ in more bits than their symmetric
-   difference may have members.  A product returns a spanning forest of the pairs that are left.
-4. The forests' components hold every link.  Their sets (and no others) are built again and multiplied in
-   blocks, exactly; each product returns a spanning forest of its links.  Components of these are the result.
+   the same documents become one block.  A product of a block's rows discards pairs by the size-derived bound:
+   the overlap can't reach its minimum if parity bitmaps of the two sets differ in more bits than their
+   symmetric difference may have members.  A product returns a spanning forest of the pairs that are left.
+4. The forests' components hold every link.  Their sets (and no others) are built again and multiplied,
+   exactly; each product returns a spanning forest of its links.  Components of these are the result.
+
+Groups of more than BLOCK rows (in 3: blocks, in 4: components) are multiplied in two passes.  First all rows
+meet the PIVOTS rows with the most popular columns, of a group of near copies those closest to all others.
+What this connects is connected for good: rows of the group's largest connected part need not meet each
+other again, only the others, and these all.  So a group of m near copies, s of them off its largest part,
+costs m / BLOCK times (PIVOTS + s) rows, and only a group without links all its pairs.  Products are bounded
+in rows and in bytes.
 """
 
 from __future__ import annotations
@@ -27,17 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import bounded, materialize, read, row_key
+from .common import bounded, materialize, read, release, row_key
 from .components import components
 
 #: Counters of the sketch (fixed, whatever the corpus), in slices that are summed on their own.
 SKETCH, SLICES, FAN_IN = 1 << 20, 32, 64
-#: Rows of a block; a product has at most BLOCK rows on either side.
-BLOCK = 384
+#: Rows of a block, and bytes of a block's bitmaps or sets (unless a single one has more); a product has two blocks.
+BLOCK, BLOCK_BYTES = 384, 16 << 20
+#: Rows that all others of a large group meet first.
+PIVOTS = 32
 STEP_BYTES, STEP_ROWS = 6_000_000, 4096
 #: Sets below this size have single n-grams as columns.
 SMALL = 64
@@ -69,6 +77,12 @@ def shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(owner, np.arange(len(count) + 1))
 
 
+def set_keys(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of hash of a set; 0 for the empty one."""
+    one, two = np.add.reduce(tc.mix(s ^ np.uint64(0x9E3779B97F4A7C15))), np.add.reduce(tc.mix(s + np.uint64(0x2545F4914F6CDD1D)))
+    return (int(one.view(np.int64)), int(two.view(np.int64))) if len(s) else (0, 0)
+
+
 def _sum_counts(parts: DataFrame, n_parts: int) -> np.ndarray:
     """Sums (slice, part, counts) over parts, FAN_IN of them at a time, and collects the sums: a table of
     fixed size."""
@@ -187,8 +201,9 @@ def incidence(docs: DataFrame, n: int, percent: int, classes: np.ndarray, small:
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
                     s = np.unique(h[a:b])
                     size.append(len(s))
-                    k1.append(int(np.add.reduce(tc.mix(s ^ np.uint64(0x9E3779B97F4A7C15))).view(np.int64)) if len(s) else 0)
-                    k2.append(int(np.add.reduce(tc.mix(s + np.uint64(0x2545F4914F6CDD1D))).view(np.int64)) if len(s) else 0)
+                    one, two = set_keys(s)
+                    k1.append(one)
+                    k2.append(two)
                     found, few = columns_of(s, percent, shift, classes, small) if len(s) else (s, False)
                     grams.append(found.view(np.int64))
                     short.append(few)
@@ -202,24 +217,26 @@ def incidence(docs: DataFrame, n: int, percent: int, classes: np.ndarray, small:
 
 
 def single_cells(docs: DataFrame, n: int, percent: int, wanted: np.ndarray | None) -> DataFrame:
-    """(k1, gram): single-member columns of each row's set, of the sorted wanted ones only, if given."""
+    """(k1, k2, gram): single-member columns of each row's set, of the sorted wanted ones only, if given."""
 
     def run(batches):
         for batch in batches:
             for part in tc.in_steps(batch, 0, STEP_BYTES, STEP_ROWS):
                 h, first = shingles(part.column(0), n)
-                keys, grams = [], []
+                keys, more, grams = [], [], []
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
                     s = np.unique(h[a:b])
                     if len(s):
                         g = singles(s, percent, None).view(np.int64)
                         if wanted is not None:
                             g = g[np.isin(g, wanted)]
-                        keys += [int(np.add.reduce(tc.mix(s ^ np.uint64(0x9E3779B97F4A7C15))).view(np.int64))] * len(g)
+                        k1, k2 = set_keys(s)
+                        keys += [k1] * len(g)
+                        more += [k2] * len(g)
                         grams.append(g)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(grams) if grams else [], pa.int64())], names=["k1", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(more, pa.int64()), pa.array(np.concatenate(grams) if grams else [], pa.int64())], names=["k1", "k2", "gram"])
 
-    return docs.select("text").mapInArrow(run, "k1 long, gram long")
+    return docs.select("text").mapInArrow(run, "k1 long, k2 long, gram long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -247,135 +264,159 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def _forest_edges(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    forest = _Forest(len(ids))
-    return [(int(ids[a]), int(ids[b])) for a, b in zip(i.tolist(), j.tolist()) if forest.join(a, b)]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) at half their length."""
+    half = x.shape[1] // 2
+    return x[:, :half] ^ x[:, half:]
 
 
-def _fold(bits: bytes, size: int) -> np.ndarray:
-    x = np.frombuffer(bits, np.uint8)
-    while len(x) > size:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x
+class _Forest:
+    """Trees over the rows of a product: which rows are connected, and the edges that did it."""
 
+    def __init__(self, n: int):
+        self.tree, self.edges = np.arange(n), []
 
-def allowed(side: np.ndarray, i: int) -> np.ndarray:
-    """Whether the product makes the pair of row i and each later row: rows of one side, unless it is 0,
-    meet in another product."""
-    return (side[i + 1 :] == 0) | (side[i + 1 :] != side[i])
+    def join(self, i: int, others: np.ndarray) -> None:
+        """Row i is linked with each of the others; one of each tree gives an edge."""
+        trees, at = np.unique(self.tree[others], return_index=True)
+        new = trees != self.tree[i]
+        self.edges += [(i, j) for j in others[at[new]].tolist()]
+        if new.any():
+            self.tree[np.isin(self.tree, trees[new])] = self.tree[i]
 
 
-def possible_pairs(sizes: np.ndarray, side: np.ndarray, bits: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of the product's pairs whose bitmaps allow a link."""
-    width = max(8, min(map(len, bits)))
-    packed = np.stack([_fold(b, width) for b in bits]).view(np.uint64)
-    found_i, found_j = [], []
+def _partners(sizes: np.ndarray, side: np.ndarray, forest: _Forest, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, rows) of the product's pairs, with sizes in ascending order: later rows j to whose size the overlap can
+    rise, which i meets (rows of one side, unless it is 0, meet in another product) and isn't connected with yet."""
+    last = np.searchsorted(sizes, sizes * 100 // percent, "right")
     for i in range(len(sizes) - 1):
-        j = np.flatnonzero(allowed(side, i)) + i + 1
-        both = sizes[i] + sizes[j]
-        need = least_overlap(sizes[i], sizes[j], percent)
-        fits = need <= np.minimum(sizes[i], sizes[j])
-        j, both, need = j[fits], both[fits], need[fits]
-        if not len(j):
-            continue
-        apart = np.bitwise_count(packed[j] ^ packed[i]).sum(axis=1, dtype=np.int64)
-        j = j[apart <= both - 2 * need]
-        found_i.append(np.full(len(j), i))
-        found_j.append(j)
-    empty = np.zeros(0, np.int64)
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (empty, empty)
-
-
-def linked_pairs(sizes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of a spanning forest of the product's links: overlaps are a row of the incidence times all others."""
+        j = np.arange(i + 1, last[i])
+        meet = (side[j] == 0) | (side[j] != side[i])
+        j = j[meet & (forest.tree[j] != forest.tree[i])]
+        if len(j):
+            yield i, j
+
+
+def possible_links(sizes: np.ndarray, side: np.ndarray, bits: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the product's pairs whose bitmaps (64-bit words) allow a link; sizes ascend."""
+    words = np.array([len(b) for b in bits])
+    begin = {int(w): int(np.searchsorted(words, w)) for w in np.unique(words)}  # longer sets have longer bitmaps
+    own = {w: np.stack(bits[a : int(np.searchsorted(words, w, "right"))]) for w, a in begin.items()}
+    half = {w: _fold(x) for w, x in own.items() if w > 1}
+    forest = _Forest(len(sizes))
+    for i, j in _partners(sizes, side, forest, percent):
+        w = int(words[i])
+        most = sizes[i] + sizes[j] - 2 * least_overlap(sizes[i], sizes[j], percent)
+        mine, hit = own[w][i - begin[w]], np.zeros(len(j), bool)
+        for width, table in ((w, own), (2 * w, half)):  # a partner's bitmap is as long or twice as long
+            some = words[j] == width
+            if some.any():
+                hit[some] = np.bitwise_count(table[width][j[some] - begin[width]] ^ mine).sum(axis=1, dtype=np.int64) <= most[some]
+        forest.join(i, j[hit])
+    return forest.edges
+
+
+def linked_pairs(sizes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the product's links; sizes ascend.  Overlaps are a row of the incidence times the others."""
     first = np.concatenate([[0], np.cumsum(sizes)])
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    forest = _Forest(len(sizes))
-    out = []
     mark = np.zeros(int(column.max()) + 1, np.int32)
-    for i in range(len(sizes) - 1):
-        fits = least_overlap(sizes[i], sizes[i + 1 :], percent) <= np.minimum(sizes[i], sizes[i + 1 :])
-        fits &= allowed(side, i)
-        if not fits.any():
-            continue
-        own = column[first[i] : first[i + 1]]
-        mark[own] = 1
-        overlap = np.add.reduceat(mark[column[first[i + 1] :]], first[i + 1 : -1] - first[i + 1])
-        mark[own] = 0
-        hit = fits & (overlap * (100 + percent) >= percent * (sizes[i] + sizes[i + 1 :]))
-        out += [(i, j) for j in (np.flatnonzero(hit) + i + 1).tolist() if forest.join(i, j)]
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def _products(rows: DataFrame, block: int, percent: int) -> DataFrame:
-    """Deals rows (grp, node, n) out to products: (grp, band, a, b, side, node, n).
-
-    Bands are geometric in n, so that links join equal or neighbouring bands; product (grp, band) holds a
-    band's rows on side 0 and the next band's on side 1, in blocks by hash of node.  Products that can't
-    hold a pair are left out.
-    """
-    step = float(np.log(100 / percent)) * (1 + 1e-9)
-    band = F.floor(F.log(F.col("n").cast("double")) / step).cast("long")
-    rows = rows.withColumn("_band", band)
-    counts = rows.groupBy("grp", "_band").agg(F.count(F.lit(1)).alias("c"))
-    own = counts.select("grp", F.col("_band").alias("band"), F.col("c").alias("c0"), F.lit(0).cast("long").alias("c1"))
-    upper = counts.select("grp", (F.col("_band") - 1).alias("band"), F.lit(0).cast("long").alias("c0"), F.col("c").alias("c1"))
-    sizes = own.unionByName(upper).groupBy("grp", "band").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).where("c0 > 0 and c0 + c1 > 1")
-    sizes = sizes.select("grp", "band", F.ceil(F.col("c0") / block).cast("int").alias("b0"), F.ceil(F.col("c1") / block).cast("int").alias("b1"))
-    sides = rows.select("grp", "node", "n", F.explode(F.array(F.struct(F.col("_band").alias("band"), F.lit(0).alias("side")), F.struct((F.col("_band") - 1).alias("band"), F.lit(1).alias("side")))).alias("x")).select("grp", "node", "n", "x.band", "x.side")
-    dealt = sides.join(sizes, ["grp", "band"])
-    one = (F.col("b0") == 1) & (F.col("b1") <= 1)
-    mine = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("b0")).otherwise(F.col("b1"))).cast("int")
-    cell = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
-    among = F.transform(F.sequence(F.lit(0), F.col("b0") - 1), lambda j: cell(F.least(j, mine), F.greatest(j, mine)))
-    across = F.when(F.col("b1") > 0, F.transform(F.sequence(F.lit(0), F.col("b1") - 1), lambda j: cell(mine, F.col("b0") + j))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
-    down = F.transform(F.sequence(F.lit(0), F.col("b0") - 1), lambda i: cell(i, F.col("b0") + mine))
-    cells = F.when(one, F.array(cell(F.lit(0), F.lit(0)))).when(F.col("side") == 0, F.concat(among, across)).otherwise(down)
-    dealt = dealt.withColumn("_mine", mine).withColumn("_one", one).select("grp", "band", "side", "node", "n", "b0", "_mine", "_one", F.explode(cells).alias("cell"))
-    # sides as in allowed(): across two blocks 1 and 2; else 0 for the band's rows and 1 for the next band's
-    second = (F.col("side") == 1) | ((F.col("cell.b") < F.col("b0")) & (F.col("_mine") == F.col("cell.b")))
-    side = F.when(F.col("_one"), F.col("side")).when(F.col("cell.a") == F.col("cell.b"), F.lit(0)).otherwise(F.when(second, F.lit(2)).otherwise(F.lit(1)))
-    return dealt.select("grp", "band", F.col("cell.a").alias("a"), F.col("cell.b").alias("b"), side.cast("int").alias("side"), "node", "n")
-
-
-def _run_products(dealt: DataFrame, value: str, pairs_of) -> DataFrame:
-    """Edges (a, b) of each product's forest; `value` is the column of bitmaps or sets."""
+    forest = _Forest(len(sizes))
+    for i, j in _partners(sizes, side, forest, percent):
+        mark[column[first[i] : first[i + 1]]] = 1
+        if len(j) > 8:
+            a, b = int(j[0]), int(j[-1]) + 1
+            overlap = np.add.reduceat(mark[column[first[a] : first[b]]], first[a:b] - first[a])[j - a]
+        else:
+            overlap = np.array([mark[column[first[k] : first[k + 1]]].sum() for k in j.tolist()])
+        mark[column[first[i] : first[i + 1]]] = 0
+        forest.join(i, j[overlap * (100 + percent) >= percent * (sizes[i] + sizes[j])])
+    return forest.edges
+
+
+def _run_products(dealt: DataFrame, values: DataFrame, pairs_of, percent: int) -> DataFrame:
+    """Edges (a, b) of the forest of each product (grp, p, q) of rows (side, node, n); values has (node, value), the
+    64-bit words of a bitmap or set."""
 
     def run(batches):
-        for table in _groups(batches, 4):
+        for table in _groups(batches, 3):
             if table.num_rows < 2:
                 continue
-            ids = np.asarray(table.column(5)).astype(np.int64)
-            i, j = pairs_of(np.asarray(table.column(6)).astype(np.int64), np.asarray(table.column(4)), table.column(7))
-            if edges := _forest_edges(ids, i, j):
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
-
-    keys = ["grp", "band", "a", "b"]
-    dealt = dealt.select(*keys, "side", "node", "n", value).repartition(*keys).sortWithinPartitions(*keys, "node")
+            n = np.asarray(table.column(5)).astype(np.int64)
+            order = np.argsort(n, kind="stable")
+            ids = np.asarray(table.column(4)).astype(np.int64)[order]
+            words = [np.frombuffer(v.as_buffer(), np.uint64) for chunk in table.column(6).chunks for v in chunk]
+            edges = pairs_of(n[order], np.asarray(table.column(3))[order], [words[k] for k in order.tolist()], percent)
+            if edges:
+                i, j = np.array(edges).T
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
+
+    keys = ["grp", "p", "q"]
+    dealt = dealt.join(values, "node").select(*keys, "side", "node", "n", "value").repartition(*keys).sortWithinPartitions(*keys, "node")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _deal_piles(rows: DataFrame, percent: int, block: int, each: float) -> DataFrame:
+    """Deals rows (grp, node, n, main) of large groups to products (grp, p, q, side, node, n) so that every pair of
+    rows, not both main, whose sizes allow a link meets in one of them.
+
+    Bands are geometric in n, so that links join equal or neighbouring bands.  Rows of a band, those of main
+    apart, are dealt to blocks by hash; a product has two blocks p and q (sides 1 and 2), or one (side 0).
+    """
+    step = float(np.log(100 / percent)) * (1 + 1e-9)
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step).cast("long"))
+    fit = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(BLOCK_BYTES / (F.exp((F.col("band") + 1) * step) * each))))
+    counts = rows.groupBy("grp", "band", "main").agg(F.count(F.lit(1)).alias("c")).withColumn("c", F.ceil(F.col("c") / fit).cast("long"))
+    near = F.explode(F.array(*(F.struct((F.col("band") - d).alias("band"), F.lit(d).alias("d")) for d in (-1, 0, 1)))).alias("x")
+    counts = counts.select("grp", near, "main", "c").select("grp", "x.*", "main", "c")
+    blocks = lambda d, main: F.coalesce(F.sum(F.when((F.col("d") == d) & (F.col("main") == main), F.col("c"))), F.lit(0))
+    kinds = {f"_{'m' if main else 'r'}{d + 1}": (d, main) for d in (-1, 0, 1) for main in (False, True)}
+    sizes = counts.groupBy("grp", "band").agg(*(blocks(*k).alias(name) for name, k in kinds.items()))
+    dealt = rows.join(bounded(sizes), ["grp", "band"])
+    code = lambda d, main: (((F.col("band") + d) * 2 + int(main)) * F.lit(1 << 32)).cast("long")
+
+    def numbered(name: str, first: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0).cast("long"), F.col(name) - 1), lambda j: first + j)
+        return F.when(F.col(name) > 0, each).otherwise(F.array().cast("array<long>"))
+
+    of = {name: numbered(name, code(*k)) for name, k in kinds.items()}
+    others = F.when(F.col("main"), F.concat(*(of[f"_r{d}"] for d in range(3)))).otherwise(F.concat(*of.values()))
+    number = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("_m1")).otherwise(F.col("_r1")))
+    mine = (F.col("band") * 2 + F.col("main").cast("long")) * F.lit(1 << 32) + number
+    dealt = dealt.withColumn("_mine", mine).select("grp", "node", "n", "_mine", F.explode(others).alias("_other"))
+    side = F.when(F.col("_mine") == F.col("_other"), 0).when(F.col("_mine") < F.col("_other"), 1).otherwise(2)
+    return dealt.select("grp", F.least("_mine", "_other").alias("p"), F.greatest("_mine", "_other").alias("q"), side.alias("side"), "node", "n")
+
+
+def _edges(rows: DataFrame, values: DataFrame, pairs_of, percent: int, block: int, each: float) -> DataFrame:
+    """Edges (a, b) that connect what the pairs of rows (grp, node, n, pop) that pairs_of finds do; a row's value
+    has up to `each` bytes a member."""
+    sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("most"), F.sum("n").alias("total"))
+    parts = F.ceil(F.greatest(F.col("c") / block, F.col("total") * each / BLOCK_BYTES)).cast("long")
+    large = materialize(sizes.where(parts > 1).select("grp", parts.alias("parts"), F.greatest(F.lit(1), F.least(F.lit(PIVOTS), F.floor(BLOCK_BYTES / (F.col("most") * each)))).alias("pivots")), "ngram-large")
+    whole = lambda d: d.select("grp", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(0).alias("side"), "node", "n")
+    if not large.limit(1).count():
+        return _run_products(whole(rows), values, pairs_of, percent)
+    few = bounded(large)
+    edges = _run_products(whole(rows.join(few, "grp", "left_anti")), values, pairs_of, percent)
+    rows = rows.join(few, "grp")
+    place = F.row_number().over(W.partitionBy("grp").orderBy(F.col("pop").desc(), "node"))
+    pivots = rows.withColumn("_k", place).where((F.col("_k") <= PIVOTS) & (F.col("_k") <= F.col("pivots")))
+    pivots = pivots.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"), F.lit(0).cast("long").alias("q"), F.lit(1).alias("side"), "node", "n")
+    members = rows.select("grp", F.pmod(F.xxhash64("node"), F.col("parts")).alias("p"), F.lit(0).cast("long").alias("q"), F.lit(2).alias("side"), "node", "n")
+    first = materialize(_run_products(pivots.unionByName(members), values, pairs_of, percent).where("a <> b"), "ngram-pivots")
+    tagged = rows.join(components(first), "node", "left").select("grp", "node", "n", F.coalesce("root", "node").alias("root"))
+    part = tagged.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("grp").agg(F.max(F.struct("c", "root")).alias("x")).select("grp", F.col("x.root").alias("_main"))
+    tagged = tagged.join(bounded(part), "grp").select("grp", "node", "n", (F.col("root") == F.col("_main")).alias("main"))
+    rest = _run_products(_deal_piles(tagged, percent, block, each), values, pairs_of, percent)
+    return edges.unionByName(first).unionByName(rest)
+
+
 def _blocks(cells: DataFrame) -> DataFrame:
-    """(grp, node, n) from (node, n, gram): the rows of each column that has several, by the leading row."""
-    columns = cells.groupBy("gram").agg(F.min("node").alias("grp"), F.max("node").alias("_last")).where("grp < _last").select("gram", "grp")
-    return cells.join(columns, "gram").select("grp", "node", "n").distinct()
+    """(grp, node, n, pop) from (node, n, gram): the rows of each column that has several, by the leading row, and
+    how many rows a row's columns have together."""
+    columns = cells.groupBy("gram").agg(F.min("node").alias("grp"), F.max("node").alias("_last"), F.count(F.lit(1)).alias("_c")).where("grp < _last").select("gram", "grp", "_c")
+    return cells.join(columns, "gram").groupBy("grp", "node").agg(F.first("n").alias("n"), F.sum("_c").alias("pop"))
 
 
 def ngram_components(docs: DataFrame, *, n: int = 3, percent: int = 90, block: int = BLOCK, small: int = SMALL) -> DataFrame:
@@ -384,19 +425,19 @@ def ngram_components(docs: DataFrame, *, n: int = 3, percent: int = 90, block: i
 
     A null or blank text has no shingles and links with nothing; one of fewer than n words has its whole
     sequence as the one shingle.  Rows that repeat a text are one class, whatever their ids.  Rows with a
-    null doc_id take part and get the smallest id they are connected with, null if there is none.  Other
-    columns do not enter.
+    null doc_id take part and get the smallest id they are connected with, null if there is none.  An empty
+    table gives an empty result.  Other columns do not enter.
     """
     docs = docs.select("doc_id", "text")
     classes = frequency_classes(docs, n, part_shift(percent) is None)
     rows = materialize(incidence(docs, n, percent, classes, small), "ngram-rows")
     full = rows.where("n > 0")
     sets = full.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row")).alias("at"), F.first(F.struct("n", "grams", "short", "bits")).alias("x"))
-    sets = sets.withColumn("first_id", F.col("at.doc_id")).select("k1", "k2", "at", F.col("k1").alias("node"), "first_id", "x.n", "x.grams", "x.short", "x.bits")
+    # a class goes by a number that no other has; the table that is written fixes it
+    sets = sets.select("k1", "k2", "at", F.monotonically_increasing_id().alias("node"), F.col("at.doc_id").alias("first_id"), "x.n", "x.grams", "x.short", "x.bits")
     sets = materialize(sets, "ngram-sets")
 
-    cells = sets.select("node", "n", F.explode("grams").alias("gram"))
-    blocks = _blocks(cells)
+    blocks = _blocks(sets.select("node", "n", F.explode("grams").alias("gram")))
     few = sets.where("short")
     if few.limit(1).count():
         chosen = docs.withColumn("_row", row_key(F.col("text"))).join(few.select(F.col("at.doc_id").alias("_id"), F.col("at._row").alias("_at")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_at")))
@@ -405,24 +446,21 @@ def ngram_components(docs: DataFrame, *, n: int = 3, percent: int = 90, block: i
             more = single_cells(docs, n, percent, np.sort(np.asarray(grams.toArrow().column("gram"), np.int64)))
         else:
             more = single_cells(docs, n, percent, None).join(grams, "gram", "left_semi")
-        more = more.distinct().join(sets.select("k1", "node", "n"), "k1").select("node", "n", "gram")
-        blocks = blocks.unionByName(_blocks(more)).distinct()
+        more = more.distinct().join(sets.select("k1", "k2", "node", "n"), ["k1", "k2"]).select("node", "n", "gram")
+        blocks = blocks.unionByName(_blocks(more)).groupBy("grp", "node").agg(F.first("n").alias("n"), F.max("pop").alias("pop"))
     blocks = materialize(blocks, "ngram-blocks")
-    dealt = _products(blocks, block, percent).join(sets.select("node", "bits"), "node")
-    near = _run_products(dealt, "bits", lambda n, side, bits: possible_pairs(n, side, bits.to_pylist(), percent))
+    near = _edges(blocks, sets.select("node", F.col("bits").alias("value")), possible_links, percent, block, 0.25)
     clusters = materialize(components(near).withColumnsRenamed({"root": "grp"}), "ngram-clusters")
 
-    chosen = materialize(sets.join(clusters, "node").select("k1", "node", "grp", "n", F.col("at.doc_id").alias("_id"), F.col("at._row").alias("_at")), "ngram-chosen")
-    keyed, wanted = docs.withColumn("_row", row_key(F.col("text"))), bounded(chosen.select("node", "k1", "_id", "_at"), MAX_WANTED)
-    texts = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["_id"]) & (F.col("_row") == F.col("_at"))).select("node", "text", "k1")
+    popular = blocks.groupBy("node").agg(F.max("pop").alias("pop"))
+    chosen = sets.join(clusters, "node").join(popular, "node").select("k1", "k2", "node", "grp", "n", "pop", F.col("at.doc_id").alias("_id"), F.col("at._row").alias("_at"))
+    chosen = materialize(chosen, "ngram-chosen")
+    keyed, wanted = docs.withColumn("_row", row_key(F.col("text"))), bounded(chosen.select("node", "k1", "k2", "_id", "_at"), MAX_WANTED)
+    texts = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["_id"]) & (F.col("_row") == F.col("_at"))).select("node", "text", "k1", "k2")
     full_sets = materialize(_sets_of(texts, n), "ngram-full")
-    dealt = _products(chosen.select("grp", "node", "n"), block, percent).join(full_sets, "node")
-
-    def exact(n: np.ndarray, side: np.ndarray, members: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-        return linked_pairs(n, side, [np.frombuffer(m, np.uint64) for m in members.to_pylist()], percent)
-
-    links = _run_products(dealt, "members", exact)
+    links = _edges(chosen.select("grp", "node", "n", "pop"), full_sets.withColumnRenamed("members", "value"), linked_pairs, percent, block, 8.0)
     roots = components(links)
+    release(blocks, clusters, chosen, full_sets)
     labels = roots.join(sets.select("node", "first_id"), "node")
     labels = labels.join(labels.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
     ids = sets.select("k1", "k2", "node", "first_id").join(labels, "node", "left").select("k1", "k2", F.coalesce("component_id", "first_id").alias("component_id"))
@@ -431,22 +469,22 @@ def ngram_components(docs: DataFrame, *, n: int = 3, percent: int = 90, block: i
 
 
 def _sets_of(texts: DataFrame, n: int) -> DataFrame:
-    """(node, members): the sorted set of each wanted class, from a text (k1, k2 are its hash) of it."""
+    """(node, members): the sorted set of each wanted class, from a text of it; k1 and k2 are the set's hash."""
 
     def run(batches):
         for batch in batches:
             for part in tc.in_steps(batch, 1, STEP_BYTES, STEP_ROWS):
                 h, first = shingles(part.column(1), n)
                 nodes, members = [], []
-                want = zip(part.column(0).to_pylist(), part.column(2).to_pylist(), first[:-1].tolist(), first[1:].tolist())
-                for node, k1, a, b in want:
+                want = zip(*(part.column(c).to_pylist() for c in (0, 2, 3)), first[:-1].tolist(), first[1:].tolist())
+                for node, k1, k2, a, b in want:
                     s = np.unique(h[a:b])
-                    if len(s) and int(np.add.reduce(tc.mix(s ^ np.uint64(0x9E3779B97F4A7C15))).view(np.int64)) == k1:
+                    if len(s) and set_keys(s) == (k1, k2):
                         nodes.append(node)
                         members.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(members, pa.binary())], names=["node", "members"])
 
-    return texts.select("node", "text", "k1").mapInArrow(run, "node long, members binary").dropDuplicates(["node"])
+    return texts.select("node", "text", "k1", "k2").mapInArrow(run, "node long, members binary").dropDuplicates(["node"])
 
 
 def drop_near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
@@ -464,4 +502,6 @@ def drop_near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80) -> D
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
+    """Every document's number of three-word shingles and its component at a similarity of 0.9; see
+    ngram_components() for nulls, short texts and repeats."""
     return ngram_components(read(spark, sf_dir, "documents"), n=3, percent=90)
