@@ -5,13 +5,15 @@ twice its words, what it cannot give is reshared by weight.  The mix is then cut
 size.  Blocks go to sources by highest quotients target / (2k - 1), and each source's blocks go to its
 shards by highest quotients words / (2k - 1), which gives an integer quota for every shard.  A shard
 lays its documents end to end in a seeded order and takes its quota of blocks from that line: every
-block quota // blocks times, and the rest by a seeded systematic choice, so that the words a document
-gives follow from its place in the line alone and no row is made per block.
+block quota // blocks times, and the rest once, from the front.  The seed's order makes this a random choice
+of blocks that keeps documents whole but for one a shard, and the words a document gives follow from its place
+in the line alone, so no row is made per block.
 
 Only (doc_id, source, size) is carried; text is read once.  A shard holds a bounded share of a source
 (words_per_shard, until max_shards), so a source with a third of all rows is as many tasks as it has
 shards.  The tables of sources and shards have a row for each; they are broadcast only when counted
-and small.
+and small.  Targets rank all sources, and quotas a source's shards, in one task: rows of some 50 bytes, so
+millions of sources are sorted in seconds, but billions would not be.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, n_words
+from .common import WORD, bounded, materialize, n_words
 
 #: Fixed values of the mix.
 WEIGHTS = (5, 2, 1)
@@ -31,12 +33,6 @@ WORDS_PER_SHARD = 1_000_000
 MAX_SHARDS = 4096
 
 
-def _draw(*parts: Column | str) -> Column:
-    """A seeded number below 2**32, equal on every engine with MD5."""
-    text = F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-
-
 def target_shares(sources: DataFrame, weights=WEIGHTS) -> DataFrame:
     """Adds source_no (1 for the first by code point, null last), target (double) and the number of words
     of the mix, mix_words2, doubled so that it is whole.
@@ -92,9 +88,8 @@ def sainte_lague(parts: DataFrame, group: str, key: str, weight: str, seats: str
 def mix_sources(
     docs: DataFrame, *, seed: int = SEED, block_words: int = BLOCK_WORDS, words_per_shard: int = WORDS_PER_SHARD, max_shards: int = MAX_SHARDS, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row for each row of docs (doc_id, text, source): doc_id, size, source_size, target, taken, and
-    start, the word at which the document begins in its shard's line, with the shard's quota, blocks and
-    offset, from which selected_words() tells which words are taken.
+    """One row for each row of docs (doc_id, text, source): doc_id, size, source_size, target and taken, which is
+    rounds times all its words and once its first `once` words.
 
     A null text has size 0 and gives nothing, a null source is a source of its own and the last; repeated
     rows are documents of their own; an empty table gives an empty result.  Further columns of docs do not
@@ -119,52 +114,36 @@ def mix_sources(
     shards = sainte_lague(shards, "source_no", "shard", "shard_size", "source_quota", "_asked")
     shards = shards.withColumn("blocks", F.ceil(F.col("shard_size") / block_words).cast("long"))
     shards = shards.withColumn("quota", F.least("_asked", F.col("blocks") * CAP))
-    draw = _draw(f"{seed}:offset:", F.col("source_no"), ":", F.col("shard"))
-    shards = shards.withColumn("offset", draw % F.greatest("blocks", F.lit(1)))
-    shards = materialize(shards.select("source_no", "shard", "blocks", "quota", "offset"), "mix-shards")
+    shards = materialize(shards.select("source_no", "shard", "blocks", "quota"), "mix-shards")
 
     line = W.partitionBy("source_no", "shard").orderBy("_order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = deal(measured if carry else sized).withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0)))
     placed = placed.join(bounded(shards), ["source_no", "shard"])
-    once = _below(F.col("start") + F.col("size"), block_words) - _below(F.col("start"), block_words)
-    whole = F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks")).cast("long")).otherwise(F.lit(0)).cast("long")
-    placed = placed.withColumn("rounds", whole)
-    placed = placed.withColumn("taken", F.when(F.col("size") > 0, F.col("rounds") * F.col("size") + once).otherwise(F.lit(0)).cast("long"))
-    return placed.select("doc_id", "size", "source_size", "target", "taken", "start", "rounds", "blocks", "quota", "offset", *carry)
-
-
-def _picked(j: Column) -> Column:
-    """How many of the shard's first j blocks the systematic choice takes."""
-    blocks = F.greatest(F.col("blocks"), F.lit(1))
-    return F.floor((j * (F.col("quota") % blocks) + F.col("offset")) / blocks).cast("long")
-
-
-def _below(x: Column, block_words: int) -> Column:
-    """How many words before the line's word x the systematic choice takes."""
-    j = F.floor(x / block_words).cast("long")
-    return _picked(j) * block_words + (_picked(j + 1) - _picked(j)) * (x - j * block_words)
-
-
-def apply_mix(docs: DataFrame, *, seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The mix itself, with the columns of docs: a document that is taken whole twice gives two rows, and
-    one of which the choice takes some blocks gives a row of their words (joined by single spaces where a
-    block was left out before them; a document taken whole keeps its text).  Rows that give no word go;
-    so does a document without words, since it has nothing to give."""
-    keep = [c for c in docs.columns]
+    rounds = F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0).cast("long")
+    front = F.col("quota") % F.greatest("blocks", F.lit(1)) * block_words
+    placed = placed.withColumns({"rounds": rounds, "once": F.greatest(F.least("size", front - F.col("start")), F.lit(0)).cast("long")})
+    return placed.withColumn("taken", F.col("rounds") * F.col("size") + F.col("once")).select("doc_id", "size", "source_size", "target", "taken", "rounds", "once", *carry)
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, with all white space before that."""
+    words = F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), n.cast("int"))
+    gaps = F.slice(F.split(text, WORD, -1), F.lit(1), n.cast("int"))
+    length = F.aggregate(F.zip_with(gaps, words, lambda g, w: F.length(g) + F.length(w)), F.lit(0), lambda total, x: total + x)
+    return F.substring(text, F.lit(1), length)
+
+
+def apply_mix(docs: DataFrame, *, seed: int = SEED, block_words: int = BLOCK_WORDS, words_per_shard: int = WORDS_PER_SHARD) -> DataFrame:
+    """The mix itself, with the columns of docs: a document that is taken whole twice gives two rows, and the
+    one at which a shard's choice ends gives its text up to there, white space kept.  Rows that give no word
+    go; so does a document without words, since it has nothing to give.  A null source is a source, repeated
+    rows are documents of their own, an empty table stays empty, columns keep their values whatever their names."""
+    keep = docs.columns
     held = docs.select("doc_id", "text", "source", F.struct(*keep).alias("_row"))
-    placed = mix_sources(held, seed=seed, block_words=block_words, carry=("_row",)).where("taken > 0")
-    begin, end = F.col("start"), F.col("start") + F.col("size")
-    n = F.col("taken") - F.col("rounds") * F.col("size")
-    first, last = F.floor(begin / block_words).cast("long"), F.floor((end - 1) / block_words).cast("long")
-    words = F.regexp_extract_all(F.col("_row.text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    taken = F.filter(F.sequence(first, last), lambda j: _picked(j + 1) > _picked(j))
-    block = lambda j: F.slice(
-        F.col("_words"), (F.greatest(j * block_words, begin) - begin + 1).cast("int"), (F.least((j + 1) * block_words, end) - F.greatest(j * block_words, begin)).cast("int")
-    )
-    part = F.array_join(F.flatten(F.transform(taken, block)), " ")
-    placed = placed.withColumn("_words", F.when((n > 0) & (n < F.col("size")), words))
-    part = F.when(n == F.col("size"), F.col("_row.text")).when(n > 0, part)
-    texts = F.concat(F.array_repeat(F.col("_row.text"), F.col("rounds").cast("int")), F.filter(F.array(part), lambda t: t.isNotNull()))
+    placed = mix_sources(held, seed=seed, block_words=block_words, words_per_shard=words_per_shard, carry=("_row",)).where("taken > 0")
+    text = F.col("_row.text")
+    part = F.when(F.col("once") == F.col("size"), text).when(F.col("once") > 0, first_words(text, F.col("once")))
+    texts = F.concat(F.array_repeat(text, F.col("rounds").cast("int")), F.filter(F.array(part), lambda t: t.isNotNull()))
     out = placed.select("_row", F.explode(texts).alias("_text"))
     new = {c: F.col("_row")[c] for c in keep} | {"text": F.col("_text")}
     if "n_chars" in keep:
@@ -173,6 +152,7 @@ def apply_mix(docs: DataFrame, *, seed: int = SEED, block_words: int = BLOCK_WOR
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
+    """What every document gives to the mix; see mix_sources() for nulls, empties and repeats."""
     from .common import read
 
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -214,18 +194,12 @@ WITH sized AS (
 ), squotas AS (
   SELECT source_no, shard, count(*) AS asked FROM (SELECT *, row_number() OVER (PARTITION BY source_no ORDER BY q DESC, shard, seat) AS r FROM sask) WHERE r <= source_quota GROUP BY ALL
 ), lined AS (
-  SELECT s.source_no, s.shard, ceil(w / {BLOCK_WORDS}.0)::BIGINT AS blocks, least(coalesce(asked, 0), 2 * ceil(w / {BLOCK_WORDS}.0)::BIGINT) AS quota,
-    ('0x' || substr(md5('{SEED}:offset:' || s.source_no || ':' || s.shard), 1, 8))::BIGINT % greatest(ceil(w / {BLOCK_WORDS}.0)::BIGINT, 1) AS ofs
+  SELECT s.source_no, s.shard, ceil(w / {BLOCK_WORDS}.0)::BIGINT AS blocks, least(coalesce(asked, 0), 2 * ceil(w / {BLOCK_WORDS}.0)::BIGINT) AS quota
   FROM shards s LEFT JOIN squotas USING (source_no, shard)
 ), placed AS (
-  SELECT d.*, l.blocks, l.quota, l.ofs, greatest(l.blocks, 1) AS nb, coalesce(sum(size) OVER (PARTITION BY d.source_no, d.shard ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
+  SELECT d.*, l.quota, greatest(l.blocks, 1) AS nb, coalesce(sum(size) OVER (PARTITION BY d.source_no, d.shard ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
   FROM dealt d JOIN lined l USING (source_no, shard)
-), ends AS (
-  SELECT *, a // {BLOCK_WORDS} AS ja, (a + size) // {BLOCK_WORDS} AS jb, quota % nb AS r FROM placed
 )
-SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
-  (quota // nb) * size
-  + ((jb * r + ofs) // nb) * {BLOCK_WORDS} + (((jb + 1) * r + ofs) // nb - (jb * r + ofs) // nb) * (a + size - jb * {BLOCK_WORDS})
-  - ((ja * r + ofs) // nb) * {BLOCK_WORDS} - (((ja + 1) * r + ofs) // nb - (ja * r + ofs) // nb) * (a - ja * {BLOCK_WORDS}) END::BIGINT AS taken
-FROM ends
+SELECT doc_id, size, source_size, target, ((quota // nb) * size + greatest(0, least(size, (quota % nb) * {BLOCK_WORDS} - a)))::BIGINT AS taken
+FROM placed
 """

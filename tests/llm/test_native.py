@@ -54,6 +54,17 @@ def test_mix_texts_are_the_words_it_takes(make):
     assert words == {k: v for k, v in taken.items() if v}
 
 
+def test_mix_cuts_one_document_a_shard_and_keeps_white_space(make):
+    rows = [(i, "".join(f" w{i}x{j}" + ("\n\n\t" if j % 3 else " é  ") for j in range(i % 90)), f"s{i % 3}") for i in range(400)]
+    docs, by_id = make(rows), {d: t for d, t, _ in rows}
+    for shard, most in ((1_000_000, 3), (4000, 15)):
+        out = mixing.apply_mix(docs, words_per_shard=shard).collect()
+        cut = [r for r in out if r.text != by_id[r.doc_id]]
+        assert 0 < len(cut) <= most and all(by_id[r.doc_id].startswith(r.text) and by_id[r.doc_id][len(r.text)] in " \n\t" for r in cut)
+    clash = [c for c in docs.columns if c not in ("doc_id", "text", "source", "n_chars", "lang")]
+    assert all(r[c] == c for r in out[:50] for c in clash)
+
+
 def test_mix_odd(odd, empty):
     got = mixing.mix_sources(odd).collect()
     assert sorted(r.size for r in got) == [0, 0, 0, 1, 2, 2, 6, 9, 30000]
