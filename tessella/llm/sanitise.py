@@ -237,29 +237,27 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, *, support: int, general
     copies = found.groupBy("doc_id", "_row").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("entities", "near", "held")))
     copies = materialize(copies, "pii-copies")
     of = copies.select("doc_id", "_row", "copies", F.explode("entities").alias("entity"))
-    entities = of.groupBy("entity").agg(F.sum("copies").alias("d_entity"))
-    # a term's documents are at least those where it stands by any entity, and those with both at most the
-    # entity's, which bounds the disclosure: pairs that can't reach the threshold need no counts
-    least = copies.select("copies", F.explode(F.array_distinct("near.hash")).alias("hash")).groupBy("hash").agg(F.sum("copies").alias("d_least"))
-    both = copies.select(F.explode("near").alias("x")).select("x.entity", "x.hash").distinct().join(entities, "entity").join(least, "hash")
+    entities = of.groupBy("entity").agg(F.sum("copies").alias("d_entity"), F.count(F.lit(1)).alias("n_rows"))
+    # a term's documents are at least those of them that hold an entity, and those with both at most the entity's,
+    # which bounds the disclosure: pairs that can't reach the threshold need no counts
+    held = copies.select("copies", F.explode("held").alias("hash")).groupBy("hash").agg(F.sum("copies").alias("d_held"))
+    both = copies.select(F.explode("near").alias("x")).select("x.entity", "x.hash").distinct().join(entities, "entity").join(held, "hash")
 
     def disclosure(d_both: Column, d: Column) -> Column:
         prior = F.when(F.col("d_entity") < support, F.lit(PRIOR)).otherwise(F.lit(0.0))
         pmi = F.log2((d_both + prior * F.col("d_entity") / float(total)) * F.lit(float(total)) / (F.col("d_entity") * (d + prior)))
         return F.when(F.col("d_entity") < total, pmi / F.log2(F.lit(float(total)) / F.col("d_entity"))).otherwise(F.lit(0.0))
 
-    most = F.least(F.col("d_entity"), F.col("d_least"))
-    both = both.where(disclosure(most, F.col("d_least")) >= generalise_at - 1e-6).select("entity", "hash", "d_entity")
-    both = materialize(both, "pii-near-bound")
-    # documents with both: a document's terms that may disclose, with those entities that they may disclose and it holds
-    holds = copies.select("doc_id", "_row", "copies", F.explode("held").alias("hash")).join(bounded(both.select("hash").distinct()), "hash")
-    least = holds.groupBy("hash").agg(F.sum("copies").alias("d_held"))  # all documents with entities: a closer bound
+    most = F.least(F.col("d_entity"), F.col("d_held"))
+    both = materialize(both.where(disclosure(most, F.col("d_held")) >= generalise_at - 1e-6), "pii-near-bound")
+    # an entity of one document has its neighbours there; of others, the documents with both are counted
+    one, several = both.where("n_rows = 1").withColumn("d_both", F.col("d_entity")), both.where("n_rows > 1")
     has = of.select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("entity").alias("_e"))
-    met = holds.join(bounded(both.select("entity", "hash")), "hash")
-    met = met.join(has, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")) & (F.col("entity") == F.col("_e")), "left_semi")
-    met = met.groupBy("entity", "hash").agg(F.sum("copies").alias("d_both"))
-    both = both.join(met, ["entity", "hash"]).where((F.col("d_both") >= support) | (F.col("d_entity") < support)).join(least, "hash")
-    both = both.where(disclosure(F.col("d_both"), F.col("d_held")) >= generalise_at - 1e-6).drop("d_held")
+    holds = copies.select("doc_id", "_row", "copies", F.explode("held").alias("hash")).join(bounded(several.select("entity", "hash")), "hash")
+    holds = holds.join(has, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")) & (F.col("entity") == F.col("_e")), "left_semi")
+    met = holds.groupBy("entity", "hash").agg(F.sum("copies").alias("d_both"))
+    both = one.unionByName(several.join(met, ["entity", "hash"])).where((F.col("d_both") >= support) | (F.col("d_entity") < support))
+    both = both.where(disclosure(F.col("d_both"), F.col("d_held")) >= generalise_at - 1e-6).drop("d_held", "n_rows")
     both = materialize(both, "pii-pairs")
     terms = both.select("hash").distinct()
     if terms.limit(MAX_CANDIDATES + 1).count() <= MAX_CANDIDATES:
@@ -385,7 +383,8 @@ def op8_pii(spark, sf_dir: str) -> DataFrame:
     """Every document's base and method spans, how many terms are generalised and removed, and the sanitised
     text's hash; see sanitise() for nulls, empties and repeats."""
     found = sanitise(read(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    of_kind = lambda kind: F.filter("base", lambda s: s["kind"] == kind)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     terms = F.transform("terms", lambda s: F.struct(F.lit(4).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     gone = F.size(F.filter("terms", lambda s: s["disclosure"] >= REMOVE_AT)).cast("long")
     return found.select(
