@@ -325,6 +325,7 @@ def digest(coded: DataFrame) -> DataFrame:
 
 
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Every document's token ids, by their digests, and what they decode to; a null text counts as empty, repeats give equal rows."""
     from .common import read
 
     ranks, pattern = default_vocabulary()

@@ -9,6 +9,7 @@ cosine.  Prototypes are learned from a bounded sample; scoring is one matrix pro
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ SEED = 7
 #: Labelled rows that prototypes are learned from, at most (those with the smallest hash of their id).
 MAX_TRAIN = 12_000
 STEP_BYTES, STEP_ROWS = 1_000_000, 384
+#: Characters that are counted at a time, and distinct runs that are multiplied at a time.
+PIECE, RUNS = 500_000, 4096
 
 _STATE: dict[str, np.ndarray] = {}
 
@@ -54,50 +57,86 @@ def run_vectors(runs: np.ndarray) -> np.ndarray:
     return np.roll(v, 2, axis=1)[a] * np.roll(v, 1, axis=1)[b] * v[c]
 
 
+def _pieces(texts: list[str | None]) -> Iterator[list[tuple[int, str, str, str]]]:
+    """Lists of (row, character before, piece, character after) that cover the texts, of about PIECE characters each."""
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        for a in range(0, len(t or ""), PIECE):
+            piece = t[a : a + PIECE]
+            held.append((i, t[a - 1] if a else "", piece, t[a + PIECE : a + PIECE + 1]))
+            size += len(piece)
+            if size >= PIECE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def text_vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors of the texts, whether each has a letter); the vector of a text without runs is 0."""
-    lengths = np.array([len(t or "") for t in texts])
-    points = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = letter_classes()[points].astype(np.int32)
-    row = np.repeat(np.arange(len(texts)), lengths)
-    has = np.bincount(row[kind > 0], minlength=len(texts)) > 0
-    # a word edge stands before the first and after the last letter of each text
-    at = np.arange(len(points)) + 1 + 2 * row
-    padded = np.zeros(len(points) + 2 * len(texts), np.int32)
-    padded[at] = kind
-    runs = (padded[:-2] * CLASSES + padded[1:-1]) * CLASSES + padded[2:]
-    owner = np.repeat(np.arange(len(texts)), lengths + 2)[1:-1]
-    runs, owner = runs[padded[1:-1] > 0], owner[padded[1:-1] > 0]
-    seen = np.flatnonzero(np.bincount(runs, minlength=1))
-    local = np.zeros(int(seen[-1]) + 1 if len(seen) else 1, np.int64)
-    local[seen] = np.arange(len(seen))
-    counts = np.bincount(owner * len(seen) + local[runs], minlength=len(texts) * len(seen)).reshape(len(texts), len(seen))
-    out = counts.astype(np.float32) @ run_vectors(seen).astype(np.float32)
-    norm = np.sqrt((out.astype(np.float64) ** 2).sum(axis=1))
+    """(unit vectors of the texts, whether each has a letter); the vector of a text without runs is 0.
+
+    Texts are counted a piece and multiplied RUNS distinct runs at a time, so memory does not grow with
+    their length; sums are whole numbers, so pieces and company do not change them."""
+    out, has = np.zeros((len(texts), DIM)), np.zeros(len(texts), bool)
+    for pieces in _pieces(texts):
+        rows = np.array([p[0] for p in pieces])
+        lengths = np.array([len(p[2]) for p in pieces])
+        # each piece between the characters beside it; a word edge stands before the first and after the last letter of a text
+        points = np.frombuffer("".join((b or "\0") + t + (a or "\0") for _, b, t, a in pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = letter_classes()[points].astype(np.int32)
+        owner = np.repeat(np.arange(len(pieces)), lengths + 2)
+        first = np.cumsum(lengths + 2) - (lengths + 2)
+        middle = np.ones(len(points), bool)
+        middle[first] = middle[first + lengths + 1] = False
+        at = np.flatnonzero(middle & (kind > 0))
+        if not len(at):
+            continue
+        has[rows[owner[at]]] = True
+        runs = (kind[at - 1] * CLASSES + kind[at]) * CLASSES + kind[at + 1]
+        cell, count = np.unique(runs.astype(np.int64) * len(pieces) + owner[at], return_counts=True)
+        run, piece = cell // len(pieces), cell % len(pieces)
+        distinct = np.unique(run)
+        for b in range(0, len(distinct), RUNS):
+            some = distinct[b : b + RUNS]
+            mine = slice(np.searchsorted(run, some[0]), np.searchsorted(run, some[-1], "right"))
+            counts = np.zeros((len(pieces), len(some)), np.float32)
+            counts[piece[mine], np.searchsorted(some, run[mine])] = count[mine]
+            np.add.at(out, rows, counts @ run_vectors(some).astype(np.float32))
+    norm = np.sqrt((out**2).sum(axis=1))
     return out / np.maximum(norm, 1e-9)[:, None], has
 
 
+def training_rows(labelled: DataFrame, max_train: int) -> DataFrame:
+    """(text, lang) of at most max_train rows of labelled (doc_id, text, lang), those whose id has the smallest hash;
+    rows that repeat an id, a text and a lang count once, and of more texts of one id come those with the smallest hash."""
+    known = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.xxhash64("doc_id").alias("_h"), F.xxhash64("text").alias("_t"), "lang")
+    # ids below a hash that about twice as many have as are wanted: a repeated id takes no other's place
+    n = known.agg(F.approx_count_distinct("_h")).first()[0]
+    edge = min(-(1 << 63) + int((1 << 64) * min(1.0, 2.0 * max_train / max(n, 1))), (1 << 63) - 1)
+    few = known.where(F.col("_h") <= F.lit(edge)).distinct().orderBy("_h", "_t", "lang").limit(max_train)
+    few = F.broadcast(few.withColumnsRenamed({"lang": "_l"}))
+    same = (F.xxhash64("doc_id") == F.col("_h")) & (F.xxhash64("text") == F.col("_t")) & (F.col("lang") == F.col("_l"))
+    return labelled.join(few, same).dropDuplicates(["_h", "_t", "_l"]).select("text", "lang")
+
+
 def learn_prototypes(labelled: DataFrame, *, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
     """(languages, unit prototypes) from labelled (doc_id, text, lang); rows with a null lang or text do not
-    enter, and of the others at most max_train, those whose id has the smallest hash.  Sums are of whole
-    numbers, so they do not depend on the order of tasks."""
-    chosen = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    edge = chosen.select("_h").orderBy("_h").limit(max_train).agg(F.max("_h")).first()[0]
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.xxhash64("doc_id") <= F.lit(edge if edge is not None else 0)))
+    enter, and of the others at most max_train (see training_rows).  Sums are of whole numbers, so they do
+    not depend on the order of tasks."""
 
     def run(batches):
         for batch in batches:
-            for part in in_steps(batch, 1, STEP_BYTES, STEP_ROWS):
-                vectors, has = text_vectors(part.column(1).to_pylist())
-                langs = part.column(0).to_pylist()
+            for part in in_steps(batch, 0, STEP_BYTES, STEP_ROWS):
+                vectors, has = text_vectors(part.column(0).to_pylist())
+                langs = part.column(1).to_pylist()
                 for lang in dict.fromkeys(langs):
                     mine = np.array([x == lang for x in langs]) & has
                     total = np.rint(vectors[mine] * 1e6).astype(np.int64).sum(axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([total.tolist()], pa.list_(pa.int64()))], names=["lang", "total"])
 
-    parts = rows.select("lang", "text").mapInArrow(run, "lang string, total array<long>")
+    parts = training_rows(labelled, max_train).mapInArrow(run, "lang string, total array<long>")
     sums: dict[str, np.ndarray] = {}
-    for r in parts.collect():
+    for r in parts.collect():  # a row for each slice of the bounded sample and language
         sums[r.lang] = sums.get(r.lang, 0) + np.array(r.total, np.int64)
     names = sorted(k for k, v in sums.items() if np.any(v))
     if not names:
@@ -133,6 +172,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
+    """Every document's language, by prototypes of those that aren't held out; see identify() for nulls,
+    texts without letters and repeats."""
     from .common import read
 
     docs = read(spark, sf_dir, "documents")

@@ -182,6 +182,7 @@ def read_media(stored: DataFrame) -> DataFrame:
 
 
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:
+    """Every document stored as an image and read back; a null text counts as empty, repeated texts give equal values."""
     from .common import read
 
     m = read_media(store_media(read(spark, sf_dir, "documents")))

@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .common import materialize
 from .quality import labelled_sample
 
 PASSAGE = 64
 HIDDEN, GATE = 32, 16
-MAX_TRAIN = 4000
+#: Labelled documents that are learned from, at most, and passages that these have together (DIM half-precision
+#: numbers each); documents that would exceed it are passed over in the order of their ids' hashes.
+MAX_TRAIN, MAX_TRAIN_PASSAGES = 4000, 400_000
 EPOCHS, BATCH_DOCS, RATE, DECAY = 14, 128, 4e-3, 1e-4
 SEED = 11
 PREDICT_AT = 0.3
@@ -57,7 +60,9 @@ def encode_passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n_words = np.maximum(np.bincount(of_word, minlength=total), 1)
     classes = np.bincount(of_byte * N_CLASSES + _CLASS[solid], minlength=total * N_CLASSES).reshape(total, -1) / n_bytes
     two = ((tc.LOWER[solid[:-1]].astype(np.uint32) << np.uint32(8) | tc.LOWER[solid[1:]]) * np.uint32(2654435761)) >> np.uint32(26)
-    pairs = np.bincount(of_byte[:-1] * PAIRS + two.astype(np.int64), minlength=total * PAIRS).reshape(total, -1) / n_bytes
+    inside = np.ones(len(solid), bool)
+    inside[np.cumsum(length)[first[1:][count > 0] - 1] - 1] = False  # a row's last byte pairs with none of the next row
+    pairs = np.bincount((of_byte[:-1] * PAIRS + two.astype(np.int64))[inside[:-1]], minlength=total * PAIRS).reshape(total, -1) / n_bytes
     h = tc.span_hashes(raw, begin, end)
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
@@ -137,7 +142,7 @@ class AttentionModel:
             for at in range(0, len(order), BATCH_DOCS):
                 some = order[at : at + BATCH_DOCS]
                 first = np.concatenate([[0], np.cumsum([len(bags[i]) for i in some])])
-                state = self.forward(np.vstack([bags[i] for i in some]), first)
+                state = self.forward(np.vstack([bags[i] for i in some]).astype(np.float32), first)
                 t += 1
                 for k, g in self.slopes(state, y[some], each[some] / len(some)).items():
                     m[k] = 0.9 * m[k] + 0.1 * g
@@ -146,8 +151,11 @@ class AttentionModel:
                     self.weights[k] = (self.weights[k] - rate * (step + DECAY * self.weights[k])).astype(np.float32)
 
 
-def train_passages(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> AttentionModel | None:
-    """The model from labels (doc_id, label 0/1) of docs; None if the sample lacks one of the two labels."""
+def train_passages(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, max_passages: int = MAX_TRAIN_PASSAGES) -> AttentionModel | None:
+    """The model from labels (doc_id, label 0/1) of docs; None if the sample lacks one of the two labels.
+
+    The sample is bounded in documents and in passages.  An id with several labels has the least, one with
+    several texts that with the smallest hash, so a rerun learns from the same rows."""
 
     def run(batches):
         for batch in batches:
@@ -155,17 +163,31 @@ def train_passages(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_T
                 x, first = encode_passages(part.column(1))
                 x = x.astype(np.float16)
                 bags = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(bags, pa.binary())], names=["doc_id", "label", "bag"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(np.diff(first), pa.int64()), pa.array(bags, pa.binary())], names=["doc_id", "label", "_t", "size", "bag"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sample = labelled_sample(docs, labels.select("doc_id", F.col("label").cast("int").alias("label")), max_train)
-    found = sample.mapInArrow(run, f"doc_id {id_type}, label int, bag binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    y = np.asarray(found.column("label")).astype(np.float64)
+    found = sample.mapInArrow(run, f"doc_id {id_type}, label int, _t long, size long, bag binary").groupBy("doc_id").agg(F.min(F.struct("_t", "label", "size", "bag")).alias("_x"))
+    found = materialize(found.select("doc_id", "_x.label", "_x.size", "_x.bag"), "passages-sample")
+    sizes = found.select("doc_id", "size").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    kept, total = [], 0
+    for doc_id, size in zip(sizes.column("doc_id").to_pylist(), sizes.column("size").to_pylist()):
+        if total + size <= max_passages:
+            kept.append(doc_id)
+            total += size
+    if len(kept) < sizes.num_rows:
+        found = found.join(F.broadcast(found.sparkSession.createDataFrame([(k,) for k in kept], f"doc_id {id_type}")), "doc_id")
+    table = found.toArrow().sort_by("doc_id")
+    y = np.asarray(table.column("label")).astype(np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    bags = [np.frombuffer(b, np.float16).reshape(-1, DIM).astype(np.float32) for b in found.column("bag").to_pylist()]
-    everything = np.vstack(bags)
-    model = AttentionModel.fresh(everything.mean(axis=0), np.maximum(everything.std(axis=0), 0.02))
+    bags = [np.frombuffer(b.as_buffer(), np.float16).reshape(-1, DIM) for chunk in table.column("bag").chunks for b in chunk]
+    count, mean, square = 0, np.zeros(DIM), np.zeros(DIM)
+    for bag in bags:
+        count, mean, square = count + len(bag), mean + bag.sum(axis=0, dtype=np.float64), square + (bag.astype(np.float64) ** 2).sum(axis=0)
+    mean /= count
+    deviation = np.sqrt(np.maximum(square / count - mean**2, 0))
+    model = AttentionModel.fresh(mean.astype(np.float32), np.maximum(deviation, 0.02).astype(np.float32))
     model.fit(bags, y)
     return model
 
@@ -197,7 +219,8 @@ def score_passages(docs: DataFrame, model: AttentionModel | None, *, passages: b
 
 
 def keep_good(docs: DataFrame, model: AttentionModel | None, *, at: float = PREDICT_AT) -> DataFrame:
-    """The rows of docs whose text scores `at` or more, whole and with all their columns."""
+    """The rows of docs whose text scores `at` or more, whole and with all their columns, whatever their names; a
+    null or empty text is scored as one passage without content, repeated rows alike.  Without a model all stay."""
     if model is None:
         return docs
     text = docs.columns.index("text")
@@ -211,6 +234,8 @@ def keep_good(docs: DataFrame, model: AttentionModel | None, *, at: float = PRED
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """Every document's quality, by a model of labelled documents that aren't held out; see score_passages() for
+    nulls, empties and repeats."""
     from .common import read
 
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")

@@ -159,25 +159,29 @@ def fit_calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     # Platt's targets keep the curve finite where the logits separate the classes
     up, down = (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2)
     goal = np.where(y > 0, up, down)
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = _sigmoid(a * z + b)
+    loss = lambda c: float((np.logaddexp(0, c[0] * z + c[1]) - goal * (c[0] * z + c[1])).sum() + 5e-4 * c[0] ** 2)
+    c = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = _sigmoid(c[0] * z + c[1])
         v = p * (1 - p) + 1e-9
-        g = np.array([((p - goal) * z).sum() + 1e-3 * a, (p - goal).sum()])
+        g = np.array([((p - goal) * z).sum() + 1e-3 * c[0], (p - goal).sum()])
         h = np.array([[(v * z * z).sum() + 1e-3, (v * z).sum()], [(v * z).sum(), v.sum() + 1e-6]])
-        d = np.linalg.solve(h, g)
-        a, b = a - d[0], b - d[1]
-        if np.abs(d).max() < 1e-8:
+        d, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-10 and loss(c - size * d) > loss(c) - 1e-4 * size * float(g @ d):
+            size /= 2  # a whole step may lead away where the curve is flat
+        c = c - size * d
+        if np.abs(size * d).max() < 1e-8:
             break
-    return float(a), float(b)
+    return float(c[0]), float(c[1])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(doc_id, text, label) of at most `most` rows of labels (doc_id, label), those whose id has the
-    smallest hash; docs may repeat an id.  The sample is bounded, so it is broadcast."""
-    chosen = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    """(doc_id, text, label, _t) of the documents of at most `most` labelled ids (doc_id, label), those with the
+    smallest hash.  An id with several labels has the least of them; docs may repeat an id, and _t, a text's hash,
+    tells which of its rows comes first.  The sample is bounded, so it is broadcast."""
+    chosen = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("_id"), "label"))
-    return docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).drop("_id")
+    return docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).drop("_id").withColumn("_t", F.xxhash64("text"))
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float, float] | None:
@@ -188,11 +192,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TR
         for batch in batches:
             for part in tc.in_steps(batch, 1, STEP_BYTES, STEP_ROWS):
                 x = features(part.column(1)).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "label", "_t", "x"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sample = labelled_sample(docs, labels.select("doc_id", F.col("label").cast("int").alias("label")), max_train)
-    found = sample.mapInArrow(run, f"doc_id {id_type}, label int, x binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    found = sample.mapInArrow(run, f"doc_id {id_type}, label int, _t long, x binary").groupBy("doc_id").agg(F.min(F.struct("_t", "label", "x")).alias("_x"))
+    found = found.select("doc_id", "_x.label", "_x.x").toArrow().sort_by("doc_id")
     if not found.num_rows:
         return None
     x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float16).reshape(found.num_rows, -1).astype(np.float32)
@@ -231,6 +236,7 @@ def quality_rules(docs: DataFrame, model: tuple[np.ndarray, float, float] | None
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Every document's base counts, calibrated score and verdict; see quality_rules() for nulls, empties and repeats."""
     from .common import read
 
     docs = read(spark, sf_dir, "documents")
