@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -21,9 +23,11 @@ def quantiles(lengths: DataFrame, group: list[str], at: tuple[int, ...] = (90, 9
     Lengths are counted first; ranks come from running sums over distinct lengths, which a text limit
     bounds, so no group's values are gathered.
     """
-    from pyspark.sql import Window as W
+    return counted_quantiles(lengths.groupBy(*group, "length").agg(F.count(F.lit(1)).alias("c")), group, at)
 
-    c = lengths.groupBy(*group, "length").agg(F.count(F.lit(1)).alias("c"))
+
+def counted_quantiles(c: DataFrame, group: list[str], at: tuple[int, ...] = (90, 99)) -> DataFrame:
+    """quantiles() of lengths that are counted already: c (group, length, c)."""
     run = W.partitionBy(*group).orderBy("length").rowsBetween(W.unboundedPreceding, 0)
     c = c.withColumn("hi", F.sum("c").over(run)).withColumn("n", F.sum("c").over(W.partitionBy(*group)))
     c = c.withColumn("lo", F.col("hi") - F.col("c"))
@@ -51,21 +55,29 @@ def histogram(lengths: DataFrame, bins: int = 12) -> DataFrame:
     return lengths.crossJoin(F.broadcast(edge)).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def chunk_grid(pages: DataFrame, text: Column, candidates: list[tuple[int, int]]) -> DataFrame:
-    """Length statistics and page tallies for each candidate (size, overlap): a stated list, so each is one
-    pass over the pages."""
-    from ..functions.text import MIN_PAGE, chunks, clean
-
-    parts = []
-    for size, overlap in candidates:
-        c = clean(text)
-        pieces = F.when(F.length(c) >= MIN_PAGE, chunks(c, size, overlap)).otherwise(F.array().cast("array<string>"))
-        parts.append(pages.select(F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), pieces.alias("_p")))
-    everything = parts[0]
-    for p in parts[1:]:
-        everything = everything.unionByName(p)
-    n = F.size("_p")
-    tallies = everything.groupBy("size", "overlap").agg(F.count_if(n > 1).alias("pages_split"), F.count_if(n == 1).alias("pages_single"), F.count_if(n == 0).alias("dropped"))
-    lengths = everything.select("size", "overlap", F.explode(F.transform("_p", lambda x: F.length(x).cast("long"))).alias("length"))
-    over = lengths.groupBy("size", "overlap").agg(F.round(100 * F.avg((F.col("length") > F.col("size")).cast("int")), 1).alias("over_percent"))
-    return quantiles(lengths, ["size", "overlap"]).join(over, ["size", "overlap"]).join(tallies, ["size", "overlap"])
+def chunk_grid(pages: DataFrame, text: str, candidates: list[tuple[int, int]]) -> DataFrame:
+    """Length statistics and page tallies for each candidate (size, overlap).  A page is cleaned once and chunked
+    for all candidates in one Arrow function, which gives the lengths alone."""
+    from ..functions.text import MIN_PAGE, chunk, cleaned
+
+    @F.pandas_udf("array<array<int>>")
+    def lengths_of(s: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[list[int]]:
+            t = cleaned(t)
+            return [[len(p) for p in chunk(t, *c)] if len(t) >= MIN_PAGE else [] for c in candidates]
+
+        return s.map(one)
+
+    # not deterministic to the optimiser, which else evaluates it again for every use
+    grid = F.array(*(F.struct(F.lit(a).alias("size"), F.lit(b).alias("overlap")) for a, b in candidates))
+    each = pages.select(lengths_of.asNondeterministic()(F.col(text)).alias("_l"))
+    each = each.select(F.explode(F.arrays_zip(grid.alias("c"), F.col("_l").alias("l"))).alias("x")).select("x.c.size", "x.c.overlap", F.col("x.l").alias("l"))
+    counts = each.select("size", "overlap", F.explode_outer("l").alias("length"), F.size("l").alias("n"))
+    # a page of n pieces has n rows, so each adds 1 / n of a page; counts of distinct (n, length) are all that is kept
+    counts = counts.groupBy("size", "overlap", "n", "length").agg(F.count(F.lit(1)).alias("c"))
+    pages_of = counts.groupBy("size", "overlap", "n").agg((F.sum("c") / F.greatest("n", F.lit(1))).cast("long").alias("p"))
+    tally = lambda c: F.coalesce(F.sum(F.when(c, F.col("p"))), F.lit(0))
+    tallies = pages_of.groupBy("size", "overlap").agg(tally(F.col("n") > 1).alias("pages_split"), tally(F.col("n") == 1).alias("pages_single"), tally(F.col("n") == 0).alias("dropped"))
+    lengths = counts.where("length is not null").groupBy("size", "overlap", "length").agg(F.sum("c").alias("c"))
+    over = lengths.groupBy("size", "overlap").agg(F.round(100 * F.sum(F.when(F.col("length") > F.col("size"), F.col("c")).otherwise(0)) / F.sum("c"), 1).alias("over_percent"))
+    return counted_quantiles(lengths.withColumn("length", F.col("length").cast("long")), ["size", "overlap"]).join(over, ["size", "overlap"]).join(tallies, ["size", "overlap"])

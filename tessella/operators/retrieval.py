@@ -7,20 +7,27 @@ expressions in the JVM, but for many-query cosine search, which is products of b
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import tokenize
+
 #: Hits kept, lowest similarity, pool and constant of rank fusion, characters that tell hits apart.
 TOP_K, MIN_SCORE, POOL, FUSION, SAME = 12, 0.15, 50, 60, 120
 #: BM25 saturation and length weight, the literature's usual ones.
 K1, B = 1.5, 0.75
-#: Query-side rows up to which the query side is broadcast.
-SMALL = 100_000
+#: Digits to which scores are ranked: those that differ only by the order of a sum are ties.
+EXACT = 12
+#: Bytes of query vectors up to which they are broadcast, and queries that one lexical search takes.
+SMALL_BYTES, MAX_QUERIES = 64 << 20, 20_000
 #: Vectors in a block of many-query search; a product of two blocks is the largest piece of work.
 BLOCK = 1024
+#: Passages that a lexical search scores at a time.
+SLICE = 256
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -47,7 +54,7 @@ def dense_topk(passages: DataFrame, query: list[float], *, key: str = "vec_id",
     similarities after it, so fewer than k rows may be left."""
     if issues is not None:
         passages = passages.where(F.col("label").isin(*issues)) if issues else passages.where(F.lit(False))
-    scored = passages.withColumn("similarity", F.round(cosine(F.col("embedding"), F.array(*map(F.lit, query))), 6))
+    scored = passages.withColumn("similarity", F.round(cosine(F.col("embedding"), F.array(*map(F.lit, query))), EXACT))
     top = scored.orderBy(F.col("similarity").desc_nulls_last(), key).limit(k)
     top = top.where(F.col("similarity").isNotNull())
     return top if min_score is None else top.where(F.col("similarity") >= min_score)
@@ -79,12 +86,12 @@ def batch_topk(passages: DataFrame, queries: DataFrame, *, key: str = "vec_id",
     sides are packed into blocks of bounded size; a product of two blocks gives the similarities of their pairs and
     leaves k rows per query, so pairs are never rows of a table."""
     asked = queries.select(F.col("query_id").alias("id"), F.col("q").alias("v"))
-    n = asked.count()
+    n, size = asked.agg(F.count(F.lit(1)), F.sum(F.size("v").cast("long") * 8)).first()
     asked = _packed(asked.repartition(max(1, -(-n // BLOCK))), BLOCK).withColumnsRenamed({"ids": "query_ids", "raw": "query_raw"})
     held = _packed(passages.select(F.col(key).alias("id"), F.col("embedding").alias("v")), BLOCK)
     # joined on true: on the length, all blocks would go to one task
     asked = asked.withColumnRenamed("dim", "query_dim")
-    pairs = held.join(F.broadcast(asked) if n <= SMALL else asked, F.lit(True))
+    pairs = held.join(F.broadcast(asked) if (size or 0) <= SMALL_BYTES else asked, F.lit(True))
 
     def run(batches):
         for batch in batches:
@@ -96,7 +103,7 @@ def batch_topk(passages: DataFrame, queries: DataFrame, *, key: str = "vec_id",
                 e = np.frombuffer(batch.column("raw")[r].as_buffer(), "<f8").reshape(-1, dim)
                 q = np.frombuffer(batch.column("query_raw")[r].as_buffer(), "<f8").reshape(-1, dim)
                 long = lambda x: np.sqrt((x * x).sum(1))
-                s = np.round(q @ e.T / np.outer(long(q), long(e)), 6)
+                s = np.round(q @ e.T / np.outer(long(q), long(e)), EXACT)
                 # ids ascend, so a stable order of falling similarities ends ties at the id; NaN is above all
                 best = np.argsort(-np.where(np.isnan(s), np.inf, s), axis=1, kind="stable")[:, :k]
                 at = np.repeat(np.arange(len(q)), best.shape[1])
@@ -108,20 +115,87 @@ def batch_topk(passages: DataFrame, queries: DataFrame, *, key: str = "vec_id",
     return scored.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", key, "similarity", "rank")
 
 
-def bm25(passages: DataFrame, queries: DataFrame, *, key: str, k: int, text: str = "text", tokens) -> DataFrame:
+def bm25(passages: DataFrame, queries: DataFrame, *, key: str, k: int, text: str = "text", tokens=tokenize) -> DataFrame:
     """(query_id, key, score, rank) of the k best passages for each query (query_id, text) by Okapi BM25 with
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)).  Each distinct token of a query counts once.  Only tokens that
-    queries have are kept of the passages before anything is shuffled."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    words = asked.select("token").distinct()
-    words = F.broadcast(words) if words.limit(SMALL + 1).count() <= SMALL else words
-    cells = passages.select(key, tokens(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
-    total = cells.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = cells.select(key, "dl", F.explode("_t").alias("token")).join(words, "token", "left_semi").groupBy(key, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, "token").crossJoin(F.broadcast(total)).select(key, "token", weight.alias("w"))
-    scored = scored.join(asked, "token").groupBy("query_id", key).agg(F.round(F.sum("w"), 6).alias("score"))
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)).  A token that a query repeats counts as often.  Passages
+    without a token of the query are none of its hits.
+
+    Queries are a stated set of at most MAX_QUERIES, whose words travel with the tasks.  Two passes over the
+    passages, in Arrow slices: one sums the document frequencies of these words, one scores (passages by
+    words times words by queries) and keeps k passages a query and task, so no token is ever shuffled."""
+    asked = queries.select("query_id", "text").limit(MAX_QUERIES + 1).collect()
+    if len(asked) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries: search in parts")
+    words: dict[str, dict[int, int]] = {}
+    for q, row in enumerate(asked):
+        for t in tokens(row["text"]):
+            mine = words.setdefault(t, {})
+            mine[q] = mine.get(q, 0) + 1
+    number = {t: i for i, t in enumerate(words)}
+    ids = pa.array([r["query_id"] for r in asked])
+
+    def cells(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, word, times, length of each row) of the asked words in texts."""
+        row, word, times, length = [], [], [], []
+        for i, t in enumerate(texts.to_pylist()):
+            found, seen = tokens(t), {}
+            length.append(len(found))
+            for w in found:
+                if (n := number.get(w)) is not None:
+                    seen[n] = seen.get(n, 0) + 1
+            row += [i] * len(seen)
+            word += seen.keys()
+            times += seen.values()
+        return np.array(row, np.int64), np.array(word, np.int64), np.array(times, np.float64), np.array(length, np.float64)
+
+    def count(batches):
+        df, n, total = np.zeros(len(words), np.int64), 0, 0
+        for batch in batches:
+            _, word, _, length = cells(batch.column(0))
+            df += np.bincount(word, minlength=len(df))
+            n, total = n + len(length), total + int(length.sum())
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *at.tolist()], pa.int64()), pa.array([n, total, *df[at].tolist()], pa.int64())], names=["word", "n"])
+
+    sums = {r["word"]: r["n"] for r in passages.select(text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    n, mean = sums.get(-2, 0), sums.get(-1, 0) / max(sums.get(-2, 0), 1)
+    df = np.array([sums.get(i, 0) for i in range(len(words))], np.float64)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    weights = list(words.values())
+
+    def best(hits: pd.DataFrame) -> pd.DataFrame:
+        return hits.sort_values(["q", "score", "key"], ascending=[True, False, True]).groupby("q", sort=False).head(k)
+
+    def score(batches):
+        held, kind = [], None
+        for batch in batches:
+            kind = batch.column(0).type
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                row, word, times, length = cells(part.column(1))
+                if not len(row):
+                    continue
+                present, local = np.unique(word, return_inverse=True)
+                w = np.zeros((part.num_rows, len(present)))
+                w[row, local] = idf[word] * times * (K1 + 1) / (times + K1 * (1 - B + B * length[row] / mean))
+                for q0 in range(0, len(asked), BLOCK):
+                    m = np.zeros((len(present), min(BLOCK, len(asked) - q0)))
+                    for i, p in enumerate(present.tolist()):
+                        for q, c in weights[p].items():
+                            if 0 <= q - q0 < m.shape[1]:
+                                m[i, q - q0] = c
+                    s = np.round(w @ m, EXACT)
+                    r, q = np.nonzero(s)
+                    keys = part.column(0).take(pa.array(r)).to_pandas()
+                    held.append(best(pd.DataFrame({"q": q + q0, "score": s[r, q], "key": keys})))
+            if held:
+                held = [best(pd.concat(held))]
+        if held:
+            h = held[0]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(h["q"].to_numpy())), pa.array(h["key"], kind), pa.array(h["score"].to_numpy())], names=["query_id", key, "score"])
+
+    kinds = queries.schema["query_id"].dataType.simpleString(), passages.schema[key].dataType.simpleString()
+    scored = passages.select(key, text).mapInArrow(score, f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
     place = W.partitionBy("query_id").orderBy(F.col("score").desc(), key)
     return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
@@ -133,7 +207,7 @@ def fuse(first: DataFrame, second: DataFrame, *, key: str, top: int, constant: i
     b = second.select("query_id", key, F.col("rank").alias("rb"))
     both = a.join(b, ["query_id", key], "full_outer")
     part = lambda c: F.coalesce(1.0 / (constant + F.col(c)), F.lit(0.0))
-    both = both.withColumn("score", F.round(part("ra") + part("rb"), 9))
+    both = both.withColumn("score", part("ra") + part("rb"))
     place = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("ra").asc_nulls_last(), F.col("rb").asc_nulls_last(), key)
     return both.withColumn("place", F.row_number().over(place)).where(F.col("place") <= top).select("query_id", key, "score", "place")
 

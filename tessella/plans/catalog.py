@@ -84,27 +84,31 @@ def _vector(spark: SparkSession, d: str, vec_id: int) -> list[float]:
     return [float(x) for x in row[0]]
 
 
-_SIM = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
+_SIM = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12)"
+
+
+def _rounded(c: str = "similarity", digits: int = 6):
+    return F.round(c, digits).alias(c)
 
 
 def _dense_sql(where: str, least: str) -> str:
-    return f"""SELECT vec_id, label, similarity FROM (SELECT e.vec_id, e.label, {_SIM} AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
+    return f"""SELECT vec_id, label, round(similarity, 6) AS similarity FROM (SELECT e.vec_id, e.label, {_SIM} AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
       WHERE {where} ORDER BY similarity DESC NULLS LAST, e.vec_id LIMIT 12) WHERE similarity IS NOT NULL{least}"""
 
 
 @query(_dense_sql("true", ""))
 def cosine_topk(spark, d):
-    return retrieval.dense_topk(_t(spark, d, "embeddings"), _vector(spark, d, 0), min_score=None).select("vec_id", "label", "similarity")
+    return retrieval.dense_topk(_t(spark, d, "embeddings"), _vector(spark, d, 0), min_score=None).select("vec_id", "label", _rounded())
 
 
 @query(_dense_sql("e.label IN (1, 2)", " AND similarity >= 0.15"))
 def cosine_topk_issue(spark, d):
-    return retrieval.dense_topk(_t(spark, d, "embeddings"), _vector(spark, d, 0), issues=[1, 2]).select("vec_id", "label", "similarity")
+    return retrieval.dense_topk(_t(spark, d, "embeddings"), _vector(spark, d, 0), issues=[1, 2]).select("vec_id", "label", _rounded())
 
 
 @query(_dense_sql("true", " AND similarity >= 0.3"))
 def cosine_min_score(spark, d):
-    return retrieval.dense_topk(_t(spark, d, "embeddings"), _vector(spark, d, 0), min_score=0.3).select("vec_id", "label", "similarity")
+    return retrieval.dense_topk(_t(spark, d, "embeddings"), _vector(spark, d, 0), min_score=0.3).select("vec_id", "label", _rounded())
 
 
 @query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 1e-12), 6)) AS unit FROM embeddings")
@@ -113,14 +117,14 @@ def l2_normalize(spark, d):
 
 
 _BATCH = f"""SELECT q.vec_id AS query_id, e.vec_id, {_SIM} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0"""
-_BATCH_TOP = f"""SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM ({_BATCH}) WHERE similarity IS NOT NULL QUALIFY rank <= 12"""
+_BATCH_TOP = f"""SELECT query_id, vec_id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM ({_BATCH}) WHERE similarity IS NOT NULL QUALIFY rank <= 12"""
 
 
 @query(_BATCH_TOP)
 def batch_cosine_topk(spark, d):
     e = _t(spark, d, "embeddings")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return retrieval.batch_topk(e, queries).withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.batch_topk(e, queries).select("query_id", "vec_id", _rounded(), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH top AS ({_BATCH_TOP}), s AS (SELECT query_id, max(CASE WHEN vec_id <> query_id THEN similarity END) AS top FROM top GROUP BY query_id)
@@ -170,38 +174,36 @@ def bm25_tokens(spark, d):
 
 
 def _bm25_sql(tokens: str, name: str, k: int) -> str:
-    return f"""{name}c AS (SELECT doc_id, {tokens.format('text')} AS t FROM documents), {name}n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {name}c),
-  {name}q AS (SELECT DISTINCT item_id AS query_id, unnest({tokens.format('text')}) AS token FROM benchmark),
+    return f"""{name}c AS (SELECT doc_id, {tokens.format('text')} AS t FROM documents), {name}n AS (SELECT count(*) AS n, avg(greatest(len(t), 1)) AS avgdl FROM {name}c),
+  {name}q AS (SELECT query_id, token, count(*) AS times FROM (SELECT item_id AS query_id, unnest({tokens.format('text')}) AS token FROM benchmark) GROUP BY ALL),
   {name}tf AS (SELECT doc_id, dl, token, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS token FROM {name}c) WHERE token IN (SELECT token FROM {name}q) GROUP BY ALL),
   {name}df AS (SELECT token, count(*) AS df FROM {name}tf GROUP BY 1),
-  {name}s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
+  {name}s AS (SELECT query_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 12) AS score
     FROM {name}tf JOIN {name}df USING (token) JOIN {name}q USING (token), {name}n GROUP BY ALL),
   {name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {name}s QUALIFY rank <= {k})"""
 
 
-@query(f"WITH {_bm25_sql(_TOKENS, 'la', 3)} SELECT query_id, doc_id, score, rank FROM la")
+@query(f"WITH {_bm25_sql(_TOKENS, 'la', 3)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM la")
 def bm25_topk(spark, d):
     queries = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    got = retrieval.bm25(_t(spark, d, "documents"), queries, key="doc_id", k=3, tokens=text.search_tokens)
-    return got.withColumn("rank", F.col("rank").cast("long"))
-
+    got = retrieval.bm25(_t(spark, d, "documents"), queries, key="doc_id", k=3)
+    return got.select("query_id", "doc_id", _rounded("score"), F.col("rank").cast("long").alias("rank"))
 
-_LONG = "list_filter(regexp_extract_all(lower({0}), '[0-9a-z]+'), lambda x: length(x) > 6)"
 
+_FUSED = """SELECT query_id, doc_id, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS score, a.rank AS ra, b.rank AS rb FROM a FULL JOIN b USING (query_id, doc_id)"""
 
-def _long_tokens(c):
-    return F.filter(text.search_tokens(c), lambda x: F.length(x) > 6)
 
-
-@query(f"""WITH {_bm25_sql(_TOKENS, 'la', 50)}, {_bm25_sql(_LONG, 'lb', 50)}, f AS (SELECT query_id, doc_id, la.rank AS ra, lb.rank AS rb,
-  round(coalesce(1.0::DOUBLE / (60 + la.rank), 0) + coalesce(1.0::DOUBLE / (60 + lb.rank), 0), 9) AS score FROM la FULL JOIN lb USING (query_id, doc_id))
-  SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ra NULLS LAST, rb NULLS LAST, doc_id) AS place FROM f QUALIFY place <= 8""")
+@query(f"""WITH {_bm25_sql(_TOKENS, 'b', 50)}, a AS (SELECT q.item_id AS query_id, e.vec_id AS doc_id, row_number() OVER (PARTITION BY q.item_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 12) DESC, e.vec_id) AS rank
+    FROM benchmark q JOIN embeddings v ON v.vec_id = q.item_id, embeddings e WHERE list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]) IS NOT NULL QUALIFY rank <= 50), f AS ({_FUSED})
+  SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ra NULLS LAST, rb NULLS LAST, doc_id) AS place FROM f QUALIFY place <= 8""")
 def rrf_hybrid(spark, d):
-    queries = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    docs = _t(spark, d, "documents")
-    a = retrieval.bm25(docs, queries, key="doc_id", k=retrieval.POOL, tokens=text.search_tokens)
-    b = retrieval.bm25(docs, queries, key="doc_id", k=retrieval.POOL, tokens=_long_tokens)
-    return retrieval.fuse(a, b, key="doc_id", top=8).withColumn("place", F.col("place").cast("long"))
+    """Dense and lexical rankings fused; a question's vector is that of its number."""
+    asked, e = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), _t(spark, d, "embeddings")
+    vectors = asked.join(e, F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("q"))
+    dense = retrieval.batch_topk(e, vectors, k=retrieval.POOL).withColumnRenamed("vec_id", "doc_id")
+    lexical = retrieval.bm25(_t(spark, d, "documents"), asked, key="doc_id", k=retrieval.POOL)
+    got = retrieval.fuse(dense, lexical, key="doc_id", top=8)
+    return got.select("query_id", "doc_id", _rounded("score", 9), F.col("place").cast("long").alias("place"))
 
 
 # Reads of the service
@@ -584,7 +586,7 @@ def document_combine(spark, d):
 
 @query()
 def chunk_size_grid(spark, d):
-    return diagnostics.chunk_grid(_t(spark, d, "documents"), F.col("text"), [(500, 75), (1000, 150), (1500, 200)])
+    return diagnostics.chunk_grid(_t(spark, d, "documents"), "text", [(500, 75), (1000, 150), (1500, 200)])
 
 
 # Streams
