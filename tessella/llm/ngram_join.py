@@ -20,8 +20,8 @@ result is exact, and no step makes a row for each pair:
 
 Groups of more than BLOCK rows (in 3: blocks, in 4: components) are multiplied in two passes.  First all rows
 meet the PIVOTS rows with the most popular columns, of a group of near copies those closest to all others.
-What this connects is connected for good: rows of the group's largest connected part need not meet each
-other again, only the others, and these all.  So a group of m near copies, s of them off its largest part,
+What this connects with the first of these is connected for good: such rows need not meet each other again, only
+the others, and these all.  So a group of m near copies, s of them off that part,
 costs m / BLOCK times (PIVOTS + s) rows, and only a group without links all its pairs.  Products are bounded
 in rows and in bytes.
 """
@@ -46,6 +46,8 @@ SKETCH, SLICES, FAN_IN = 1 << 20, 32, 64
 BLOCK, BLOCK_BYTES = 384, 16 << 20
 #: Rows that all others of a large group meet first.
 PIVOTS = 32
+#: The side of the first pivot in a product.
+TOP = 3
 STEP_BYTES, STEP_ROWS = 6_000_000, 4096
 #: Sets below this size have single n-grams as columns.
 SMALL = 64
@@ -297,7 +299,7 @@ def _partners(sizes: np.ndarray, side: np.ndarray, forest: _Forest, percent: int
             yield i, j
 
 
-def possible_links(sizes: np.ndarray, side: np.ndarray, bits: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def possible_links(sizes: np.ndarray, side: np.ndarray, bits: list[np.ndarray], percent: int) -> _Forest:
     """A spanning forest of the product's pairs whose bitmaps (64-bit words) allow a link; sizes ascend."""
     words = np.array([len(b) for b in bits])
     begin = {int(w): int(np.searchsorted(words, w)) for w in np.unique(words)}  # longer sets have longer bitmaps
@@ -313,10 +315,10 @@ def possible_links(sizes: np.ndarray, side: np.ndarray, bits: list[np.ndarray],
             if some.any():
                 hit[some] = np.bitwise_count(table[width][j[some] - begin[width]] ^ mine).sum(axis=1, dtype=np.int64) <= most[some]
         forest.join(i, j[hit])
-    return forest.edges
+    return forest
 
 
-def linked_pairs(sizes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def linked_pairs(sizes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> _Forest:
     """A spanning forest of the product's links; sizes ascend.  Overlaps are a row of the incidence times the others."""
     first = np.concatenate([[0], np.cumsum(sizes)])
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
@@ -331,12 +333,13 @@ def linked_pairs(sizes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], pe
             overlap = np.array([mark[column[first[k] : first[k + 1]]].sum() for k in j.tolist()])
         mark[column[first[i] : first[i + 1]]] = 0
         forest.join(i, j[overlap * (100 + percent) >= percent * (sizes[i] + sizes[j])])
-    return forest.edges
+    return forest
 
 
 def _run_products(dealt: DataFrame, values: DataFrame, pairs_of, percent: int) -> DataFrame:
-    """Edges (a, b) of the forest of each product (grp, p, q) of rows (side, node, n); values has (node, value), the
-    64-bit words of a bitmap or set."""
+    """Edges (grp, a, b, top) of the forest of each product (grp, p, q) of rows (side, node, n); values has (node,
+    value), the 64-bit words of a bitmap or set.  The tree of the row of side TOP, if there is one, is told by top and
+    has its edges from that row to all others."""
 
     def run(batches):
         for table in _groups(batches, 3):
@@ -345,15 +348,23 @@ def _run_products(dealt: DataFrame, values: DataFrame, pairs_of, percent: int) -
             n = np.asarray(table.column(5)).astype(np.int64)
             order = np.argsort(n, kind="stable")
             ids = np.asarray(table.column(4)).astype(np.int64)[order]
+            side = np.asarray(table.column(3))[order]
             words = [np.frombuffer(v.as_buffer(), np.uint64) for chunk in table.column(6).chunks for v in chunk]
-            edges = pairs_of(n[order], np.asarray(table.column(3))[order], [words[k] for k in order.tolist()], percent)
-            if edges:
-                i, j = np.array(edges).T
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
+            forest = pairs_of(n[order], side, [words[k] for k in order.tolist()], percent)
+            i, j = np.array(forest.edges, np.int64).reshape(-1, 2).T
+            top = np.zeros(len(i), bool)
+            if len(at := np.flatnonzero(side == TOP)) and len(i):
+                mine = forest.tree == forest.tree[at[0]]
+                others = np.flatnonzero(mine & (np.arange(len(ids)) != at[0]))
+                i, j = np.concatenate([i[~mine[i]], np.full(len(others), at[0])]), np.concatenate([j[~mine[i]], others])
+                top = np.arange(len(i)) >= len(i) - len(others)
+            if len(i):
+                grp = pa.array(np.full(len(i), table.column(0)[0].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([grp, pa.array(ids[i]), pa.array(ids[j]), pa.array(top)], names=["grp", "a", "b", "top"])
 
     keys = ["grp", "p", "q"]
     dealt = dealt.join(values, "node").select(*keys, "side", "node", "n", "value").repartition(*keys).sortWithinPartitions(*keys, "node")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "grp long, a long, b long, top boolean")
 
 
 def _deal_piles(rows: DataFrame, percent: int, block: int, each: float) -> DataFrame:
@@ -394,22 +405,23 @@ def _edges(rows: DataFrame, values: DataFrame, pairs_of, percent: int, block: in
     sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("most"), F.sum("n").alias("total"))
     parts = F.ceil(F.greatest(F.col("c") / block, F.col("total") * each / BLOCK_BYTES)).cast("long")
     large = materialize(sizes.where(parts > 1).select("grp", parts.alias("parts"), F.greatest(F.lit(1), F.least(F.lit(PIVOTS), F.floor(BLOCK_BYTES / (F.col("most") * each)))).alias("pivots")), "ngram-large")
-    whole = lambda d: d.select("grp", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(0).alias("side"), "node", "n")
+    zero = F.lit(0).cast("long")
+    whole = lambda d: d.select("grp", zero.alias("p"), zero.alias("q"), F.lit(0).alias("side"), "node", "n")
     if not large.limit(1).count():
-        return _run_products(whole(rows), values, pairs_of, percent)
+        return _run_products(whole(rows), values, pairs_of, percent).select("a", "b")
     few = bounded(large)
-    edges = _run_products(whole(rows.join(few, "grp", "left_anti")), values, pairs_of, percent)
-    rows = rows.join(few, "grp")
+    small, rows = rows.join(few, "grp", "left_anti"), rows.join(few, "grp")
     place = F.row_number().over(W.partitionBy("grp").orderBy(F.col("pop").desc(), "node"))
     pivots = rows.withColumn("_k", place).where((F.col("_k") <= PIVOTS) & (F.col("_k") <= F.col("pivots")))
-    pivots = pivots.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"), F.lit(0).cast("long").alias("q"), F.lit(1).alias("side"), "node", "n")
-    members = rows.select("grp", F.pmod(F.xxhash64("node"), F.col("parts")).alias("p"), F.lit(0).cast("long").alias("q"), F.lit(2).alias("side"), "node", "n")
-    first = materialize(_run_products(pivots.unionByName(members), values, pairs_of, percent).where("a <> b"), "ngram-pivots")
-    tagged = rows.join(components(first), "node", "left").select("grp", "node", "n", F.coalesce("root", "node").alias("root"))
-    part = tagged.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("grp").agg(F.max(F.struct("c", "root")).alias("x")).select("grp", F.col("x.root").alias("_main"))
-    tagged = tagged.join(bounded(part), "grp").select("grp", "node", "n", (F.col("root") == F.col("_main")).alias("main"))
+    side = F.when(F.col("_k") == 1, F.lit(TOP)).otherwise(F.lit(1)).alias("side")
+    pivots = pivots.select("grp", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("p"), zero.alias("q"), side, "node", "n")
+    members = rows.select("grp", F.pmod(F.xxhash64("node"), F.col("parts")).alias("p"), zero.alias("q"), F.lit(2).alias("side"), "node", "n")
+    first = materialize(_run_products(whole(small).unionByName(pivots).unionByName(members), values, pairs_of, percent), "ngram-pivots")
+    # what the top pivot is connected with, itself included
+    main = first.where("top").select("grp", F.col("b").alias("node")).distinct().withColumn("_in", F.lit(True))
+    tagged = rows.select("grp", "node", "n").join(main, ["grp", "node"], "left").select("grp", "node", "n", F.coalesce("_in", F.lit(False)).alias("main"))
     rest = _run_products(_deal_piles(tagged, percent, block, each), values, pairs_of, percent)
-    return edges.unionByName(first).unionByName(rest)
+    return first.unionByName(rest).select("a", "b")
 
 
 def _blocks(cells: DataFrame) -> DataFrame:
