@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_PAGE = 100
+#: Rows of a page unless asked for, and at most.
+PAGE, MAX_PAGE = 30, 100
 
 
 def alive(rows: DataFrame, owner=None) -> DataFrame:
@@ -36,10 +37,10 @@ def decode_cursor(raw: str | None) -> tuple | None:
         return None
 
 
-def keyset_page(rows: DataFrame, ts: str, key: str, limit: int, cursor: tuple | None = None) -> DataFrame:
+def keyset_page(rows: DataFrame, ts: str, key: str, limit: int | None = None, cursor: tuple | None = None) -> DataFrame:
     """The `limit` newest rows after the cursor (time, id), newest first, with has_more (whether another
     row follows).  One row more than the page is fetched to tell; Spark plans a top-k, not a sort."""
-    limit = max(1, min(limit, MAX_PAGE))
+    limit = PAGE if limit is None else max(1, min(limit, MAX_PAGE))
     if cursor is not None:
         t, i = F.lit(cursor[0]).cast(rows.schema[ts].dataType), F.lit(cursor[1]).cast(rows.schema[key].dataType)
         rows = rows.where((F.col(ts) < t) | ((F.col(ts) == t) & (F.col(key) < i)))
@@ -49,6 +50,11 @@ def keyset_page(rows: DataFrame, ts: str, key: str, limit: int, cursor: tuple |
     return got.where(F.col("_place") <= limit).drop("_place")
 
 
+def append_page(shown: DataFrame, page: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of the next page that aren't shown yet: new rows move others across the edge of a page."""
+    return page.join(shown.select(key), key, "left_anti")
+
+
 def keyset_pages(rows: DataFrame, groups: list[str], ts: str, key: str, limit: int) -> DataFrame:
     """Every page of a walk through each group at once: page number (from 0) of each row."""
     place = W.partitionBy(*groups).orderBy(F.col(ts).desc(), F.col(key).desc())

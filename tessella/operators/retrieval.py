@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import strip, tokenize
 
 #: Hits kept, lowest similarity, pool and constant of rank fusion, characters that tell hits apart.
 TOP_K, MIN_SCORE, POOL, FUSION, SAME = 12, 0.15, 50, 60, 120
@@ -234,6 +234,51 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double"))
 
 
+#: Characters of a passage in a context line, and of an attached document.
+LINE, ATTACHED = 200, 8000
+
+
+def assemble_hits(found: DataFrame) -> DataFrame:
+    """found (content, metadata: map of texts, similarity) with hit: the metadata with content and similarity in it,
+    which stand before metadata of these names."""
+    own = F.create_map(F.lit("content"), F.col("content"), F.lit("similarity"), F.col("similarity").cast("string"))
+    rest = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("content", "similarity"))
+    return found.withColumn("hit", F.map_concat(rest, own))
+
+
+def context_line(cite: Column, content: Column) -> Column:
+    """How a hit is quoted: - cite: the first characters of its content."""
+    return F.concat(F.lit("- "), cite, F.lit(": "), F.substring(F.coalesce(content, F.lit("")), 1, LINE))
+
+
+def attached(document: Column) -> Column:
+    """The attached document as far as it is quoted; empty if there is none."""
+    return F.substring(strip(F.coalesce(document, F.lit(""))), 1, ATTACHED)
+
+
+def mean_overlap(first: DataFrame, second: DataFrame, *, key: str, k: int = 5) -> DataFrame:
+    """mean_jaccard, over queries, of the k best of two rankings (query_id, key, rank); one row."""
+    a, b = (r.where(F.col("rank") <= k).select("query_id", key).distinct() for r in (first, second))
+    both = a.withColumn("_a", F.lit(1)).join(b.withColumn("_b", F.lit(1)), ["query_id", key], "full_outer")
+    each = both.groupBy("query_id").agg((F.count(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 1)) / F.count(F.lit(1))).alias("j"))
+    return each.agg(F.avg("j").alias("mean_jaccard"))
+
+
+def judged(samples: DataFrame, judge, metrics: list[str]) -> DataFrame:
+    """(config, mode) and the mean of each metric, to three digits, of samples (config, mode, question, contexts,
+    reference) as the judge (a function of the last three, to a dictionary) rates them; what it leaves out is not
+    counted."""
+
+    def run(frames):
+        for f in frames:
+            rated = [judge(*row) for row in f[["question", "contexts", "reference"]].itertuples(index=False)]
+            yield pd.DataFrame({"config": f["config"], "mode": f["mode"], **{m: [r.get(m) for r in rated] for m in metrics}})
+
+    schema = f"config {samples.schema['config'].dataType.simpleString()}, mode {samples.schema['mode'].dataType.simpleString()}, " + ", ".join(f"{m} double" for m in metrics)
+    rated = samples.select("config", "mode", "question", "contexts", "reference").mapInPandas(run, schema)
+    return rated.groupBy("config", "mode").agg(*(F.round(F.avg(m), 3).alias(m) for m in metrics))
+
+
 def answer_hits(search, query: str, rewrite) -> tuple[DataFrame, str, int]:
     """The retrieval loop on the driver: search, grade the best hit, rewrite the query once if it is weak,
     and merge.  search(query) gives hits (id, similarity, text); rewrite(query) the new query.  Returns

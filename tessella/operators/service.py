@@ -109,3 +109,15 @@ def rooms_page_source(rooms: DataFrame, messages: DataFrame, user) -> DataFrame:
     last = latest(messages, ["room_id"], ["created_at", "id"], ["content"])
     mine = alive(rooms, user)
     return mine.join(last, mine["id"] == last["room_id"], "left").select(*mine.columns, "content")
+
+
+def roll_up(files: DataFrame) -> DataFrame:
+    """One row for each job_id of files (job_id, redaction_scope, mask_count, coarse_mask_count, review_required):
+    the sorted union of scopes, the sums of counts, and whether any file asks for a review."""
+    scopes = files.select("job_id", F.explode_outer("redaction_scope").alias("s")).groupBy("job_id").agg(F.array_sort(F.collect_set("s")).alias("redaction_scope"))
+    sums = files.groupBy("job_id").agg(
+        F.sum(F.coalesce("mask_count", F.lit(0))).alias("mask_count"),
+        F.sum(F.coalesce("coarse_mask_count", F.lit(0))).alias("coarse_mask_count"),
+        F.coalesce(F.bool_or("review_required"), F.lit(False)).alias("review_required"),
+    )
+    return sums.join(scopes, "job_id")

@@ -7,12 +7,14 @@ lack (read and deletion times, job states) follow from ids by fixed rules, state
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import pii, rules, scalars, text
-from ..operators import diagnostics, jobs, relational, retrieval
+from ..operators import diagnostics, jobs, relational, retrieval, service
 from ..sources import pages
 from ..streaming import job_stream
 
@@ -504,21 +506,25 @@ def pii_residual_gate(spark, d):
 
 
 #: Rules in the corpus' language, so that the scan has something to find.
-LATIN_RULES = (("HIGH", "license", "[Ll]icensed? under"), ("MEDIUM", "rights", "rights reserved"), ("LOW", "terms", r"password|token|secret"))
+LATIN_RULES = (
+    ("HIGH", "license", "[Ll]icensed? under", "a license is named", "read it"),
+    ("MEDIUM", "rights", "rights reserved", "rights are reserved", "ask the owner"),
+    ("LOW", "terms", r"password|token|secret", "a secret may be meant", "look at it"),
+)
 
 
 def _clause_sql(i: int) -> str:
-    s, t, p = LATIN_RULES[i]
+    s, t, p, why, what = LATIN_RULES[i]
     line = rf"regexp_extract(text, '(?:^|\n)([^\n]*?(?:{p})[^\n]*)', 1)"
-    return f"SELECT doc_id, {i}::INT AS place, '{s}' AS severity, '{t}' AS title, nullif(substr(trim({line}), 1, 240), '') AS clause FROM documents WHERE regexp_matches(text, '{p}')"
+    return f"SELECT doc_id, {i}::INT AS place, '{s}' AS severity, '{t}' AS title, nullif(substr(trim({line}), 1, 240), '') AS clause, '{why}' AS reason, '{what}' AS recommendation FROM documents WHERE regexp_matches(text, '{p}')"
 
 
 @query(" UNION ALL ".join(map(_clause_sql, range(3))))
 def risk_rule_scan(spark, d):
     r = F.posexplode(rules.risks(F.col("text"), tuple(LATIN_RULES)))
     got = _t(spark, d, "documents").select("doc_id", "text", r.alias("_i", "r"))
-    names = F.array(*(F.lit(t) for _, t, _ in LATIN_RULES))
-    return got.select("doc_id", (F.array_position(names, F.col("r.title")) - 1).cast("int").alias("place"), "r.severity", "r.title", "r.clause")
+    names = F.array(*(F.lit(t) for _, t, *_ in LATIN_RULES))
+    return got.select("doc_id", (F.array_position(names, F.col("r.title")) - 1).cast("int").alias("place"), "r.*")
 
 
 @query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?:License|password|token)\s*[:：]?\s*([^\n]{1,40})') THEN trim(regexp_extract(text, '(?:License|password|token)\s*[:：]?\s*([^\n]{1,40})', 1), ' ,') END AS value FROM documents")
@@ -598,19 +604,19 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _drain(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tessella-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     name = f"{name}_{uuid.uuid4().hex}"
     return job_stream.drain(stream, name, mode, f"{shared.rstrip('/')}/{name}")
 
 
 @query()
 def queue_stream(spark, d):
-    """Job states after all events, one job a user; timers and order of arrival have no SQL form."""
+    """Job states after all events, one job a user; a state machine over each job's events has no SQL form here, so
+    tests fold the same events one by one."""
     kind = F.when(F.col("event_type") == "view", "SUBMIT").when(F.col("event_type") == "click", "CLAIM").when(F.col("event_type") == "signup", "HEARTBEAT").when(F.col("event_type") == "purchase", "SUCCEED").otherwise("FAIL")
-    states = job_stream.run_jobs(_stream(spark, d).select(F.col("user_id").alias("job_id"), kind.alias("event"), "at"))
+    states = job_stream.run_jobs(_stream(spark, d).select(F.col("user_id").alias("job_id"), kind.alias("event"), "at", F.col("event_id").alias("seq")))
     return relational.latest(_drain(spark, states, "jobs", "update"), ["job_id"], ["at", "attempt"], ["status", "attempt", "at"])
 
 
@@ -618,3 +624,159 @@ def queue_stream(spark, d):
 def notify_dedupe_stream(spark, d):
     once = job_stream.once_per_key(_stream(spark, d).select("user_id", "event_type", "at"), ["user_id", "event_type"], "3650 days")
     return _drain(spark, once, "notices", "append").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Rules of the service, over rows that events, documents and orders stand for
+
+
+@query("""SELECT user_id AS job_id, list_sort(list(DISTINCT event_type)) AS redaction_scope, sum(event_id % 5)::BIGINT AS mask_count, sum(event_id % 3)::BIGINT AS coarse_mask_count,
+  bool_or(event_id % 7 = 0) AS review_required FROM events GROUP BY user_id""")
+def file_roll_up(spark, d):
+    e = _t(spark, d, "events")
+    files = e.select(F.col("user_id").alias("job_id"), F.array("event_type").alias("redaction_scope"), (F.col("event_id") % 5).alias("mask_count"), (F.col("event_id") % 3).alias("coarse_mask_count"), (F.col("event_id") % 7 == 0).alias("review_required"))
+    return service.roll_up(files)
+
+
+@query("""SELECT doc_id, list_sort(['content=' || substr(text, 1, 60), 'similarity=0.5', 'lang=' || lang] || CASE WHEN source IS NULL THEN [] ELSE ['source=' || source] END) AS hit FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL""")
+def hit_assembly(spark, d):
+    n = _t(spark, d, "documents").where("text is not null and lang is not null")
+    meta = F.map_filter(F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"), F.lit("content"), F.lit("x"), F.lit("similarity"), F.lit("y")), lambda _, v: v.isNotNull())
+    found = n.select("doc_id", F.substring("text", 1, 60).alias("content"), meta.alias("metadata"), F.lit(0.5).alias("similarity"))
+    entries = F.transform(F.map_entries("hit"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return retrieval.assemble_hits(found).select("doc_id", F.array_sort(entries).alias("hit"))
+
+
+@query("SELECT doc_id, '- ' || coalesce(source, '?') || ': ' || substr(coalesce(text, ''), 1, 200) AS line FROM documents")
+def context_lines(spark, d):
+    return _t(spark, d, "documents").select("doc_id", retrieval.context_line(F.coalesce("source", F.lit("?")), F.col("text")).alias("line"))
+
+
+@query("SELECT doc_id, substr(regexp_replace(regexp_replace(coalesce(text, ''), '^\\s+', ''), '\\s+$', ''), 1, 8000) AS quoted FROM documents")
+def attached_document(spark, d):
+    return _t(spark, d, "documents").select("doc_id", retrieval.attached(F.col("text")).alias("quoted"))
+
+
+@query(f"""WITH top AS ({_BATCH_TOP}), a AS (SELECT query_id, list(vec_id) AS v FROM top WHERE rank <= 5 GROUP BY 1), b AS (SELECT query_id, list(vec_id) AS v FROM top WHERE rank BETWEEN 3 AND 7 GROUP BY 1)
+  SELECT round(avg(len(list_intersect(coalesce(a.v, []), coalesce(b.v, []))) / len(list_distinct(list_concat(coalesce(a.v, []), coalesce(b.v, []))))::DOUBLE), 9) AS mean_jaccard FROM a FULL JOIN b USING (query_id)""")
+def mean_topk_jaccard(spark, d):
+    top = batch_cosine_topk(spark, d)
+    got = retrieval.mean_overlap(top, top.where("rank >= 3").withColumn("rank", F.col("rank") - 2), key="vec_id")
+    return got.select(F.round("mean_jaccard", 9).alias("mean_jaccard"))
+
+
+@query("SELECT event_type AS config, 'm' || (event_id % 3) AS mode, round(avg((event_id % 7) / 7.0::DOUBLE), 3) AS recall, round(avg(CASE WHEN event_id % 4 <> 0 THEN 1.0::DOUBLE / (event_id % 4) END), 3) AS precision FROM events GROUP BY ALL")
+def judged_metrics(spark, d):
+    """The judge is an argument; this one rates by the number in the question."""
+
+    def judge(question, contexts, reference):
+        n = int(question)
+        return {"recall": n % 7 / 7.0} | ({"precision": 1.0 / (n % 4)} if n % 4 else {})
+
+    e = _t(spark, d, "events")
+    samples = e.select(F.col("event_type").alias("config"), F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string")).alias("mode"), F.col("event_id").cast("string").alias("question"), F.array(F.lit("c")).alias("contexts"), F.lit("r").alias("reference"))
+    return retrieval.judged(samples, judge, ["recall", "precision"])
+
+
+@query(_ALIVE + " SELECT * FROM (SELECT *, (SELECT count(*) FROM mine) > 30 AS has_more FROM (SELECT * FROM mine ORDER BY created_at DESC, id DESC LIMIT 30)) WHERE id NOT IN (SELECT id FROM mine WHERE id % 3 = 0)")
+def page_append(spark, d):
+    """A page of the default size, without what is shown already."""
+    mine = relational.alive(notifications(spark, d), USER).select("id", "type", "created_at")
+    return relational.append_page(mine.where("id % 3 = 0"), relational.keyset_page(mine, "created_at", "id"))
+
+
+@query("SELECT event_id, 'analysis:' || event_id || ':' || upper(event_type) AS dedupe_key FROM events")
+def notification_keys(spark, d):
+    return _t(spark, d, "events").select("event_id", jobs.notice_key(F.col("event_id"), F.upper("event_type")).alias("dedupe_key"))
+
+
+_KEY = "CASE WHEN event_id % 5 <> 0 THEN 'k' || (event_id % 23) END"
+
+
+@query(f"""WITH old AS (SELECT event_id AS job_id, user_id, {_KEY} AS k, event_type IN ('view', 'click') AS active FROM events WHERE event_id % 40 = 1), r AS (SELECT event_id AS request_id, user_id, {_KEY} AS k FROM events WHERE event_id % 40 <> 1),
+  m AS (SELECT r.*, (SELECT min(job_id) FROM old WHERE old.user_id = r.user_id AND old.k = r.k) AS job_id, r.user_id IN (SELECT user_id FROM old WHERE active) AS busy FROM r),
+  f AS (SELECT *, min(CASE WHEN job_id IS NULL AND NOT busy THEN request_id END) OVER (PARTITION BY user_id) AS first FROM m)
+  SELECT request_id, user_id, k AS idempotency_key, CASE WHEN job_id IS NOT NULL THEN 'returned' WHEN NOT busy AND request_id = first THEN 'created'
+    WHEN NOT busy AND k = (SELECT x.k FROM m x WHERE x.request_id = f.first) THEN 'returned' ELSE 'conflict' END AS outcome, job_id FROM f""")
+def idempotent_submit(spark, d):
+    e = _t(spark, d, "events").withColumn("k", F.expr(_KEY))
+    status = F.when(F.col("event_type") == "view", "QUEUED").when(F.col("event_type") == "click", "RUNNING").otherwise("SUCCEEDED")
+    old = e.where("event_id % 40 = 1").select(F.col("event_id").alias("job_id"), "user_id", F.col("k").alias("idempotency_key"), status.alias("status"))
+    return jobs.submit(e.where("event_id % 40 <> 1").select(F.col("event_id").alias("request_id"), "user_id", F.col("k").alias("idempotency_key")), old)
+
+
+@query(_JOBS + f""", x AS (SELECT *, status = 'RUNNING' AND job_id % 2 = 0 AS hit FROM jobs) SELECT job_id, CASE WHEN hit THEN 'SUCCEEDED' ELSE status END AS status, CASE WHEN hit THEN 'COMPLETED' END AS stage, CASE WHEN hit THEN 100 END::INT AS progress,
+  CASE WHEN hit THEN TIMESTAMP '{NOW}' END AS finished_at, CASE WHEN NOT hit THEN lease_until END AS lease_until, CASE WHEN hit THEN 'p' || job_id END AS payload FROM x""")
+def atomic_finish(spark, d):
+    j = job_states(spark, d)
+    states, results = jobs.finish(j, j.where("job_id % 2 = 0").select("job_id", F.concat(F.lit("p"), F.col("job_id").cast("string")).alias("payload")), _now())
+    return states.join(results.select("job_id", "payload"), "job_id", "left").select("job_id", "status", "stage", "progress", "finished_at", "lease_until", "payload")
+
+
+@query(_JOBS + f"SELECT job_id, status, CASE WHEN status = 'RUNNING' AND job_id = 8 THEN TIMESTAMP '{NOW}' + INTERVAL 1800 SECOND ELSE lease_until END AS lease_until FROM jobs")
+def lease_heartbeat(spark, d):
+    return jobs.heartbeat(job_states(spark, d), 8, _now()).select("job_id", "status", "lease_until")
+
+
+@query("SELECT c_custkey, substr(coalesce(nullif(trim(CASE WHEN c_custkey % 3 = 0 THEN '  ' ELSE c_name END), ''), nullif(trim(c_mktsegment), '')), 1, 20) AS nickname FROM customer")
+def nickname_choice(spark, d):
+    name = F.when(F.col("c_custkey") % 3 == 0, F.lit("  ")).otherwise(F.col("c_name"))
+    return _t(spark, d, "customer").select("c_custkey", service.nickname(name, F.col("c_mktsegment")).alias("nickname"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_type WHEN event_id % 4 = 1 THEN 'file ' || event_id ELSE 'untitled' END AS title FROM events")
+def display_titles(spark, d):
+    title = F.when(F.col("event_id") % 4 == 0, F.col("event_type")).when(F.col("event_id") % 4 == 3, F.lit(""))
+    files = F.when(F.col("event_id") % 4 == 1, F.array(F.concat(F.lit("file "), F.col("event_id").cast("string")))).otherwise(F.array().cast("array<string>"))
+    return _t(spark, d, "events").select("event_id", service.display_title(title, files, "untitled").alias("title"))
+
+
+@query("SELECT event_id, status IN ('SUCCEEDED', 'FAILED', 'CANCELED') AND NOT (status = 'SUCCEEDED' AND lvl IS NOT NULL) AS failed FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 'QUEUED' WHEN 'click' THEN 'RUNNING' WHEN 'purchase' THEN 'SUCCEEDED' ELSE 'FAILED' END AS status, CASE WHEN event_id % 2 = 0 THEN 'HIGH' END AS lvl FROM events)")
+def failed_display(spark, d):
+    kind = F.col("event_type")
+    status = F.when(kind == "view", "QUEUED").when(kind == "click", "RUNNING").when(kind == "purchase", "SUCCEEDED").otherwise("FAILED")
+    return _t(spark, d, "events").select("event_id", service.failed_for_display(status, F.when(F.col("event_id") % 2 == 0, F.lit("HIGH"))).alias("failed"))
+
+
+@query("SELECT c_custkey AS id, greatest(coalesce(CASE WHEN c_custkey % 2 = 0 THEN DATE '1995-01-01' END, d), coalesce(d, DATE '1995-01-01')) AS last_chat_at FROM (SELECT c_custkey, max(o_orderdate)::DATE AS d FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)")
+def touch_on_append(spark, d):
+    rooms = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.lit("1995-01-01").cast("date")).alias("last_chat_at"))
+    rooms = rooms.withColumn("last_chat_at", F.coalesce("last_chat_at", F.lit(None).cast("date")))
+    messages = _t(spark, d, "orders").select(F.col("o_custkey").alias("room_id"), F.col("o_orderdate").cast("date").alias("created_at"))
+    got = service.touched(rooms, messages)
+    return got.select("id", F.coalesce("last_chat_at", F.lit("1995-01-01").cast("date")).alias("last_chat_at"))
+
+
+@query("SELECT lang AS job_id, CASE WHEN max(length(text)) > 50000 THEN 'file_too_long' WHEN sum(length(text)) > 150000 THEN 'job_too_long' ELSE 'ok' END AS verdict FROM documents GROUP BY lang")
+def length_gates(spark, d):
+    return service.length_verdict(_t(spark, d, "documents").select(F.col("lang").alias("job_id"), "text"))
+
+
+@query("SELECT event_id, regexp_extract_all(t, '20[0-9]{2}\\s*[.년/-]\\s*[0-9]{1,2}\\s*[.월/-]\\s*[0-9]{1,2}\\s*일?') AS dates FROM (SELECT event_id, '계약 2024년 ' || (event_id % 12 + 1) || '월 3일부터 2026-0' || (event_id % 9 + 1) || '-02, 1999.1.1' AS t FROM events)")
+def lease_date_fields(spark, d):
+    n = lambda m: (F.col("event_id") % m + 1).cast("string")
+    t = F.concat(F.lit("계약 2024년 "), n(12), F.lit("월 3일부터 2026-0"), n(9), F.lit("-02, 1999.1.1"))
+    return _t(spark, d, "events").select("event_id", scalars.lease_dates(t).alias("dates"))
+
+
+@query("SELECT event_id, CASE WHEN s >= 1048576 THEN printf('%.1fMB', s / 1048576.0::DOUBLE) WHEN s >= 1024 THEN round(s / 1024.0::DOUBLE)::BIGINT || 'KB' ELSE s || 'B' END AS size FROM (SELECT event_id, event_id * 977 % 9000000 AS s FROM events)")
+def file_sizes(spark, d):
+    return _t(spark, d, "events").select("event_id", scalars.file_size_label(F.col("event_id") * 977 % 9000000).alias("size"))
+
+
+_RISKY = (("근저당 설정 있음\n특약: 임차인은 파손 시 수리한다", "HIGH"), ("위약금 조항 및 전입신고", "MEDIUM"), ("보증보험 가입", "LOW"), ("평범한 계약", None))
+
+
+def _risky_sql() -> str:
+    texts = "[" + ", ".join("'" + t.replace("\n", "' || chr(10) || '") + "'" for t, _ in _RISKY) + "]"
+    parts = []
+    for i, (severity, title, pattern, reason, what) in enumerate(rules.RISK_RULES):
+        parts.append(f"SELECT event_id, {i}::INT AS place, '{severity}' AS severity, '{title}' AS title, '{reason}' AS reason, '{what}' AS recommendation FROM t WHERE regexp_matches(text, '{pattern}')")
+    return f"WITH t AS (SELECT event_id, {texts}[(event_id % 4 + 1)::INT] AS text FROM events) " + " UNION ALL ".join(parts)
+
+
+@query(_risky_sql())
+def risk_reasons(spark, d):
+    text_ = F.element_at(F.array(*(F.lit(t) for t, _ in _RISKY)), (F.col("event_id") % 4 + 1).cast("int"))
+    got = _t(spark, d, "events").select("event_id", F.explode(rules.risks(text_)).alias("r"))
+    names = F.array(*(F.lit(r[1]) for r in rules.RISK_RULES))
+    return got.select("event_id", (F.array_position(names, F.col("r.title")) - 1).cast("int").alias("place"), "r.severity", "r.title", "r.reason", "r.recommendation")

@@ -159,3 +159,27 @@ def ocr_page(payload: Column, default_page: Column) -> Column:
     blocks = parsed_regions(F.coalesce(data["parsing_res_list"], F.array().cast(_BLOCKS))).cast(both)
     regions = F.when(F.coalesce(F.size(spotted), F.lit(-1)) > 0, spotted).otherwise(blocks)
     return F.struct(F.coalesce(data["page_index"], default_page).alias("page_index"), F.coalesce(data["width"], F.lit(0)).alias("width"), F.coalesce(data["height"], F.lit(0)).alias("height"), regions.alias("regions"))
+
+
+def find_folder(name: str, start: str) -> str:
+    """The folder of this name, as it stands or below `start` or a folder above it, nearest first."""
+    from pathlib import Path
+
+    at = Path(start).resolve()
+    for folder in [Path(name), *(base / name for base in (at, *at.parents))]:
+        if folder.exists():
+            return str(folder)
+    raise FileNotFoundError(name)
+
+
+def read_images(images: DataFrame, engine) -> DataFrame:
+    """(doc_id, page, region, text) of page images (doc_id, page, image) as the OCR engine, an argument (image bytes
+    to texts of regions in reading order), gives them; a page without an image or a text has none."""
+
+    def run(frames):
+        for f in frames:
+            out = [(d, p, i, t) for d, p, b in f.itertuples(index=False) if b is not None for i, t in enumerate(engine(bytes(b)))]
+            yield pd.DataFrame(out, columns=["doc_id", "page", "region", "text"])
+
+    kind = images.schema["doc_id"].dataType.simpleString()
+    return images.select("doc_id", "page", "image").mapInPandas(run, f"doc_id {kind}, page int, region int, text string")
