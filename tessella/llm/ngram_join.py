@@ -420,7 +420,10 @@ def _edges(rows: DataFrame, values: DataFrame, pairs_of, percent: int, block: in
     # what the top pivot is connected with, itself included
     main = first.where("top").select("grp", F.col("b").alias("node")).distinct().withColumn("_in", F.lit(True))
     tagged = rows.select("grp", "node", "n").join(main, ["grp", "node"], "left").select("grp", "node", "n", F.coalesce("_in", F.lit(False)).alias("main"))
-    rest = _run_products(_deal_piles(tagged, percent, block, each), values, pairs_of, percent)
+    piles = materialize(_deal_piles(tagged, percent, block, each), "ngram-piles")
+    if not piles.limit(1).count():
+        return first.select("a", "b")
+    rest = _run_products(piles, values, pairs_of, percent)
     return first.unionByName(rest).select("a", "b")
 
 
