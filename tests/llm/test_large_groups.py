@@ -37,7 +37,7 @@ def test_many_near_copies_cost_rows_in_proportion(spark, make, monkeypatch):
     got = ngram_join.ngram_components(make(rows).repartition(8), n=3, percent=90)
     of = {r.doc_id: r.component_id for r in got.collect()}
     assert {of[i] for i in range(20_000)} == {0} and all(of[30_000 + i] == 30_000 + i for i in range(50))
-    assert len(dealt) == 4 and sum(dealt[:2]) < 6 * len(rows) and sum(dealt[2:]) < 2 * len(rows), dealt  # a row is in a few blocks
+    assert sum(dealt) < 7 * len(rows), dealt  # a row is in a few blocks, and once in its component
 
 
 def test_very_long_near_copies(make):
