@@ -16,7 +16,7 @@ LEASE_SECONDS, MAX_ATTEMPTS = 1800, 3
 #: Seconds, by the watermark, for which a finished job is remembered, so that events that come late don't revive it.
 REMEMBERED = 86_400
 STATE = "status string, attempt int, seen long"
-OUT = "job_id long, status string, attempt int, at timestamp"
+OUT = "job_id long, status string, attempt int, micros long"
 ENDED = ("SUCCEEDED", "FAILED")
 
 
@@ -55,7 +55,7 @@ def run_jobs(events: DataFrame, *, lease: int = LEASE_SECONDS, most: int = MAX_A
         if state.hasTimedOut:
             now = expired(now, lease, most)
         else:
-            rows = sorted((t.value // 1000, int(n), e) for f in frames for t, n, e in zip(f["at"], f["seq"], f["event"]))
+            rows = sorted((int(t), int(n), e) for f in frames for t, n, e in zip(f["micros"], f["seq"], f["event"]))
             for at, _, event in rows:
                 now = step(now, event, at, lease, most)
         if now[0] == "":
@@ -65,10 +65,12 @@ def run_jobs(events: DataFrame, *, lease: int = LEASE_SECONDS, most: int = MAX_A
             wait = lease if now[0] == "RUNNING" else REMEMBERED
             state.setTimeoutTimestamp(max(now[2] // 1000 + wait * 1000, state.getCurrentWatermarkMs() + 1))
         if now != before:
-            yield pd.DataFrame({"job_id": [key[0]], "status": [now[0]], "attempt": [now[1]], "at": [pd.Timestamp(now[2], unit="us")]})
+            yield pd.DataFrame({"job_id": [key[0]], "status": [now[0]], "attempt": [now[1]], "micros": [now[2]]})
 
-    keyed = events.withWatermark("at", delay).groupBy("job_id")
-    return keyed.applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    # times cross to Python as numbers, which no time zone moves
+    keyed = events.withWatermark("at", delay).withColumn("micros", F.unix_micros("at")).groupBy("job_id")
+    changes = keyed.applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return changes.select("job_id", "status", "attempt", F.timestamp_micros("micros").alias("at"))
 
 
 def once_per_key(events: DataFrame, key: list[str], within: str = "30 days") -> DataFrame:
