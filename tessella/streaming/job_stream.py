@@ -23,14 +23,14 @@ ENDED = ("SUCCEEDED", "FAILED")
 def expired(state: tuple[str, int, int], lease: int, most: int) -> tuple[str, int, int]:
     """The state after a running job's lease ran out: back in the queue, or failed at the last attempt."""
     _, attempt, seen = state
-    return ("FAILED" if attempt >= most else "QUEUED", attempt, seen + lease * 1_000_000)
+    return ("FAILED" if attempt >= most else "QUEUED", attempt, seen + lease)
 
 
 def step(state: tuple[str, int, int], event: str, at: int, lease: int, most: int) -> tuple[str, int, int]:
-    """(status, attempt, time in microseconds) after an event.  A lease that ran out before it first requeues
+    """(status, attempt, time) after an event; a lease is in the unit of times.  One that ran out before it first requeues
     the job, or fails it at its last attempt; events that don't fit the status change nothing, nor does
     anything after the end."""
-    if state[0] == "RUNNING" and at > state[2] + lease * 1_000_000:
+    if state[0] == "RUNNING" and at > state[2] + lease:
         state = expired(state, lease, most)
     status, attempt, _ = state
     if event == "SUBMIT" and status == "":
@@ -53,11 +53,11 @@ def run_jobs(events: DataFrame, *, lease: int = LEASE_SECONDS, most: int = MAX_A
             state.remove()
             return
         if state.hasTimedOut:
-            now = expired(now, lease, most)
+            now = expired(now, lease * 1_000_000, most)
         else:
             rows = sorted((int(t), int(n), e) for f in frames for t, n, e in zip(f["micros"], f["seq"], f["event"]))
             for at, _, event in rows:
-                now = step(now, event, at, lease, most)
+                now = step(now, event, at, lease * 1_000_000, most)
         if now[0] == "":
             return  # nothing has been submitted
         state.update(now)
