@@ -15,6 +15,8 @@ Spark adds up again before the shuffle, so a word or phrase with a third of all
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -230,8 +232,13 @@ def mine_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST,
         longer = longer.groupBy("lang", "phrase").agg(F.max("f").alias("_f"))
         best = best.join(longer, ["lang", "phrase"], "left").where(F.col("_f").isNull() | (100 * _wide("_f") < covered * _wide("a")))
     found = best.select("lang", "phrase", "a", "best.l", "best.r", "best.score")
-    order = W.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+    # first in parts, so that a language with most phrases is no single task: sqrt(phrases * keep) rows each, then as many
+    some = sum(level.count() for level in levels[1:])
+    parts = max(1, math.ceil(math.sqrt(some / max(keep, 1))))
+    top = found.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
+    for groups in (["lang", "_part"], ["lang"]):
+        order = W.partitionBy(*groups).orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
+        top = top.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
     return top.join(bounded(total), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

@@ -84,17 +84,15 @@ def select(s: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.
     is set.  Partial selection: all above the k-th largest, and of those equal to it the smallest ids."""
     least = np.iinfo(np.int64).min
     s = np.where(own, least, s)
+    good = s > least
     if s.shape[1] > k:
-        edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
-        query, place = np.nonzero(s >= edge)
-    else:
-        query, place = np.nonzero(np.ones(s.shape, bool))
+        good &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+    query, place = np.nonzero(good)
     score = s[query, place]
     order = np.lexsort((ids[query, place] if ids.ndim == 2 else ids[place], -score, query))
     query, place, score = query[order], place[order], score[order]
-    nth = np.arange(len(query)) - np.searchsorted(query, query)
-    good = (nth < k) & (score > least)
-    return query[good], place[good], score[good]
+    first = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[first], place[first], score[first]
 
 
 class Lists:
