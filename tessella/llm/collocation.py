@@ -35,7 +35,7 @@ UNKNOWN = "und"
 #: Bits for each frequent phrase, and bits of a bitmap at most (32 MB).
 BITS, MAX_BITS = 32, 1 << 28
 #: Bytes of text counted at a time, unless a single text is longer.
-STEP = 8 << 20
+STEP = 2 << 20
 
 #: Bytes that end a piece, and those that end a word.
 BREAK = np.zeros(256, dtype=bool)
