@@ -9,9 +9,10 @@ block quota // blocks times, and the rest once, from the front.  The seed's orde
 of blocks that keeps documents whole but for one a shard, and the words a document gives follow from its place
 in the line alone, so no row is made per block.
 
-Only (doc_id, source, size) is carried; text is read once.  A shard holds a bounded share of a source
+Only (doc_id, source, size, order) is carried; text is read once.  A shard holds a bounded share of a source
 (words_per_shard, until max_shards), so a source with a third of all rows is as many tasks as it has
-shards.  The tables of sources and shards have a row for each; they are broadcast only when counted
+shards; a document's shard follows from its id, its text and its number among equal rows, so no id, null or
+repeated, fills a shard.  The tables of sources and shards have a row for each; they are broadcast only when counted
 and small.  Targets rank all sources, and quotas a source's shards, in one task: rows of some 50 bytes, so
 millions of sources are sorted in seconds, but billions would not be.
 """
@@ -30,7 +31,7 @@ CAP = 2
 SEED = 20240101
 BLOCK_WORDS = 16
 WORDS_PER_SHARD = 1_000_000
-MAX_SHARDS = 4096
+MAX_SHARDS = 1 << 16
 
 
 def target_shares(sources: DataFrame, weights=WEIGHTS) -> DataFrame:
@@ -85,18 +86,37 @@ def sainte_lague(parts: DataFrame, group: str, key: str, weight: str, seats: str
     return out.drop("_share", "_r", "_mid", "_sure", "_open", "_won")
 
 
-def mix_sources(
-    docs: DataFrame, *, seed: int = SEED, block_words: int = BLOCK_WORDS, words_per_shard: int = WORDS_PER_SHARD, max_shards: int = MAX_SHARDS, carry: tuple[str, ...] = ()
-) -> DataFrame:
+def _numbered(sized: DataFrame) -> DataFrame:
+    """Rows of the written table with _order told apart for equal rows (of one source, id and text): the first keeps
+    it, each further one has that of its number among them.  Numbers run through each partition of the table and
+    then through the partitions, so a document with most of all rows is as many tasks as it has partitions."""
+    part = F.shiftright("_n", 33)
+    counted = sized.groupBy("source", "_order", part.alias("_part")).agg(F.count(F.lit(1)).alias("_k"))
+    whole = W.partitionBy("source", "_order")
+    before = F.coalesce(F.sum("_k").over(whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    again = counted.select("*", before.alias("_before"), F.sum("_k").over(whole).alias("_all")).where("_all > 1")
+    again = bounded(materialize(again.select(F.col("source").alias("_s"), F.col("_order").alias("_o"), F.col("_part").alias("_p"), "_before"), "mix-repeats"))
+    same = (sized["_order"] == again["_o"]) & (part == again["_p"]) & sized["source"].eqNullSafe(again["_s"])
+    rows = sized.join(again, same, "left")
+    once = rows.where("_o is null").select(*sized.columns)
+    nth = F.row_number().over(W.partitionBy("_s", "_o", "_p").orderBy("_n")) - 1 + F.col("_before")
+    many = rows.where("_o is not null").withColumn("_nth", nth)
+    told = F.when(F.col("_nth") == 0, F.col("_order")).otherwise(F.md5(F.concat("_order", F.lit(":"), F.col("_nth").cast("string"))))
+    return once.unionByName(many.withColumn("_order", told).select(*sized.columns))
+
+
+def mix_sources(docs: DataFrame, *, seed: int = SEED, block_words: int = BLOCK_WORDS, words_per_shard: int = WORDS_PER_SHARD, max_shards: int = MAX_SHARDS) -> DataFrame:
     """One row for each row of docs (doc_id, text, source): doc_id, size, source_size, target and taken, which is
     rounds times all its words and once its first `once` words.
 
     A null text has size 0 and gives nothing, a null source is a source of its own and the last; repeated
-    rows are documents of their own; an empty table gives an empty result.  Further columns of docs do not
-    enter, whatever their names; those in `carry` are kept with the row.
+    rows are documents of their own, and so are those of a null id: a document's place follows from its id and text,
+    and from its number among equal rows.  An empty table gives an empty result.  Further columns of docs do not
+    enter, whatever their names, but for _n, which apply_mix() adds.
     """
-    measured = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carry)
-    sized = materialize(measured.drop(*carry), "mix-sizes")
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
+    number = F.col("_n") if "_n" in docs.columns else F.monotonically_increasing_id()
+    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order.alias("_order"), number.alias("_n")), "mix-sizes")
     sources = target_shares(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     sources = sources.withColumn("_all", F.lit(0)).withColumn("_seats", F.floor(F.col("mix_words2") / (2 * block_words)).cast("long"))
     sources = sainte_lague(sources, "_all", "source_no", "target", "_seats", "source_quota")
@@ -104,25 +124,21 @@ def mix_sources(
     sources = materialize(sources.select("source", "source_no", "source_size", "target", "source_quota", shards_of.alias("n_shards")), "mix-sources")
 
     named = bounded(sources.withColumnRenamed("source", "_source"))
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-
-    def deal(rows: DataFrame) -> DataFrame:
-        dealt = rows.withColumn("_order", order).join(named, rows["source"].eqNullSafe(named["_source"])).drop("_source", "source")
-        return dealt.withColumn("shard", F.conv(F.substring("_order", 25, 8), 16, 10).cast("long") % F.col("n_shards"))
-
-    shards = deal(sized).groupBy("source_no", "shard", "source_quota").agg(F.sum("size").alias("shard_size"))
+    rows = _numbered(sized)
+    dealt = rows.join(named, rows["source"].eqNullSafe(named["_source"])).drop("_source", "source")
+    dealt = dealt.withColumn("shard", F.conv(F.substring("_order", 25, 8), 16, 10).cast("long") % F.col("n_shards"))
+    shards = dealt.groupBy("source_no", "shard", "source_quota").agg(F.sum("size").alias("shard_size"))
     shards = sainte_lague(shards, "source_no", "shard", "shard_size", "source_quota", "_asked")
     shards = shards.withColumn("blocks", F.ceil(F.col("shard_size") / block_words).cast("long"))
     shards = shards.withColumn("quota", F.least("_asked", F.col("blocks") * CAP))
     shards = materialize(shards.select("source_no", "shard", "blocks", "quota"), "mix-shards")
 
-    line = W.partitionBy("source_no", "shard").orderBy("_order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = deal(measured if carry else sized).withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0)))
-    placed = placed.join(bounded(shards), ["source_no", "shard"])
+    line = W.partitionBy("source_no", "shard").orderBy("_order", "_n").rowsBetween(W.unboundedPreceding, -1)
+    placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0))).join(bounded(shards), ["source_no", "shard"])
     rounds = F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0).cast("long")
     front = F.col("quota") % F.greatest("blocks", F.lit(1)) * block_words
     placed = placed.withColumns({"rounds": rounds, "once": F.greatest(F.least("size", front - F.col("start")), F.lit(0)).cast("long")})
-    return placed.withColumn("taken", F.col("rounds") * F.col("size") + F.col("once")).select("doc_id", "size", "source_size", "target", "taken", "rounds", "once", *carry)
+    return placed.withColumn("taken", F.col("rounds") * F.col("size") + F.col("once")).select("doc_id", "size", "source_size", "target", "taken", "rounds", "once", "_n")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -139,8 +155,10 @@ def apply_mix(docs: DataFrame, *, seed: int = SEED, block_words: int = BLOCK_WOR
     go; so does a document without words, since it has nothing to give.  A null source is a source, repeated
     rows are documents of their own, an empty table stays empty, columns keep their values whatever their names."""
     keep = docs.columns
-    held = docs.select("doc_id", "text", "source", F.struct(*keep).alias("_row"))
-    placed = mix_sources(held, seed=seed, block_words=block_words, words_per_shard=words_per_shard, carry=("_row",)).where("taken > 0")
+    # written with a number for each row, by which the plan finds its text again: texts are never sorted
+    held = materialize(docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row"), F.monotonically_increasing_id().alias("_n")), "mix-rows")
+    plan = mix_sources(held, seed=seed, block_words=block_words, words_per_shard=words_per_shard).where("taken > 0")
+    placed = held.select("_n", "_row").join(plan.select("_n", "size", "rounds", "once").hint("shuffle_hash"), "_n")
     text = F.col("_row.text")
     part = F.when(F.col("once") == F.col("size"), text).when(F.col("once") > 0, first_words(text, F.col("once")))
     texts = F.concat(F.array_repeat(text, F.col("rounds").cast("int")), F.filter(F.array(part), lambda t: t.isNotNull()))
@@ -155,12 +173,14 @@ def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     """What every document gives to the mix; see mix_sources() for nulls, empties and repeats."""
     from .common import read
 
-    return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = f"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, size, CASE WHEN copy = 1 THEN o ELSE md5(o || ':' || (copy - 1)) END AS o FROM (
+    SELECT *, row_number() OVER (PARTITION BY source, o) AS copy FROM (
+      SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS o FROM documents))
 ), src AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS source_no FROM sized GROUP BY source
 ), weighted AS (
@@ -183,8 +203,8 @@ WITH sized AS (
 ), quotas AS (
   SELECT source_no, count(*) AS source_quota FROM (SELECT *, row_number() OVER (ORDER BY q DESC, source_no, seat) AS r FROM ask) WHERE r <= seats GROUP BY source_no
 ), dealt AS (
-  SELECT d.doc_id, d.size, t.source_no, t.source_size, t.target, coalesce(q.source_quota, 0) AS source_quota, md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, '')) AS o,
-    ('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 25, 8))::BIGINT % least(greatest(ceil(t.source_size::DOUBLE / {WORDS_PER_SHARD}), 1), {MAX_SHARDS})::BIGINT AS shard
+  SELECT d.doc_id, d.size, t.source_no, t.source_size, t.target, coalesce(q.source_quota, 0) AS source_quota, d.o,
+    ('0x' || substr(d.o, 25, 8))::BIGINT % least(greatest(ceil(t.source_size::DOUBLE / {WORDS_PER_SHARD}), 1), {MAX_SHARDS})::BIGINT AS shard
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN quotas q USING (source_no)
 ), shards AS (
   SELECT source_no, shard, source_quota, sum(size)::BIGINT AS w FROM dealt GROUP BY ALL
@@ -197,7 +217,7 @@ WITH sized AS (
   SELECT s.source_no, s.shard, ceil(w / {BLOCK_WORDS}.0)::BIGINT AS blocks, least(coalesce(asked, 0), 2 * ceil(w / {BLOCK_WORDS}.0)::BIGINT) AS quota
   FROM shards s LEFT JOIN squotas USING (source_no, shard)
 ), placed AS (
-  SELECT d.*, l.quota, greatest(l.blocks, 1) AS nb, coalesce(sum(size) OVER (PARTITION BY d.source_no, d.shard ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
+  SELECT d.*, l.quota, greatest(l.blocks, 1) AS nb, coalesce(sum(size) OVER (PARTITION BY d.source_no, d.shard ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
   FROM dealt d JOIN lined l USING (source_no, shard)
 )
 SELECT doc_id, size, source_size, target, ((quota // nb) * size + greatest(0, least(size, (quota % nb) * {BLOCK_WORDS} - a)))::BIGINT AS taken

@@ -170,3 +170,26 @@ def test_secret_odd(odd, empty):
     assert len(got) == 9 and {r.spans for r in got if r.doc_id != 7} == {""}
     assert [r.n_hex for r in got if r.doc_id == 7] == [1]
     assert secrets.scan_secrets(empty).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["null ids", "repeats"])
+def test_no_shard_of_the_mix_is_hot(spark, kind):
+    """5,000 rows without an id, or 5,000 equal rows: as many words a shard as others."""
+    from pyspark.sql import functions as F
+
+    id_, text = (None, "concat('w ', id, ' x y z')") if kind == "null ids" else (7, "'w x y z v'")
+    docs = spark.range(5000).selectExpr(f"cast({id_ or 'null'} as long) AS doc_id", f"{text} AS text", "'s' AS source").repartition(7)
+    out = mixing.mix_sources(docs, words_per_shard=1000)
+    dealt = [r[0] for r in out.groupBy(F.floor(F.col("_n") / 1)).agg(F.count("*")).collect()]
+    assert len(dealt) == 5000
+    sized = mixing.materialize(docs.select("doc_id", "source", F.lit(5).cast("long").alias("size"), F.md5(F.concat_ws(":", "doc_id", "text")).alias("_order"), F.monotonically_increasing_id().alias("_n")), "test-sizes")
+    of = [r[1] for r in mixing._numbered(sized).groupBy(F.conv(F.substring("_order", 25, 8), 16, 10).cast("long") % 25).count().collect()]
+    assert len(of) == 25 and max(of) < 2 * 200 and sum(of) == 5000
+    assert mixing._numbered(sized).select("_order").distinct().count() == 5000
+
+
+def test_mix_agrees_however_rows_are_dealt(spark):
+    rows = [(None if i % 3 == 0 else i % 50, "a b c d e f g " * (i % 9), f"s{i % 3}" if i % 5 else None) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [sorted(map(tuple, mixing.mix_sources(docs.repartition(n), words_per_shard=500).drop("_n").collect()), key=repr) for n in (1, 64)]
+    assert got[0] == got[1] and len(got[0]) == 900
