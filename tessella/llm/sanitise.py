@@ -9,8 +9,8 @@ document.  A pair needs `support` documents with both; an entity of fewer docume
 smoothed by PRIOR documents that hold t and say nothing about e.
 
 Entities, their neighbours and the terms of documents with entities are found in one pass and written as a
-table of places and hashes: entities by a keyed hash whose key only the running job has, so no personal data
-stays on storage.  Terms that may disclose need a corpus count, which is a second pass that sums per Arrow slice
+table of places and hashes.  Entities and terms (numbers are terms too) are hashed with a key that only the running
+job has, so nobody can find them again by hashing guesses, and the tables are emptied once the terms are known.  Terms that may disclose need a corpus count, which is a second pass that sums per Arrow slice
 before anything is shuffled.  A third pass finds the disclosing terms in whole texts and sanitises these.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import bounded, materialize, read, row_key
+from .common import bounded, materialize, read, release, row_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 6
@@ -114,6 +114,33 @@ def neighbours(spans: list[tuple[int, int, int]], start: np.ndarray, end: np.nda
     return span[fit[term]], term[fit[term]]
 
 
+def _round(v: list[np.ndarray]) -> list[np.ndarray]:
+    """A round of SipHash on columns."""
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    a, b, c, d = v
+    a, c = a + b, c + d
+    b, d = turn(b, 13) ^ a, turn(d, 16) ^ c
+    a, c = turn(a, 32) + d, c + b
+    d, b = turn(d, 21) ^ a, turn(b, 17) ^ c
+    return [a, b, turn(c, 32), d]
+
+
+def keyed(h: np.ndarray, key: bytes) -> np.ndarray:
+    """SipHash-2-4 of 64-bit numbers (as 8 little-endian bytes) under a key of 16 bytes."""
+    h = h.view(np.uint64)
+    k0, k1 = np.frombuffer(key, "<u8")
+    start = [int.from_bytes(x, "big") for x in (b"somepseu", b"dorandom", b"lygenera", b"tedbytes")]
+    v = [np.full(len(h), np.uint64(x) ^ k, np.uint64) for x, k in zip(start, (k0, k1, k0, k1))]
+    for block in (h, np.full(len(h), np.uint64(8 << 56))):
+        v[3] = v[3] ^ block
+        v = _round(_round(v))
+        v[0] = v[0] ^ block
+    v[2] = v[2] ^ np.uint64(0xFF)
+    for _ in range(4):
+        v = _round(v)
+    return (v[0] ^ v[1] ^ v[2] ^ v[3]).view(np.int64)
+
+
 _FOUND = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
 
@@ -126,12 +153,12 @@ def _span_lists(spans: list[list[tuple[int, int, int]]]) -> pa.Array:
     return _lists([len(s) for s in spans], pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], fields=list(_FOUND)))
 
 
-def term_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, start, end) of every term of the texts, in order; start and end in code points of the row."""
+def term_spans(texts: pa.Array, key: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, keyed hash, start, end) of every term of the texts, in order; start and end in code points of the row."""
     raw, off, _ = tc.column_bytes(texts)
     low = tc.LOWER[raw]
     begin, end, first = tc.spans(low, off, _BETWEEN)
-    h = tc.span_hashes(low, begin, end).view(np.int64)
+    h = keyed(tc.span_hashes(low, begin, end), key)
     row = np.repeat(np.arange(len(texts)), np.diff(first))
     points = np.zeros(len(raw) + 1, np.int64)
     np.cumsum((raw & 0xC0) != 0x80, out=points[1:])
@@ -153,22 +180,21 @@ def base_of(texts: pa.Array) -> list[list[tuple[int, int, int]]]:
     return base
 
 
-def find_entities(docs: DataFrame, window: int) -> DataFrame:
+def find_entities(docs: DataFrame, window: int, key: bytes) -> DataFrame:
     """(doc_id, _row, entities, near, held) of each row with a base span: its distinct entities, the pairs of an
-    entity and (the hash of) a term beside it, and the hashes of all its terms."""
-    salt = os.urandom(16)
+    entity and (the keyed hash of) a term beside it, and the keyed hashes of all its terms."""
 
     def run(batches):
         for batch in batches:
             for part in tc.in_steps(batch, 2, STEP_BYTES, STEP_ROWS):
                 texts, base = part.column(2), base_of(part.column(2))
                 mine = [i for i, s in enumerate(base) if s]
-                row, h, start, end = term_spans(texts.take(pa.array(mine, pa.int64())))
+                row, h, start, end = term_spans(texts.take(pa.array(mine, pa.int64())), key)
                 cut = np.searchsorted(row, np.arange(len(mine) + 1))
                 entities, near_entity, near_hash, held = [], [], [], []
                 for k, i in enumerate(mine):
                     text, (a, b) = texts[i].as_py(), cut[k : k + 2]
-                    names = [hashlib.blake2b(f"{KINDS[kind]}:{_ascii_lower(text[x:y])}".encode(), digest_size=16, key=salt).digest() for kind, x, y in base[i]]
+                    names = [hashlib.blake2b(f"{KINDS[kind]}:{_ascii_lower(text[x:y])}".encode(), digest_size=16, key=key).digest() for kind, x, y in base[i]]
                     known = {n: j for j, n in enumerate(dict.fromkeys(names))}
                     span, term = neighbours(base[i], start[a:b], end[a:b], window)
                     number = np.array([known[n] for n in names])
@@ -194,14 +220,14 @@ def find_entities(docs: DataFrame, window: int) -> DataFrame:
     return kept.mapInArrow(run, f"doc_id {id_type}, _row long, entities array<binary>, near array<struct<entity:binary,hash:long>>, held array<long>")
 
 
-def count_terms(docs: DataFrame, candidates: np.ndarray | None) -> DataFrame:
+def count_terms(docs: DataFrame, candidates: np.ndarray | None, key: bytes) -> DataFrame:
     """(hash, d): in how many rows of docs each term stands; of the sorted candidates only, if given."""
 
     def rows_with(part: pa.RecordBatch) -> np.ndarray:
         """The term of each (row, term) of the slice, once."""
         raw, off, _ = tc.column_bytes(part.column(0))
         begin, end, first = tc.spans(tc.LOWER[raw], off, _BETWEEN)
-        h = tc.span_hashes(tc.LOWER[raw], begin, end).view(np.int64)
+        h = keyed(tc.span_hashes(tc.LOWER[raw], begin, end), key)
         row = np.repeat(np.arange(part.num_rows), np.diff(first))
         if candidates is not None:
             at = np.minimum(np.searchsorted(candidates, h), len(candidates) - 1)
@@ -230,8 +256,9 @@ def count_terms(docs: DataFrame, candidates: np.ndarray | None) -> DataFrame:
     return docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("d"))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, *, support: int, generalise_at: float) -> DataFrame:
-    """(hash, disclosure) of terms whose disclosure of some entity reaches generalise_at, by the most that it is."""
+def disclosing_terms(docs: DataFrame, found: DataFrame, key: bytes, *, support: int, generalise_at: float) -> DataFrame:
+    """(hash, disclosure) of terms whose disclosure of some entity reaches generalise_at, by the most that it is.  Its
+    own tables are emptied."""
     total = docs.count()
     # a row is a document: rows that repeat an id and text count once each
     copies = found.groupBy("doc_id", "_row").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("entities", "near", "held")))
@@ -249,7 +276,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, *, support: int, general
         return F.when(F.col("d_entity") < total, pmi / F.log2(F.lit(float(total)) / F.col("d_entity"))).otherwise(F.lit(0.0))
 
     most = F.least(F.col("d_entity"), F.col("d_held"))
-    both = materialize(both.where(disclosure(most, F.col("d_held")) >= generalise_at - 1e-6), "pii-near-bound")
+    bound = both = materialize(both.where(disclosure(most, F.col("d_held")) >= generalise_at - 1e-6), "pii-near-bound")
     # an entity of one document has its neighbours there; of others, the documents with both are counted
     one, several = both.where("n_rows = 1").withColumn("d_both", F.col("d_entity")), both.where("n_rows > 1")
     has = of.select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("entity").alias("_e"))
@@ -258,18 +285,19 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, *, support: int, general
     met = holds.groupBy("entity", "hash").agg(F.sum("copies").alias("d_both"))
     both = one.unionByName(several.join(met, ["entity", "hash"])).where((F.col("d_both") >= support) | (F.col("d_entity") < support))
     both = both.where(disclosure(F.col("d_both"), F.col("d_held")) >= generalise_at - 1e-6).drop("d_held", "n_rows")
-    both = materialize(both, "pii-pairs")
+    pairs = both = materialize(both, "pii-pairs")
+    release(copies, bound)
     terms = both.select("hash").distinct()
     if terms.limit(MAX_CANDIDATES + 1).count() <= MAX_CANDIDATES:
         chosen = np.sort(np.asarray(terms.toArrow().column("hash"), np.int64))
-        if not len(chosen):
-            return both.select("hash", F.lit(0.0).alias("disclosure"))
-        counts = count_terms(docs, chosen)
+        counts = count_terms(docs, chosen if len(chosen) else np.zeros(1, np.int64), key)
     else:
-        counts = count_terms(docs, None)
+        counts = count_terms(docs, None, key)
     both = both.join(counts, "hash")
     both = both.withColumn("disclosure", F.round(disclosure(F.col("d_both"), F.col("d")), 9))
-    return both.where(F.col("disclosure") >= generalise_at).groupBy("hash").agg(F.max("disclosure").alias("disclosure"))
+    strong = materialize(both.where(F.col("disclosure") >= generalise_at).groupBy("hash").agg(F.max("disclosure").alias("disclosure")), "pii-terms")
+    release(pairs)
+    return strong
 
 
 def sanitised(text: str, base: list[tuple[int, int, int]], terms: list[tuple[int, int, float]], remove_at: float) -> str:
@@ -308,7 +336,7 @@ def _finish(texts: pa.Array, row: np.ndarray, start: np.ndarray, end: np.ndarray
     return [_span_lists(base), _lists(sizes.tolist(), terms), new]
 
 
-def apply_terms(docs: DataFrame, strong: DataFrame, remove_at: float) -> DataFrame:
+def apply_terms(docs: DataFrame, strong: DataFrame, remove_at: float, key: bytes) -> DataFrame:
     """(doc_id, _row, base, terms, sanitised) of each row, from the disclosing terms (hash, disclosure).  Beyond
     MAX_CANDIDATES of these, places of all terms are joined with them, and what is found with the texts."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -316,11 +344,12 @@ def apply_terms(docs: DataFrame, strong: DataFrame, remove_at: float) -> DataFra
     if strong.limit(MAX_CANDIDATES + 1).count() <= MAX_CANDIDATES:
         table = strong.toArrow().sort_by("hash")
         chosen, weight = np.asarray(table.column("hash"), np.int64), np.asarray(table.column("disclosure"), np.float64)
+        release(strong)
 
         def run(batches):
             for batch in batches:
                 for part in tc.in_steps(batch, 2, STEP_BYTES, STEP_ROWS):
-                    row, h, start, end = term_spans(part.column(2))
+                    row, h, start, end = term_spans(part.column(2), key)
                     at = np.minimum(np.searchsorted(chosen, h), max(len(chosen) - 1, 0))
                     hit = np.flatnonzero(chosen[at] == h) if len(chosen) else np.zeros(0, np.int64)
                     found = _finish(part.column(2), row[hit], start[hit], end[hit], weight[at[hit]] if len(chosen) else np.zeros(0), remove_at)
@@ -331,7 +360,7 @@ def apply_terms(docs: DataFrame, strong: DataFrame, remove_at: float) -> DataFra
     def places(batches):
         for batch in batches:
             for part in tc.in_steps(batch, 2, STEP_BYTES, STEP_ROWS):
-                row, h, start, end = term_spans(part.column(2))
+                row, h, start, end = term_spans(part.column(2), key)
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(h), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "_row", "hash", "start", "end"])
 
@@ -360,9 +389,11 @@ def sanitise(docs: DataFrame, *, window: int = WINDOW, support: int = SUPPORT, g
     rows too; they get equal results.  Columns other than doc_id and text do not enter.
     """
     docs = docs.select("doc_id", "text")
-    found = materialize(find_entities(docs, window), "pii-found")
-    strong = materialize(disclosing_terms(docs, found, support=support, generalise_at=generalise_at), "pii-terms")
-    return apply_terms(docs, strong, remove_at)
+    key = os.urandom(16)
+    found = materialize(find_entities(docs, window, key), "pii-found")
+    strong = disclosing_terms(docs, found, key, support=support, generalise_at=generalise_at)
+    release(found)
+    return apply_terms(docs, strong, remove_at, key)
 
 
 def masked(docs: DataFrame, found: DataFrame) -> DataFrame:
