@@ -20,10 +20,11 @@ from ..functions.text import strip, tokenize
 TOP_K, MIN_SCORE, POOL, FUSION, SAME = 12, 0.15, 50, 60, 120
 #: BM25 saturation and length weight, the literature's usual ones.
 K1, B = 1.5, 0.75
-#: Digits to which scores are ranked: those that differ only by the order of a sum are ties.
-EXACT = 12
-#: Bytes of query vectors up to which they are broadcast, and queries that one lexical search takes.
-SMALL_BYTES, MAX_QUERIES = 64 << 20, 20_000
+#: Digits to which cosines are ranked.  Lexical scores are whole numbers of 1 / UNIT, so that no order of a sum
+#: changes them and equal texts tie.
+EXACT, UNIT = 12, 1_000_000_000
+#: Bytes of query vectors up to which they are broadcast; queries and bytes of their texts in one lexical search, about.
+SMALL_BYTES, QUERIES, QUERY_BYTES = 64 << 20, 10_000, 8 << 20
 #: Vectors in a block of many-query search; a product of two blocks is the largest piece of work.
 BLOCK = 1024
 #: Passages that a lexical search scores at a time.
@@ -118,14 +119,49 @@ def batch_topk(passages: DataFrame, queries: DataFrame, *, key: str = "vec_id",
 def bm25(passages: DataFrame, queries: DataFrame, *, key: str, k: int, text: str = "text", tokens=tokenize) -> DataFrame:
     """(query_id, key, score, rank) of the k best passages for each query (query_id, text) by Okapi BM25 with
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)).  A token that a query repeats counts as often.  Passages
-    without a token of the query are none of its hits.
-
-    Queries are a stated set of at most MAX_QUERIES, whose words travel with the tasks.  Two passes over the
-    passages, in Arrow slices: one sums the document frequencies of these words, one scores (passages by
-    words times words by queries) and keeps k passages a query and task, so no token is ever shuffled."""
-    asked = queries.select("query_id", "text").limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: search in parts")
+    without a token of the query are none of its hits.  A token's part of a score is rounded to a whole number of
+    1 / UNIT, and these are added and ranked, ties to the smaller key: the result is one, however work is dealt.
+
+    Queries are a stated set of any size, dealt by id to groups of some QUERIES queries and QUERY_BYTES bytes, which
+    are searched one after the other: the words of one group travel with the tasks."""
+    n, size = queries.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
+    groups = max(1, -(-n // QUERIES), -(-(size or 0) // QUERY_BYTES))
+    found = None
+    for g in range(groups):
+        mine = queries if groups == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)
+        part = _bm25(passages, mine, key=key, k=k, text=text, tokens=tokens)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+class _Postings:
+    """How often each query holds each word, by blocks of BLOCK queries: a part of the matrix of words by queries is
+    put together from them without a loop over postings."""
+
+    def __init__(self, words: list[dict[int, int]], n: int):
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        query, times = (np.array([x for w in words for x in part(w)], np.int64) for part in (dict.keys, dict.values))
+        self.blocks = []
+        for q0 in range(0, n, BLOCK):
+            at = np.flatnonzero((query >= q0) & (query < q0 + BLOCK))
+            self.blocks.append((q0, min(BLOCK, n - q0), word[at], query[at] - q0, times[at]))
+
+    def matrix(self, block: int, present: np.ndarray) -> np.ndarray:
+        """Words `present` (ascending) by the queries of a block."""
+        _, width, word, query, times = self.blocks[block]
+        a, b = np.searchsorted(word, present), np.searchsorted(word, present, "right")
+        row = np.repeat(np.arange(len(present)), b - a)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
+        m = np.zeros((len(present), width))
+        m[row, query[at]] = times[at]
+        return m
+
+
+def _bm25(passages: DataFrame, queries: DataFrame, *, key: str, k: int, text: str, tokens) -> DataFrame:
+    """bm25() of one group of queries.  Two passes over the passages, in Arrow slices: one sums the document
+    frequencies of the queries' words, one scores (passages by words times words by queries) and keeps k passages a
+    query and task, so no token is ever shuffled."""
+    asked = queries.select("query_id", "text").collect()
     words: dict[str, dict[int, int]] = {}
     for q, row in enumerate(asked):
         for t in tokens(row["text"]):
@@ -161,7 +197,7 @@ def bm25(passages: DataFrame, queries: DataFrame, *, key: str, k: int, text: str
     n, mean = sums.get(-2, 0), sums.get(-1, 0) / max(sums.get(-2, 0), 1)
     df = np.array([sums.get(i, 0) for i in range(len(words))], np.float64)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    weights = list(words.values())
+    postings = _Postings(list(words.values()), len(asked))
 
     def best(hits: pd.DataFrame) -> pd.DataFrame:
         return hits.sort_values(["q", "score", "key"], ascending=[True, False, True]).groupby("q", sort=False).head(k)
@@ -177,14 +213,9 @@ def bm25(passages: DataFrame, queries: DataFrame, *, key: str, k: int, text: str
                     continue
                 present, local = np.unique(word, return_inverse=True)
                 w = np.zeros((part.num_rows, len(present)))
-                w[row, local] = idf[word] * times * (K1 + 1) / (times + K1 * (1 - B + B * length[row] / mean))
-                for q0 in range(0, len(asked), BLOCK):
-                    m = np.zeros((len(present), min(BLOCK, len(asked) - q0)))
-                    for i, p in enumerate(present.tolist()):
-                        for q, c in weights[p].items():
-                            if 0 <= q - q0 < m.shape[1]:
-                                m[i, q - q0] = c
-                    s = np.round(w @ m, EXACT)
+                w[row, local] = np.round(UNIT * (idf[word] * times * (K1 + 1) / (times + K1 * (1 - B + B * length[row] / mean))))
+                for block, (q0, *_) in enumerate(postings.blocks):
+                    s = w @ postings.matrix(block, present)  # whole numbers below 2 ** 53, so exact
                     r, q = np.nonzero(s)
                     keys = part.column(0).take(pa.array(r)).to_pandas()
                     held.append(best(pd.DataFrame({"q": q + q0, "score": s[r, q], "key": keys})))
@@ -192,12 +223,13 @@ def bm25(passages: DataFrame, queries: DataFrame, *, key: str, k: int, text: str
                 held = [best(pd.concat(held))]
         if held:
             h = held[0]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(h["q"].to_numpy())), pa.array(h["key"], kind), pa.array(h["score"].to_numpy())], names=["query_id", key, "score"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(h["q"].to_numpy())), pa.array(h["key"], kind), pa.array(h["score"].to_numpy().astype(np.int64))], names=["query_id", key, "score"])
 
     kinds = queries.schema["query_id"].dataType.simpleString(), passages.schema[key].dataType.simpleString()
-    scored = passages.select(key, text).mapInArrow(score, f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
+    scored = passages.select(key, text).mapInArrow(score, f"query_id {kinds[0]}, {key} {kinds[1]}, score long")
     place = W.partitionBy("query_id").orderBy(F.col("score").desc(), key)
-    return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    top = scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    return top.withColumn("score", F.col("score") / UNIT)
 
 
 def fuse(first: DataFrame, second: DataFrame, *, key: str, top: int, constant: int = FUSION) -> DataFrame:

@@ -180,12 +180,12 @@ def _bm25_sql(tokens: str, name: str, k: int) -> str:
   {name}q AS (SELECT query_id, token, count(*) AS times FROM (SELECT item_id AS query_id, unnest({tokens.format('text')}) AS token FROM benchmark) GROUP BY ALL),
   {name}tf AS (SELECT doc_id, dl, token, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS token FROM {name}c) WHERE token IN (SELECT token FROM {name}q) GROUP BY ALL),
   {name}df AS (SELECT token, count(*) AS df FROM {name}tf GROUP BY 1),
-  {name}s AS (SELECT query_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 12) AS score
+  {name}s AS (SELECT query_id, doc_id, sum(times * round(1e9::DOUBLE * (ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))))::BIGINT)::BIGINT AS score
     FROM {name}tf JOIN {name}df USING (token) JOIN {name}q USING (token), {name}n GROUP BY ALL),
   {name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {name}s QUALIFY rank <= {k})"""
 
 
-@query(f"WITH {_bm25_sql(_TOKENS, 'la', 3)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM la")
+@query(f"WITH {_bm25_sql(_TOKENS, 'la', 3)} SELECT query_id, doc_id, round(score / 1e9::DOUBLE, 6) AS score, rank FROM la")
 def bm25_topk(spark, d):
     queries = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     got = retrieval.bm25(_t(spark, d, "documents"), queries, key="doc_id", k=3)
@@ -467,12 +467,38 @@ def chunk_recursive(spark, d):
     return text.chunk_pages(p, text.page_header(F.col("source"), F.lit(None).cast("string"), [F.col("doc_id")]))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'),
-  '(\w)-\n(\w)', '\1\2', 'g'), '[ \t]{2,}', ' ', 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS cleaned FROM documents""")
+def _cleaned_sql(dirty: str) -> str:
+    return rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize({dirty}), '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'),
+  '(\w)-\n(\w)', '\1\2', 'g'), '[ \t]{{2,}}', ' ', 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS cleaned FROM documents"""
+
+
+@query(_cleaned_sql("text"))
 def clean_text(spark, d):
     return _t(spark, d, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
 
 
+#: What scanned pages have and the documents lack: line ends of two kinds, hyphens there, padding, control characters.
+_DIRT = [(", ", "  \t\r\n"), ("e t", "e-\r\nt"), (". ", ".\x0b\x1f  \n\r \n\n"), (" a", "\t  a")]
+
+
+def _dirty_sql() -> str:
+    chars = lambda x: " || ".join(f"chr({ord(c)})" for c in x)
+    out = "coalesce(text, '')"
+    for old, new in _DIRT:
+        out = f"replace({out}, '{old}', {chars(new)})"
+    return f"(chr(32) || chr(10) || {out} || repeat(' ', 40))"
+
+
+@query(_cleaned_sql(_dirty_sql()))
+def clean_text_scanned(spark, d):
+    """Cleaning of texts in which every step changes something."""
+    dirty = F.coalesce("text", F.lit(""))
+    for old, new in _DIRT:
+        dirty = F.replace(dirty, F.lit(old), F.lit(new))
+    dirty = F.concat(F.lit(" \n"), dirty, F.lit(" " * 40))
+    return _t(spark, d, "documents").select("doc_id", text.clean(dirty).alias("cleaned"))
+
+
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '{pii.EMAIL}'))::BIGINT AS n_emails FROM documents")
 def pii_email_count(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(pii.EMAIL)).cast("long").alias("n_emails"))
