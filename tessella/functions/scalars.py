@@ -129,6 +129,18 @@ def progress(done: Column, total: Column) -> Column:
     return (10 + F.bround(60.0 * done / total)).cast("int")
 
 
+#: Progress at which a job's later stages stand.
+STAGES = {"LLM": 80, "SAVING": 95, "COMPLETED": 100}
+
+
+def stage_progress(stage: Column, done: Column, files: Column) -> Column:
+    """Progress of a job by its stage: OCR goes with the files done, the later ones stand at fixed values."""
+    out = F.when(stage == "OCR", progress(done, files))
+    for name, value in STAGES.items():
+        out = out.when(stage == name, value)
+    return out.cast("int")
+
+
 def retry_wait_cap(attempt: Column) -> Column:
     """Seconds before the jitter: doubling from the base, to the cap."""
     return F.least(RETRY_BASE * F.pow(F.lit(2.0), attempt - 1), F.lit(float(RETRY_CAP)))

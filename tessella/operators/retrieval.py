@@ -328,3 +328,31 @@ def answer_hits(search, query: str, rewrite) -> tuple[DataFrame, str, int]:
             query = new
             more = hits.unionByName(search(query)).withColumn("_g", F.lit(0))
             hits = merge_hits(more, group=["_g"], key="id").join(more.drop("_g", "similarity").dropDuplicates(["id"]), "id").drop("_g", "place")
+
+
+def answer_all(questions: DataFrame, search, rewrite, *, checkpoint=lambda df: df) -> DataFrame:
+    """The retrieval loop for all questions (query_id, query) at once: (query_id, id, similarity, place, rewrites), a
+    row for each of a question's hits; one without hits has a row with a null id.
+
+    search(questions) gives (query_id, id, similarity, content), the best TOP_K of each question; rewrite(query) is a
+    Column, the new query.  Questions whose best hit is below WEAK are searched once more under their new query, those
+    alone; one whose query stays the same and that has hits keeps these without a search.  Hits of both rounds are
+    merged: the best of those that begin alike (first SAME characters), TOP_K at most.  checkpoint() is given each
+    round's hits and may write them, so that a search runs once."""
+    from ..functions.scalars import WEAK
+
+    first = checkpoint(search(questions))
+    top = F.coalesce(F.max("similarity"), F.lit(0.0))
+    best = questions.join(first.groupBy("query_id").agg(top.alias("_top"), F.count(F.lit(1)).alias("_n")), "query_id", "left")
+    weak = best.where(F.coalesce("_top", F.lit(0.0)) < WEAK).withColumn("_new", rewrite(F.col("query")))
+    again = weak.where(~F.col("_new").eqNullSafe(F.col("query")) | F.col("_n").isNull()).select("query_id", F.coalesce("_new", "query").alias("query"))
+    second = checkpoint(search(again))
+    retried = again.select("query_id").withColumn("_again", F.lit(True))
+    found = first.withColumn("_again", F.lit(False)).unionByName(second.withColumn("_again", F.lit(True)))
+    merged = merge_hits(found.join(retried.select("query_id"), "query_id", "left_semi"), group=["query_id"], key="id", text="content").select("query_id", "id", "similarity", "place")
+    kept = first.join(retried.select("query_id"), "query_id", "left_anti")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id"))
+    kept = kept.select("query_id", "id", "similarity", place.alias("place"))
+    state = questions.select("query_id").join(weak.select("query_id").withColumn("_weak", F.lit(1)), "query_id", "left")
+    state = state.select("query_id", F.coalesce("_weak", F.lit(0)).alias("rewrites"))
+    return state.join(merged.unionByName(kept), "query_id", "left").select("query_id", "id", "similarity", "place", "rewrites")

@@ -806,3 +806,6 @@ def risk_reasons(spark, d):
     got = _t(spark, d, "events").select("event_id", F.explode(rules.risks(text_)).alias("r"))
     names = F.array(*(F.lit(r[1]) for r in rules.RISK_RULES))
     return got.select("event_id", (F.array_position(names, F.col("r.title")) - 1).cast("int").alias("place"), "r.severity", "r.title", "r.reason", "r.recommendation")
+
+
+from . import stores  # noqa: E402, F401  (its queries join QUERIES and ORACLES)

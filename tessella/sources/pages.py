@@ -2,49 +2,19 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .records import list_records as resolve  # noqa: F401
+from .records import read_records  # noqa: F401
 
 #: Metadata that the passage table has as columns.
 FLAT = ("source_type", "doc_title", "authority", "issue", "source_id")
 
 
-def resolve(spark: SparkSession, folder: str, names: str | None = None) -> list[str]:
-    """Paths of the named files (comma-separated; a missing one is an error), else of all *.jsonl in the
-    folder by name (none is an error).  Looked up by Hadoop's file system, whatever the store."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if names:
-        paths = [f"{folder.rstrip('/')}/{n.strip()}" for n in names.split(",") if n.strip()]
-        missing = [p for p in paths if not fs.exists(jvm.org.apache.hadoop.fs.Path(p))]
-    else:
-        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*.jsonl"))
-        paths, missing = sorted(s.getPath().toString() for s in found or []), []
-    if missing or not paths:
-        raise FileNotFoundError(", ".join(missing) or f"no .jsonl file in {folder}")
-    return paths
-
-
-def read_records(spark: SparkSession, paths: list[str], *, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, rejects) of JSON lines {page_content, metadata}: records are (file, line_no, content,
-    metadata as a map of strings), rejects (file, line).  Blank lines and records without content are
-    neither; lines that are no JSON object are rejects.  `limit` counts records of each file."""
-    lines = spark.read.text(paths).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line_no"), strip(F.col("value")).alias("line")).where("line <> ''")
-    parsed = lines.withColumn("_j", F.try_parse_json("line"))
-    parsed = parsed.withColumn("_ok", F.coalesce(F.schema_of_variant("_j").startswith("OBJECT"), F.lit(False)))
-    content = strip(F.coalesce(F.try_variant_get("_j", "$.page_content", "string"), F.lit("")))
-    meta = F.coalesce(F.try_variant_get("_j", "$.metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    records = parsed.where("_ok").select("file", "line_no", content.alias("content"), meta.alias("metadata")).where("content <> ''")
-    if limit is not None:
-        place = W.partitionBy("file").orderBy("line_no")
-        records = records.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= limit).drop("_n")
-    return records, parsed.where("not _ok").select("file", "line")
-
-
 def flatten(chunks: DataFrame) -> DataFrame:
     """Chunks with the flat metadata keys as columns, the whole map beside them."""
     return chunks.select("*", *(F.col("metadata")[k].alias(k) for k in FLAT))
@@ -62,8 +32,6 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
 
 def render_pages(uploads: DataFrame, render, *, max_pages: int = 20, dpi: int = 250) -> DataFrame:
     """(path, page, image) of uploads by an injected renderer: render(bytes, dpi) yields images."""
-    import pandas as pd
-
     def run(frames):
         for f in frames:
             for path, content in zip(f["path"], f["content"]):

@@ -7,10 +7,12 @@ input was cut into batches; only an event later than the watermark allows is lef
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -20,6 +22,8 @@ from ..operators.service import ANNOUNCED
 
 #: Polls of a user for which an id that the feed no longer shows is remembered.
 REMEMBERED_POLLS = 1000
+# the driver starts a Python process that looks at a processor and has no archive of this package on its path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
