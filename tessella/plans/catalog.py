@@ -17,6 +17,7 @@ from ..functions import pii, rules, scalars, text
 from ..operators import diagnostics, jobs, relational, retrieval, service
 from ..sources import pages
 from ..streaming import job_stream
+from . import oracles
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -460,18 +461,17 @@ def chunk_fixed(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.posexplode(text.fixed_cut(F.col("text"), 1000)).alias("chunk_index", "piece"))
 
 
-@query()
-def chunk_recursive(spark, d):
-    """Greedy splitting carries state and SQL can't express it; tests hold it against golden cases."""
-    p = _t(spark, d, "documents").select("doc_id", "source", F.col("text").alias("content"))
-    return text.chunk_pages(p, text.page_header(F.col("source"), F.lit(None).cast("string"), [F.col("doc_id")]))
-
-
 def _cleaned_sql(dirty: str) -> str:
     return rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize({dirty}), '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'),
   '(\w)-\n(\w)', '\1\2', 'g'), '[ \t]{{2,}}', ' ', 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS cleaned FROM documents"""
 
 
+@query(oracles.chunk_rows_sql(_cleaned_sql("coalesce(text, '')")))
+def chunk_recursive(spark, d):
+    p = _t(spark, d, "documents").select("doc_id", "source", F.col("text").alias("content"))
+    return text.chunk_pages(p, text.page_header(F.col("source"), F.lit(None).cast("string"), [F.col("doc_id")]))
+
+
 @query(_cleaned_sql("text"))
 def clean_text(spark, d):
     return _t(spark, d, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
@@ -513,9 +513,8 @@ def _regions(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", F.lit(0).alias("page"), F.posexplode(F.split("text", "\n")).alias("region", "text"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT row_number() OVER () AS key, doc_id, coalesce(text, '') AS w FROM documents) SELECT t.doc_id, kind, s AS start, e AS "end" FROM ({oracles.detect_sql('t')}) JOIN t USING (key)""")
 def pii_detect(spark, d):
-    """Look-around patterns, which DuckDB lacks; tests hold it against golden cases."""
     found = pii.detect(F.col("text"), F.lit(None).cast("string"))
     return _t(spark, d, "documents").select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.*")
 
@@ -525,7 +524,46 @@ def pii_sanitize(spark, d):
     return pii.mask_regions(_regions(spark, d))
 
 
-@query()
+_REGIONS = "SELECT doc_id, 0 AS page, generate_subscripts(l, 1) - 1 AS region, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)"
+
+#: What leases hold and the documents lack, added to them in turn.
+_PERSONAL = (
+    "임대인: 홍길동 (900101-1234567), 010-1234-5678", "임차인 김철수 계좌 110-123-456789 은행명", "성명 주민번호 1234567890123456 02)345-6789", "예금주 이영희 3333-01-1234567 입금",
+    "연락처 0101234567 or 010 1234 56789, 800101 4234567", "a@b.co 900101-9234567 12-34-56",
+)
+
+
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of documents with a line of personal data at the end, cut between label and name in every other one."""
+    more = F.element_at(F.array(*map(F.lit, _PERSONAL)), (F.col("doc_id") % 6 + 1).cast("int"))
+    more = F.when(F.col("doc_id") % 2 == 1, F.regexp_replace(more, "[ ](?=[가-힣])", "\n")).otherwise(more)
+    return _t(spark, d, "documents").where("text is not null").select("doc_id", F.lit(0).alias("page"), F.posexplode(F.split(F.concat("text", F.lit("\n"), more), "\n")).alias("region", "text"))
+
+
+_PERSONAL_SQL = "SELECT doc_id, 0 AS page, generate_subscripts(l, 1) - 1 AS region, unnest(l) AS text FROM (SELECT doc_id, string_split(text || chr(10) || CASE WHEN doc_id % 2 = 1 THEN regexp_replace(more, ' ([가-힣])', chr(10) || '\\1', 'g') ELSE more END, chr(10)) AS l FROM (SELECT *, [" + ", ".join(f"'{x}'" for x in _PERSONAL) + "][(doc_id % 6 + 1)::INT] AS more FROM documents WHERE text IS NOT NULL))"
+
+
+@query(f"SELECT doc_id, region::INT AS region, text, counts FROM ({oracles.masked_sql(_PERSONAL_SQL)})")
+def pii_masked_regions(spark, d):
+    """Every kind of personal data masked, in regions that see the one before them."""
+    done = pii.mask_regions(_personal(spark, d))
+    entries = F.transform(F.map_entries("counts"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))
+    return done.select("doc_id", "region", "text", F.array_sort(entries).alias("counts"))
+
+
+def _gate_sql(regions: str) -> str:
+    joined = f"SELECT doc_id AS key, string_agg(text, chr(10) ORDER BY region) AS w FROM ({oracles.masked_sql(regions)}) GROUP BY doc_id"
+    return f"WITH j AS ({joined}) SELECT j.key AS doc_id, j.key NOT IN (SELECT key FROM ({oracles.detect_sql('j')})) AS passed FROM j"
+
+
+@query(_gate_sql(_PERSONAL_SQL))
+def pii_gate_personal(spark, d):
+    """Documents in which something is found after masking: what only shows across regions."""
+    passed, rejected = pii.gate(pii.mask_regions(_personal(spark, d)))
+    return passed.select("doc_id", F.lit(True).alias("passed")).unionByName(rejected.select("doc_id", F.lit(False).alias("passed")))
+
+
+@query(_gate_sql(_REGIONS))
 def pii_residual_gate(spark, d):
     passed, rejected = pii.gate(pii.mask_regions(_regions(spark, d)))
     return passed.select("doc_id", F.lit(True).alias("passed")).unionByName(rejected.select("doc_id", F.lit(False).alias("passed")))
@@ -616,9 +654,12 @@ def document_combine(spark, d):
     return c.groupBy("conv_id").agg(F.when(F.count(F.lit(1)) == 1, F.min("text")).otherwise(joined).alias("combined"))
 
 
-@query()
+_GRID = [(500, 75), (1000, 150), (1500, 200)]
+
+
+@query(oracles.chunk_grid_sql(_cleaned_sql("coalesce(text, '')"), _GRID, _exclusive))
 def chunk_size_grid(spark, d):
-    return diagnostics.chunk_grid(_t(spark, d, "documents"), "text", [(500, 75), (1000, 150), (1500, 200)])
+    return diagnostics.chunk_grid(_t(spark, d, "documents"), "text", _GRID)
 
 
 # Streams
@@ -637,10 +678,9 @@ def _drain(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> Data
     return job_stream.drain(stream, name, mode, f"{shared.rstrip('/')}/{name}")
 
 
-@query()
+@query(oracles.job_states_sql())
 def queue_stream(spark, d):
-    """Job states after all events, one job a user; a state machine over each job's events has no SQL form here, so
-    tests fold the same events one by one."""
+    """Job states after all events, one job a user."""
     kind = F.when(F.col("event_type") == "view", "SUBMIT").when(F.col("event_type") == "click", "CLAIM").when(F.col("event_type") == "signup", "HEARTBEAT").when(F.col("event_type") == "purchase", "SUCCEED").otherwise("FAIL")
     states = job_stream.run_jobs(_stream(spark, d).select(F.col("user_id").alias("job_id"), kind.alias("event"), "at", F.col("event_id").alias("seq")))
     return relational.latest(_drain(spark, states, "jobs", "update"), ["job_id"], ["at", "attempt"], ["status", "attempt", "at"])
