@@ -78,8 +78,10 @@ def length_verdict(files: DataFrame) -> DataFrame:
 def provision(identities: DataFrame, members: DataFrame, social: str) -> dict[str, DataFrame]:
     """Rows for identities (user_id, email, provider, nickname, marketing) that are no members yet: users,
     profiles, three agreements each, and a welcome notification.  Identities of the social provider set
-    themselves up elsewhere."""
-    new = identities.where(~F.coalesce(F.col("provider") == social, F.lit(False))).dropDuplicates(["user_id"]).join(members.select("user_id"), "user_id", "left_anti")
+    themselves up elsewhere.  Of rows of one user that with the smallest email (then nickname, then marketing) counts."""
+    mine = identities.where(~F.coalesce(F.col("provider") == social, F.lit(False)) & F.col("user_id").isNotNull())
+    new = mine.groupBy("user_id").agg(F.min(F.struct("email", "nickname", "marketing")).alias("_x")).select("user_id", "_x.*")
+    new = new.join(members.select("user_id"), "user_id", "left_anti")
     name = F.coalesce(filled(F.col("nickname")), F.split_part("email", F.lit("@"), F.lit(1)))
     agreed = F.explode(F.array(*(F.struct(F.lit(k).alias("agreement_type"), (F.coalesce("marketing", F.lit(False)) if k == "marketing" else F.lit(True)).alias("is_agreed")) for k in AGREEMENTS)))
     return {

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, scalars, text
-from ..operators import relational, retrieval, service, vector_index
+from ..operators import merge, relational, retrieval, service, vector_index
 from ..sources import layouts, pages, records, tables
 from ..streaming import dispatch, job_stream
 from . import catalog
@@ -325,6 +325,26 @@ def account_provisioning(spark, d):
     return out
 
 
+_TARGETS = {
+    "users": merge.Target("users", "user_id long, username string", ("user_id",)),
+    "profiles": merge.Target("profiles", "user_id long, nickname string", ("user_id",), ("nickname",)),
+}
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_name FROM customer), v AS (SELECT k, CASE WHEN k % 3 = 0 THEN 'renamed' ELSE c_name END AS nick FROM c)
+  SELECT 'users' AS target, 'insert' AS action, count(*) AS n FROM c UNION ALL SELECT 'profiles', 'insert', count(*) FROM c UNION ALL SELECT 'profiles', 'update', count(*) FILTER (k % 3 = 0) FROM c""")
+def account_merge(spark, d):
+    """Half of all customers, then all, then all with a third renamed, then the same again: what the journal holds."""
+    at, k = _folder(spark, "accounts"), F.col("c_custkey")
+    c = _t(spark, d, "customer")
+    users = c.select(k.alias("user_id"), F.col("c_name").alias("username"))
+    names = users.withColumnRenamed("username", "nickname")
+    renamed = names.withColumn("nickname", F.when(F.col("user_id") % 3 == 0, "renamed").otherwise(F.col("nickname")))
+    for batch, u, p in (("1", users.where("user_id % 2 = 0"), names.where("user_id % 2 = 0")), ("2", users, names), ("3", users, renamed), ("4", users, renamed)):
+        merge.merge_tables(spark, at, [(_TARGETS["users"], u), (_TARGETS["profiles"], p)], batch=batch)
+    return merge.read_journal(spark, at).groupBy("target", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN ts WHEN event_id % 2 = 0 THEN ts END AS read_at, CASE WHEN event_id % 7 = 0 THEN ts END AS deleted_at FROM events")
 def notification_backfill(spark, d):
     i = F.col("event_id")

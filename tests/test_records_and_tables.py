@@ -145,3 +145,23 @@ def test_only_new_texts_are_embedded(spark, tmp_path):
     with pytest.raises(Exception, match="dimension"):
         tables.embed_incremental(more.withColumn("text", F.lit("other")), "text", store, lambda t: [[1.0]] * len(t), 2, batch="4")
     assert tables.embed_incremental(more, "text", store, embedder, 2, batch="5").count() == 21
+
+
+def test_find_folder(tmp_path):
+    from tessella.sources.pages import find_folder
+
+    (tmp_path / "data").mkdir()
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "data").mkdir()
+    assert find_folder("data", str(tmp_path / "a" / "b")) == str(tmp_path / "a" / "data")  # the nearest
+    assert find_folder(str(tmp_path / "data"), "/") == str(tmp_path / "data")
+    with pytest.raises(FileNotFoundError):
+        find_folder("no-such-folder-here", str(tmp_path))
+
+
+def test_read_images(spark):
+    from tessella.sources.pages import read_images
+
+    rows = [(1, 0, b"a|b"), (1, 1, None), (2, 0, b"")]
+    got = read_images(spark.createDataFrame(rows, "doc_id long, page int, image binary"), lambda b: [t for t in b.decode().split("|") if t])
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 0, "a"), (1, 0, 1, "b")]
