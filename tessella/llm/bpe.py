@@ -31,7 +31,7 @@ from .textcore import in_steps
 CACHE_SIZE = 250_000
 CACHE_BYTES = 64
 #: Bytes of text encoded together, and the most rows.
-BATCH_BYTES, BATCH_ROWS = 5_000_000, 10_000
+BATCH_BYTES, BATCH_ROWS = 2_000_000, 10_000
 
 #: Pre-tokens above this many bytes are merged one by one, the others of a batch together.
 LONG_BYTES = 128

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded, materialize, n_words
+from .common import WORD, bounded, materialize, n_words, own_name
 
 #: Fixed values of the mix.
 WEIGHTS = (5, 2, 1)
@@ -154,11 +154,12 @@ def apply_mix(docs: DataFrame, *, seed: int = SEED, block_words: int = BLOCK_WOR
     one at which a shard's choice ends gives its text up to there, white space kept.  Rows that give no word
     go; so does a document without words, since it has nothing to give.  A null source is a source, repeated
     rows are documents of their own, an empty table stays empty, columns keep their values whatever their names."""
-    keep = docs.columns
+    keep, number = docs.columns, own_name("_n", docs.columns)
     # written with a number for each row, by which the plan finds its text again: texts are never sorted
-    held = materialize(docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row"), F.monotonically_increasing_id().alias("_n")), "mix-rows")
-    plan = mix_sources(held, seed=seed, block_words=block_words, words_per_shard=words_per_shard).where("taken > 0")
-    placed = held.select("_n", "_row").join(plan.select("_n", "size", "rounds", "once").hint("shuffle_hash"), "_n")
+    held = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "mix-rows")
+    plan = mix_sources(held.select("doc_id", "text", "source", F.col(number).alias("_n")), seed=seed, block_words=block_words, words_per_shard=words_per_shard)
+    plan = plan.where("taken > 0").select("_n", "size", "rounds", "once").hint("shuffle_hash")
+    placed = held.select(F.col(number).alias("_n"), F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row")).join(plan, "_n")
     text = F.col("_row.text")
     part = F.when(F.col("once") == F.col("size"), text).when(F.col("once") > 0, first_words(text, F.col("once")))
     texts = F.concat(F.array_repeat(text, F.col("rounds").cast("int")), F.filter(F.array(part), lambda t: t.isNotNull()))

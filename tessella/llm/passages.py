@@ -26,7 +26,7 @@ MAX_TRAIN, MAX_TRAIN_PASSAGES = 4000, 400_000
 EPOCHS, BATCH_DOCS, RATE, DECAY = 14, 128, 4e-3, 1e-4
 SEED = 11
 PREDICT_AT = 0.3
-STEP_BYTES, STEP_ROWS = 2_000_000, 1024
+STEP_BYTES, STEP_ROWS = 1_000_000, 1024
 
 #: Classes of bytes, each counted by its share: letters of either case, digits, non-ASCII, kinds of marks.
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".", b",", b"!", b"?", b"|", b"#*", b"$%&", b"<>", b"'\"", b"-_", b"()[]{}", b":;", b"/\\@=+"]
