@@ -22,8 +22,10 @@ Groups of more than BLOCK rows (in 3: blocks, in 4: components) are multiplied i
 meet the PIVOTS rows with the most popular columns, of a group of near copies those closest to all others.
 What this connects with the first of these is connected for good: such rows need not meet each other again, only
 the others, and these all.  So a group of m near copies, s of them off that part,
-costs m / BLOCK times (PIVOTS + s) rows, and only a group without links all its pairs.  Products are bounded
-in rows and in bytes.
+costs m / BLOCK times (PIVOTS + s) rows.  Where two blocks or more are off that part, a group is parted anew before its
+pairs meet: rows stay together only if they share one of their rarest n-grams (by the group's own counts), of as
+many as a partner may lack and one more.  Pages of one template whose own part is larger than that part ways; only
+those closer to each other, but not linked, still meet in all pairs.  Products are bounded in rows and in bytes.
 """
 
 from __future__ import annotations
@@ -399,9 +401,33 @@ def _deal_piles(rows: DataFrame, percent: int, block: int, each: float) -> DataF
     return dealt.select("grp", F.least("_mine", "_other").alias("p"), F.greatest("_mine", "_other").alias("q"), side.alias("side"), "node", "n")
 
 
-def _edges(rows: DataFrame, values: DataFrame, pairs_of, percent: int, block: int, each: float) -> DataFrame:
+def _thinned(tagged: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """Rows (grp, node, n, main) of groups parted anew: two rows stay together only if they share one of their rarest
+    n-grams.  cells are the n-grams (node, gram) of the rows.
+
+    Of a set of n, any partner holds all but n - ceil(T n / 100), so one of the first n - ceil(T n / 100) + 1 in any
+    order that is common to both.  The order is by the number of the group's rows that hold an n-gram, so pages of one
+    template, which share most of theirs, begin with what is their own: a page with more of that than a partner may lack
+    is in no group any more, whatever the template's share."""
+    cells = tagged.join(cells, "node").select("grp", "node", "n", "main", "gram")
+    held = cells.groupBy("grp", "gram").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    shared = cells.join(held, ["grp", "gram"])
+    row = W.partitionBy("grp", "node")
+    # n-grams of one row alone come first and are columns of nobody else
+    slots = F.col("n") + F.floor(F.col("n") * percent / -100) + 1 - (F.col("n") - F.count(F.lit(1)).over(row))
+    place = F.row_number().over(row.orderBy("_c", "gram"))
+    columns = shared.withColumns({"_slots": slots, "_place": place}).where("_place <= _slots").select("grp", "gram", "node", "n", "main")
+    columns = materialize(columns, "ngram-rare")
+    lead = columns.groupBy("grp", "gram").agg(F.min("node").alias("_lead"), F.max("node").alias("_last")).where("_lead < _last").select("grp", "gram", "_lead")
+    out = columns.join(lead, ["grp", "gram"]).select("grp", F.col("_lead").alias("_new"), "node", "n", "main").distinct()
+    # a group's number is that of its leading row, in a space of its own for each group it was parted from
+    return out.select(F.xxhash64("grp", "_new").alias("grp"), "node", "n", "main")
+
+
+def _edges(rows: DataFrame, values: DataFrame, pairs_of, percent: int, block: int, each: float, cells_of=None) -> DataFrame:
     """Edges (a, b) that connect what the pairs of rows (grp, node, n, pop) that pairs_of finds do; a row's value
-    has up to `each` bytes a member."""
+    has up to `each` bytes a member.  Groups of which two blocks or more are off the main part are thinned out first by
+    their rows' n-grams, if cells_of(nodes) gives these."""
     sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("most"), F.sum("n").alias("total"))
     parts = F.ceil(F.greatest(F.col("c") / block, F.col("total") * each / BLOCK_BYTES)).cast("long")
     large = materialize(sizes.where(parts > 1).select("grp", parts.alias("parts"), F.greatest(F.lit(1), F.least(F.lit(PIVOTS), F.floor(BLOCK_BYTES / (F.col("most") * each)))).alias("pivots")), "ngram-large")
@@ -420,6 +446,13 @@ def _edges(rows: DataFrame, values: DataFrame, pairs_of, percent: int, block: in
     # what the top pivot is connected with, itself included
     main = first.where("top").select("grp", F.col("b").alias("node")).distinct().withColumn("_in", F.lit(True))
     tagged = rows.select("grp", "node", "n").join(main, ["grp", "node"], "left").select("grp", "node", "n", F.coalesce("_in", F.lit(False)).alias("main"))
+    if cells_of is not None:
+        tagged = materialize(tagged, "ngram-tagged")
+        off = tagged.groupBy("grp").agg(F.count_if(~F.col("main")).alias("_off")).where(F.col("_off") >= 2 * block).select("grp")
+        if off.limit(1).count():
+            wide = tagged.join(bounded(off), "grp", "left_semi")
+            thin = _thinned(wide, cells_of(wide.select("node").distinct()), percent)
+            tagged = tagged.join(bounded(off), "grp", "left_anti").unionByName(thin)
     piles = materialize(_deal_piles(tagged, percent, block, each), "ngram-piles")
     if not piles.limit(1).count():
         return first.select("a", "b")
@@ -464,13 +497,20 @@ def ngram_components(docs: DataFrame, *, n: int = 3, percent: int = 90, block: i
         more = more.distinct().join(sets.select("k1", "k2", "node", "n"), ["k1", "k2"]).select("node", "n", "gram")
         blocks = blocks.unionByName(_blocks(more)).groupBy("grp", "node").agg(F.first("n").alias("n"), F.max("pop").alias("pop"))
     blocks = materialize(blocks, "ngram-blocks")
-    near = _edges(blocks, sets.select("node", F.col("bits").alias("value")), possible_links, percent, block, 0.25)
+    keyed = docs.withColumn("_row", row_key(F.col("text")))
+
+    def cells_of(nodes: DataFrame) -> DataFrame:
+        at = bounded(sets.join(nodes, "node").select("node", "k1", "k2", F.col("at.doc_id").alias("_id"), F.col("at._row").alias("_at")), MAX_WANTED)
+        texts = keyed.join(at, keyed["doc_id"].eqNullSafe(at["_id"]) & (F.col("_row") == F.col("_at"))).select("node", "text", "k1", "k2")
+        return _cells_of(_sets_of(texts, n))
+
+    near = _edges(blocks, sets.select("node", F.col("bits").alias("value")), possible_links, percent, block, 0.25, cells_of)
     clusters = materialize(components(near).withColumnsRenamed({"root": "grp"}), "ngram-clusters")
 
     popular = blocks.groupBy("node").agg(F.max("pop").alias("pop"))
     chosen = sets.join(clusters, "node").join(popular, "node").select("k1", "k2", "node", "grp", "n", "pop", F.col("at.doc_id").alias("_id"), F.col("at._row").alias("_at"))
     chosen = materialize(chosen, "ngram-chosen")
-    keyed, wanted = docs.withColumn("_row", row_key(F.col("text"))), bounded(chosen.select("node", "k1", "k2", "_id", "_at"), MAX_WANTED)
+    wanted = bounded(chosen.select("node", "k1", "k2", "_id", "_at"), MAX_WANTED)
     texts = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["_id"]) & (F.col("_row") == F.col("_at"))).select("node", "text", "k1", "k2")
     full_sets = materialize(_sets_of(texts, n), "ngram-full")
     links = _edges(chosen.select("grp", "node", "n", "pop"), full_sets.withColumnRenamed("members", "value"), linked_pairs, percent, block, 8.0)
@@ -502,6 +542,18 @@ def _sets_of(texts: DataFrame, n: int) -> DataFrame:
     return texts.select("node", "text", "k1", "k2").mapInArrow(run, "node long, members binary").dropDuplicates(["node"])
 
 
+def _cells_of(sets: DataFrame) -> DataFrame:
+    """(node, gram) for every member of the sets (node, members)."""
+
+    def run(batches):
+        for batch in batches:
+            for node, members in zip(batch.column(0).to_pylist(), batch.column(1)):
+                grams = np.frombuffer(members.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), node)), pa.array(grams)], names=["node", "gram"])
+
+    return sets.select("node", "members").mapInArrow(run, "node long, gram long")
+
+
 def drop_near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component left: that of the smallest doc_id (one of its rows, if several
     have it).  Rows without shingles and rows with a null doc_id all stay.  Columns stay as they are."""
@@ -512,8 +564,12 @@ def drop_near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80) -> D
     # an id whose rows have different texts, one of them first of its component: that row stays
     mixed = again.join(gone, "doc_id", "left_semi")
     plain = docs.join(gone.unionByName(again).distinct(), "doc_id", "left_anti")
-    rest = docs.join(again.join(mixed, "doc_id", "left_anti"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return plain.unionByName(rest)
+    rest = docs.join(again.join(mixed, "doc_id", "left_anti"), "doc_id", "left_semi")
+    # of rows that share an id that with the smallest text, whatever order they come in
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    order = F.struct(F.md5(F.coalesce("text", F.lit(""))), F.md5(F.to_json(row)))
+    one = rest.groupBy("doc_id").agg(F.min_by(row, order).alias("_row"))
+    return plain.unionByName(one.select(*(F.col("_row")[c].alias(c) for c in docs.columns)))
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:

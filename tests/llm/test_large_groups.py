@@ -85,3 +85,38 @@ def test_products_find_what_pairs_do():
         for i, j in ngram_join.possible_links(sizes, side, bits, 80).edges:
             wide = [wide[i] if x == wide[j] else x for x in wide]
         assert all(wide[i] == wide[j] for i, j in edges)
+
+
+def template_pages(m, changed, seed=1, words=400):
+    """m pages of one template, `changed` words replaced at places of their own."""
+    r = np.random.RandomState(seed)
+    base = [f"t{i}" for i in range(words)]
+    rows = []
+    for i in range(m):
+        w = list(base)
+        for k in r.choice(words, changed, replace=False):
+            w[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w), "s"))
+    return rows
+
+
+def test_pages_of_one_template_part_ways(spark, make, monkeypatch):
+    """Without links among them, what is dealt to products grows with the pages, not with their square."""
+    dealt = []
+    run = ngram_join._run_products
+    monkeypatch.setattr(ngram_join, "_run_products", lambda d, *a: dealt.append(d.count()) or run(d, *a))
+    total = []
+    for m in (1500, 3000):
+        dealt.clear()
+        got = ngram_join.ngram_components(make(template_pages(m, 20)).repartition(8), n=3, percent=90, block=96)
+        assert all(r.component_id == r.doc_id for r in got.collect())
+        total.append(sum(dealt))
+    assert total[1] < 2.2 * total[0], total  # 33,402 and 66,917
+
+
+def test_thinned_groups_equal_brute_force(make):
+    """Near copies, pages of one template and pages between them, in groups that are parted anew."""
+    rows = template_pages(60, 6, 2, 80) + [(100 + i, t, s) for i, t, s in template_pages(60, 2, 3, 80)] + [(200 + i, t, s) for i, t, s in template_pages(60, 12, 4, 80)]
+    for percent in (80, 90):
+        got = ngram_join.ngram_components(make(rows), n=3, percent=percent, block=8)
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == brute_components(rows, 3, percent)
