@@ -25,6 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Tables that materialize() has written and release() has not emptied yet.
+_written: list[DataFrame] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there, so a lost
     executor costs no recomputation of what came before, and the plan knows the table's real size."""
@@ -33,6 +37,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     held = spark.read.schema(df.schema).parquet(path)
     held._at = path
+    _written.append(held)
     return held
 
 
@@ -40,6 +45,13 @@ def release(*tables: DataFrame) -> None:
     """Empty tables that materialize() has written and nothing reads any more."""
     for t in tables:
         t.sparkSession.createDataFrame([], t.schema).write.mode("overwrite").parquet(t._at)
+        _written[:] = [w for w in _written if w is not t]
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Empty every table that the session's operators have written and that is left: those that hold results or that
+    results are read from.  Call it once the results are written elsewhere; they can't be computed again after it."""
+    release(*[t for t in _written if t.sparkSession is spark])
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
