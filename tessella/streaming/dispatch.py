@@ -7,6 +7,7 @@ input was cut into batches; only an event later than the watermark allows is lef
 
 from __future__ import annotations
 
+import heapq
 import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -44,6 +45,12 @@ class Queue:
 
     def __init__(self, waiting: dict, leases: dict, lease: int, most: int):
         self.waiting, self.leases, self.lease, self.most = waiting, leases, lease, most
+        self._order, self._jobs = sorted(waiting), {job for _, job in waiting}
+
+    def _put(self, job: int, attempt: int, at: int) -> None:
+        self.waiting[at, job] = attempt
+        self._jobs.add(job)
+        heapq.heappush(self._order, (at, job))
 
     def expire(self, now: int) -> list[tuple]:
         """Leases that ended before now, in order: their jobs go to the back of the queue, or fail at the last attempt."""
@@ -53,20 +60,21 @@ class Queue:
             if attempt >= self.most:
                 out.append((job, worker, "FAILED", attempt, until))
             else:
-                self.waiting[until, job] = attempt
+                self._put(job, attempt, until)
                 out.append((job, worker, "QUEUED", attempt, until))
         return out
 
     def take(self, event: str, job: int | None, worker: str | None, now: int) -> list[tuple]:
-        """SUBMIT queues a job that isn't known; ASK gives the oldest queued job to a worker that holds none; HEARTBEAT,
+        """SUBMIT queues a job that is neither queued nor running; ASK gives the oldest queued job to a worker that holds none; HEARTBEAT,
         SUCCEED and FAIL are about the job that the worker holds.  What doesn't fit changes nothing."""
         out = self.expire(now)
         held = next((j for j, (w, *_) in self.leases.items() if w == worker), None) if worker is not None else None
-        if event == "SUBMIT" and job is not None and job not in self.leases and all(j != job for _, j in self.waiting):
-            self.waiting[now, job] = 0
+        if event == "SUBMIT" and job is not None and job not in self.leases and job not in self._jobs:
+            self._put(job, 0, now)
             out.append((job, None, "QUEUED", 0, now))
         elif event == "ASK" and worker is not None and held is None and self.waiting:
-            first = min(self.waiting)
+            first = heapq.heappop(self._order)
+            self._jobs.discard(first[1])
             attempt = self.waiting.pop(first) + 1
             self.leases[first[1]] = (worker, now + self.lease, attempt)
             out.append((first[1], worker, "RUNNING", attempt, now))
