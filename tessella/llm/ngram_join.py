@@ -22,7 +22,7 @@ Groups of more than BLOCK rows (in 3: blocks, in 4: components) are multiplied i
 meet the PIVOTS rows with the most popular columns, of a group of near copies those closest to all others.
 What this connects with the first of these is connected for good: such rows need not meet each other again, only
 the others, and these all.  So a group of m near copies, s of them off that part,
-costs m / BLOCK times (PIVOTS + s) rows.  Where two blocks or more are off that part, a group is parted anew before its
+costs m / BLOCK times (PIVOTS + s) rows.  Where THIN blocks or more are off that part, a group is parted anew before its
 pairs meet: rows stay together only if they share one of their rarest n-grams (by the group's own counts), of as
 many as a partner may lack and one more.  Pages of one template whose own part is larger than that part ways; only
 those closer to each other, but not linked, still meet in all pairs.  Products are bounded in rows and in bytes.
@@ -48,6 +48,8 @@ SKETCH, SLICES, FAN_IN = 1 << 20, 32, 64
 BLOCK, BLOCK_BYTES = 384, 16 << 20
 #: Rows that all others of a large group meet first.
 PIVOTS = 32
+#: Blocks off the main part from which a group is parted anew: below, all pairs cost less than its rows' n-grams.
+THIN = 16
 #: The side of the first pivot in a product.
 TOP = 3
 STEP_BYTES, STEP_ROWS = 6_000_000, 4096
@@ -426,7 +428,7 @@ def _thinned(tagged: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
 
 def _edges(rows: DataFrame, values: DataFrame, pairs_of, percent: int, block: int, each: float, cells_of=None) -> DataFrame:
     """Edges (a, b) that connect what the pairs of rows (grp, node, n, pop) that pairs_of finds do; a row's value
-    has up to `each` bytes a member.  Groups of which two blocks or more are off the main part are thinned out first by
+    has up to `each` bytes a member.  Groups with THIN blocks or more off the main part are thinned out first by
     their rows' n-grams, if cells_of(nodes) gives these."""
     sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("most"), F.sum("n").alias("total"))
     parts = F.ceil(F.greatest(F.col("c") / block, F.col("total") * each / BLOCK_BYTES)).cast("long")
@@ -447,9 +449,9 @@ def _edges(rows: DataFrame, values: DataFrame, pairs_of, percent: int, block: in
     main = first.where("top").select("grp", F.col("b").alias("node")).distinct().withColumn("_in", F.lit(True))
     tagged = rows.select("grp", "node", "n").join(main, ["grp", "node"], "left").select("grp", "node", "n", F.coalesce("_in", F.lit(False)).alias("main"))
     if cells_of is not None:
-        tagged = materialize(tagged, "ngram-tagged")
-        off = tagged.groupBy("grp").agg(F.count_if(~F.col("main")).alias("_off")).where(F.col("_off") >= 2 * block).select("grp")
+        off = tagged.groupBy("grp").agg(F.count_if(~F.col("main")).alias("_off")).where(F.col("_off") >= THIN * block).select("grp")
         if off.limit(1).count():
+            tagged = materialize(tagged, "ngram-tagged")
             wide = tagged.join(bounded(off), "grp", "left_semi")
             thin = _thinned(wide, cells_of(wide.select("node").distinct()), percent)
             tagged = tagged.join(bounded(off), "grp", "left_anti").unionByName(thin)

@@ -106,6 +106,7 @@ def test_pages_of_one_template_part_ways(spark, make, monkeypatch):
     run = ngram_join._run_products
     monkeypatch.setattr(ngram_join, "_run_products", lambda d, *a: dealt.append(d.count()) or run(d, *a))
     total = []
+    monkeypatch.setattr(ngram_join, "THIN", 2)
     for m in (1500, 3000):
         dealt.clear()
         got = ngram_join.ngram_components(make(template_pages(m, 20)).repartition(8), n=3, percent=90, block=96)
@@ -114,8 +115,9 @@ def test_pages_of_one_template_part_ways(spark, make, monkeypatch):
     assert total[1] < 2.2 * total[0], total  # 33,402 and 66,917
 
 
-def test_thinned_groups_equal_brute_force(make):
+def test_thinned_groups_equal_brute_force(make, monkeypatch):
     """Near copies, pages of one template and pages between them, in groups that are parted anew."""
+    monkeypatch.setattr(ngram_join, "THIN", 2)
     rows = template_pages(60, 6, 2, 80) + [(100 + i, t, s) for i, t, s in template_pages(60, 2, 3, 80)] + [(200 + i, t, s) for i, t, s in template_pages(60, 12, 4, 80)]
     for percent in (80, 90):
         got = ngram_join.ngram_components(make(rows), n=3, percent=percent, block=8)
