@@ -67,9 +67,9 @@ def upload_verdict(n_files: Column, name: Column, size: Column) -> Column:
 
 
 def file_size_label(size: Column) -> Column:
-    """Megabytes with a decimal, whole kilobytes, or bytes."""
+    """Megabytes with a decimal (a tie goes to the even one, as in SQL's printf), whole kilobytes, or bytes."""
     return (
-        F.when(size >= 1 << 20, F.concat(F.format_string("%.1f", size / (1 << 20)), F.lit("MB")))
+        F.when(size >= 1 << 20, F.concat(F.format_string("%.1f", F.bround(size / (1 << 20), 1)), F.lit("MB")))
         .when(size >= 1 << 10, F.concat(F.round(size / (1 << 10)).cast("long").cast("string"), F.lit("KB")))
         .otherwise(F.concat(size.cast("string"), F.lit("B")))
     )
