@@ -40,8 +40,8 @@ def norm(v: Column) -> Column:
 
 
 def normalize(v: Column) -> Column:
-    """The vector divided by its length, which counts as 1e-12 at least."""
-    n = F.greatest(norm(v), F.lit(1e-12))
+    """The vector divided by its length, which counts as 1e-12 at least; nulls in it stay and add nothing to the length."""
+    n = F.greatest(norm(F.filter(v, lambda x: x.isNotNull())), F.lit(1e-12))
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
