@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from .records import read_records  # noqa: F401
 
 #: Metadata that the passage table has as columns.
 FLAT = ("source_type", "doc_title", "authority", "issue", "source_id")
+#: Rendered pages, and bytes of them, that go on at a time.
+PAGES, PAGE_BYTES = 1000, 8 << 20
 
 
 def flatten(chunks: DataFrame) -> DataFrame:
@@ -31,16 +34,30 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def render_pages(uploads: DataFrame, render, *, max_pages: int = 20, dpi: int = 250) -> DataFrame:
-    """(path, page, image) of uploads by an injected renderer: render(bytes, dpi) yields images."""
-    def run(frames):
-        for f in frames:
-            for path, content in zip(f["path"], f["content"]):
-                for i, image in enumerate(render(content, dpi)):
+    """(path, page, image) of uploads by an injected renderer: render(bytes, dpi) yields images, which go on by about
+    PAGES of them or PAGE_BYTES."""
+
+    def run(batches):
+        out, held = [], 0
+        for batch in batches:
+            for path, content in zip(*batch.columns):
+                path = path.as_py()
+                for i, image in enumerate(render(content.as_py(), dpi)):
                     if i >= max_pages:
                         break
-                    yield pd.DataFrame({"path": [path], "page": [i], "image": [image]})
+                    out.append((path, i, image))
+                    held += len(image)
+                    if len(out) >= PAGES or held >= PAGE_BYTES:
+                        yield _rendered(out)
+                        out, held = [], 0
+        if out:
+            yield _rendered(out)
+
+    return uploads.select("path", "content").mapInArrow(run, "path string, page int, image binary")
+
 
-    return uploads.select("path", "content").mapInPandas(run, "path string, page int, image binary")
+def _rendered(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary()))], names=["path", "page", "image"])
 
 
 def hull(points: Column) -> Column:
