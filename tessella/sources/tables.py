@@ -12,7 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,16 +91,17 @@ def embed_incremental(rows: DataFrame, text: str, store: str, embedder: Callable
     new = rows.select(content_key(F.col(text)).alias("content_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     new = new.groupBy("content_key").agg(F.min("_text").alias("_text")).join(known.select("content_key"), "content_key", "left_anti")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for at in range(0, len(f), BATCH):
-                part = f.iloc[at : at + BATCH]
-                got = embedder(part["_text"].tolist())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):  # no more texts than these are Python's at a time
+                part = batch.slice(at, BATCH)
+                got = embedder(part.column(1).to_pylist())
                 if any(len(v) != dim for v in got):
                     raise ValueError(f"vectors of another dimension than {dim}")
-                yield pd.DataFrame({"content_key": part["content_key"], "embedding": got})
+                vectors = pa.array([list(map(float, v)) for v in got], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), vectors], names=["content_key", "embedding"])
 
-    fresh = new.sortWithinPartitions(F.length("_text")).select("content_key", "_text").mapInPandas(run, schema)
+    fresh = new.sortWithinPartitions(F.length("_text")).select("content_key", "_text").mapInArrow(run, schema)
     append_batch(fresh, store, batch)
     vectors = read_table(spark, store, schema)
     return rows.withColumn("_key", content_key(F.col(text))).join(vectors.withColumnRenamed("content_key", "_key"), "_key").drop("_key")
