@@ -126,8 +126,9 @@ def ocr_spotting(spark, d):
     """Spotted words with their polygons; blank ones are left out."""
     words = F.split(F.substring("text", 1, 400), " ")
     polygon = F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(5.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0)))
-    got = _t(spark, d, "documents").where("text is not null").select("doc_id", pages.spotted_regions(words, F.transform(words, lambda _: polygon)).alias("r"), F.filter(words, lambda x: text.strip(x) != "")[0].alias("_first"))
-    return got.where((F.size("r") > 0) & ~F.col("_first").contains("\n")).select("doc_id", F.size("r").alias("n_regions"), F.col("r")[0]["text"].alias("first"), F.col("r")[0]["bbox"]["x1"].alias("x1"), F.col("r")[0]["bbox"]["x2"].alias("x2"))
+    got = _t(spark, d, "documents").where("text is not null").select("doc_id", pages.spotted_regions(words, F.transform(words, lambda _: polygon)).alias("r"), F.get(F.filter(words, lambda x: text.trim(x) != ""), F.lit(0)).alias("_first"))
+    # a first word is there if a region is; the regions themselves are not asked, which would compute them twice
+    return got.where(~F.col("_first").contains("\n")).select("doc_id", F.size("r").alias("n_regions"), F.col("r")[0]["text"].alias("first"), F.col("r")[0]["bbox"]["x1"].alias("x1"), F.col("r")[0]["bbox"]["x2"].alias("x2"))
 
 
 _WORDS = "SELECT conv_id, turn AS block, w, i FROM (SELECT conv_id, turn, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS w FROM (SELECT conv_id, turn, string_split(text, ' ') AS l FROM conversations WHERE text IS NOT NULL))"

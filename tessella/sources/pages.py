@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import trim
 from .records import list_records as resolve  # noqa: F401
 from .records import read_records  # noqa: F401
 
@@ -73,7 +73,7 @@ def spotted_regions(texts: Column, polygons: Column) -> Column:
     """Array of (text, bbox, block_id) from parallel arrays; blank texts are left out (and not numbered),
     arrays of different length are an error."""
     same = F.when(F.size(texts) != F.size(polygons), F.raise_error(F.lit("texts and polygons differ in number")).cast("boolean")).otherwise(F.lit(True))
-    both = F.filter(F.zip_with(texts, polygons, lambda t, p: F.struct(strip(t).alias("text"), p.alias("p"))), lambda x: same & (x["text"] != ""))
+    both = F.filter(F.zip_with(texts, polygons, lambda t, p: F.struct(trim(t).alias("text"), p.alias("p"))), lambda x: same & (x["text"] != ""))
     return F.transform(both, lambda x, i: F.struct(x["text"].alias("text"), hull(x["p"]).alias("bbox"), i.alias("block_id")))
 
 
