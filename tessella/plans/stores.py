@@ -121,12 +121,13 @@ def ocr_parse(spark, d):
     return got.select("doc_id", "p.page_index", F.size("p.regions").alias("n_regions"), first["text"].alias("first"), first["label"].alias("label"))
 
 
-@query("""SELECT doc_id, len(w)::INT AS n_regions, w[1] AS first, 1.0::DOUBLE AS x1, 5.0::DOUBLE AS x2 FROM (SELECT doc_id, list_filter(string_split(left(text, 400), ' '), lambda x: trim(x, ' ' || chr(10)) <> '') AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 0 AND w[1] NOT LIKE '%' || chr(10) || '%'""")
+@query("""SELECT doc_id, len(w)::INT AS n_regions, w[1] AS first, 1.0::DOUBLE AS x1, 5.0::DOUBLE AS x2 FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: trim(x, ' ' || chr(10)) <> '') AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 0 AND w[1] NOT LIKE '%' || chr(10) || '%'""")
 def ocr_spotting(spark, d):
     """Spotted words with their polygons; blank ones are left out."""
-    words = F.split(F.substring("text", 1, 400), " ")
+    words = F.col("_words")
     polygon = F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(5.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0)))
-    got = _t(spark, d, "documents").where("text is not null").select("doc_id", pages.spotted_regions(words, F.transform(words, lambda _: polygon)).alias("r"), F.get(F.filter(words, lambda x: text.trim(x) != ""), F.lit(0)).alias("_first"))
+    docs = _t(spark, d, "documents").where("text is not null").select("doc_id", F.split("text", " ").alias("_words"))
+    got = docs.select("doc_id", pages.spotted_regions(words, F.transform(words, lambda _: polygon)).alias("r"), F.get(F.filter(words, lambda x: text.trim(x) != ""), F.lit(0)).alias("_first"))
     # a first word is there if a region is; the regions themselves are not asked, which would compute them twice
     return got.where(~F.col("_first").contains("\n")).select("doc_id", F.size("r").alias("n_regions"), F.col("r")[0]["text"].alias("first"), F.col("r")[0]["bbox"]["x1"].alias("x1"), F.col("r")[0]["bbox"]["x2"].alias("x2"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import trim
+from ..functions.text import once, trim
 from .records import list_records as resolve  # noqa: F401
 from .records import read_records  # noqa: F401
 
@@ -63,17 +63,21 @@ def _rendered(rows: list[tuple]) -> pa.RecordBatch:
 def hull(points: Column) -> Column:
     """Struct x1, y1, x2, y2 around an array of [x, y] points; points of fewer than two numbers don't count
     and a polygon without any is an error."""
-    good = F.filter(points, lambda p: F.size(p) >= 2)
-    xs, ys = F.transform(good, lambda p: p[0].cast("double")), F.transform(good, lambda p: p[1].cast("double"))
-    box = F.struct(F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
-    return F.when(F.size(good) > 0, box).otherwise(F.raise_error(F.lit("polygon without points")).cast("struct<x1:double,y1:double,x2:double,y2:double>"))
+
+    def box(good: Column) -> Column:
+        xs, ys = F.transform(good, lambda p: p[0].cast("double")), F.transform(good, lambda p: p[1].cast("double"))
+        sides = F.struct(F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
+        return F.when(F.size(good) > 0, sides).otherwise(F.raise_error(F.lit("polygon without points")).cast("struct<x1:double,y1:double,x2:double,y2:double>"))
+
+    return once(F.filter(points, lambda p: F.size(p) >= 2), box)
 
 
 def spotted_regions(texts: Column, polygons: Column) -> Column:
     """Array of (text, bbox, block_id) from parallel arrays; blank texts are left out (and not numbered),
     arrays of different length are an error."""
-    same = F.when(F.size(texts) != F.size(polygons), F.raise_error(F.lit("texts and polygons differ in number")).cast("boolean")).otherwise(F.lit(True))
-    both = F.filter(F.zip_with(texts, polygons, lambda t, p: F.struct(trim(t).alias("text"), p.alias("p"))), lambda x: same & (x["text"] != ""))
+    # the numbers are compared once, not for each text
+    texts = F.when(F.array_size(texts) != F.array_size(polygons), F.raise_error(F.lit("texts and polygons differ in number"))).otherwise(texts)
+    both = F.filter(F.zip_with(texts, polygons, lambda t, p: F.struct(trim(t).alias("text"), p.alias("p"))), lambda x: x["text"] != "")
     return F.transform(both, lambda x, i: F.struct(x["text"].alias("text"), hull(x["p"]).alias("bbox"), i.alias("block_id")))
 
 
