@@ -86,15 +86,15 @@ def incremental_embedding(spark, d):
     return out
 
 
-@query("""SELECT doc_id, n::INT AS n_pages, octet_length(encode(array_to_string(p[1:20], chr(10)))) - n + 1 AS n_bytes FROM (SELECT doc_id, string_split(text, chr(10)) AS p, least(len(string_split(text, chr(10))), 20) AS n FROM documents WHERE text IS NOT NULL)""")
+@query("""SELECT doc_id, n::INT AS n_pages, octet_length(encode(array_to_string(p, chr(10)))) - n + 1 AS n_bytes FROM (SELECT doc_id, string_split(text, chr(10)) AS p, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL)""")
 def rendered_pages(spark, d):
-    """Uploads rendered to pages by an injected renderer; this one takes a line as a page."""
+    """Uploads rendered to all their pages by an injected renderer; this one takes a line as a page."""
 
     def render(content, dpi):
         return bytes(content).split(b"\n")
 
     uploads = _t(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "utf-8").alias("content"))
-    got = pages.render_pages(uploads, render).groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("n_pages"), F.sum(F.octet_length("image")).cast("long").alias("n_bytes"))
+    got = pages.render_pages(uploads, render, max_pages=None).groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("n_pages"), F.sum(F.octet_length("image")).cast("long").alias("n_bytes"))
     return got.select(F.col("path").cast("long").alias("doc_id"), "n_pages", "n_bytes")
 
 

@@ -33,9 +33,9 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
-def render_pages(uploads: DataFrame, render, *, max_pages: int = 20, dpi: int = 250) -> DataFrame:
+def render_pages(uploads: DataFrame, render, *, max_pages: int | None = 20, dpi: int = 250) -> DataFrame:
     """(path, page, image) of uploads by an injected renderer: render(bytes, dpi) yields images, which go on by about
-    PAGES of them or PAGE_BYTES."""
+    PAGES of them or PAGE_BYTES; all pages of an upload if max_pages is None."""
 
     def run(batches):
         out, held = [], 0
@@ -43,7 +43,7 @@ def render_pages(uploads: DataFrame, render, *, max_pages: int = 20, dpi: int =
             for path, content in zip(*batch.columns):
                 path = path.as_py()
                 for i, image in enumerate(render(content.as_py(), dpi)):
-                    if i >= max_pages:
+                    if max_pages is not None and i >= max_pages:
                         break
                     out.append((path, i, image))
                     held += len(image)
